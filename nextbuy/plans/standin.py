@@ -56,3 +56,26 @@ def scored_testset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test histories with the popularity scores (share of months <= train month)."""
     s = snap(spark, sf_dir)
     return score.with_constant_scores(testset(spark, sf_dir), score.popularity_scores(s, TRAIN_MONTH))
+
+
+# --- raw attribute stand-ins --------------------------------------------------------------------
+
+def orders_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order dirty attributes (FIXTURES.md 3.2) through the cleaning step.
+
+    The stand-in segment text ("1-URGENT") carries its digit at position 0.
+    """
+    from ..operators.clean import clean
+
+    raw = fixtures.raw_orders(spark, sf_dir).withColumnRenamed("id", "ncodpers")
+    return clean(raw, base_year=BASE_YEAR, segment_pos=0, keep=("o_orderkey",))
+
+
+def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.raw_snapshots(spark, sf_dir, BASE_YEAR)
+
+
+def snapshots_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.clean import clean
+
+    return clean(raw_snapshots(spark, sf_dir), base_year=BASE_YEAR, segment_pos=1)

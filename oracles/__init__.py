@@ -1,3 +1,5 @@
 """DuckDB oracle SQL for the registered queries (independent SQL formulations)."""
 
-from .duckdb_sql import ORACLES  # noqa: F401
+from . import duckdb_sql, prep_sql
+
+ORACLES: dict[str, str] = {**duckdb_sql.ORACLES, **prep_sql.ORACLES}
