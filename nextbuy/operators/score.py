@@ -52,10 +52,7 @@ def feature_vectors(h: DataFrame, seq_len: int | None = None) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     flat = F.concat(F.col("attrs"), F.flatten("x"))
-    cols = [F.col("id"), array_to_vector(flat).alias("features")]
-    if "y" in h.columns:
-        cols.append(F.col("y"))
-    return h.select(*cols)
+    return h.select(*[c for c in h.columns if c not in ("attrs", "x")], array_to_vector(flat).alias("features"))
 
 
 class ProductScorer:
@@ -82,13 +79,14 @@ class ProductScorer:
         return self
 
     def predict(self, vectors: DataFrame, p_col: str = "p") -> DataFrame:
-        """(id, p): the positive-class probability of each product model."""
+        """Adds ``p``: the positive-class probability of each product model (other columns kept)."""
         from pyspark.ml.functions import vector_to_array
 
-        scored = vectors.select("id", "features")
+        keep = [c for c in vectors.columns if c != "features"]
+        scored = vectors
         for k, m in enumerate(self.models):
             m.setFeaturesCol("features").setProbabilityCol(f"_prob{k}").setPredictionCol(f"_pred{k}") \
              .setRawPredictionCol(f"_raw{k}")
             scored = m.transform(scored).withColumn(f"_s{k}", vector_to_array(f"_prob{k}")[1]) \
                       .drop(f"_prob{k}", f"_pred{k}", f"_raw{k}")
-        return scored.select("id", F.array(*[F.col(f"_s{k}") for k in range(NUM_PRODUCTS)]).alias(p_col))
+        return scored.select(*keep, F.array(*[F.col(f"_s{k}") for k in range(NUM_PRODUCTS)]).alias(p_col))
