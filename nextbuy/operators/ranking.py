@@ -15,6 +15,9 @@ history length) may hold a third of all rows. Instead:
 
 Step 5 spreads every group over 16**prefix_len window partitions, and the
 result equals ``row_number() over (partition by group order by md5(id), id)``.
+
+The input is read twice (counts and rows): pass a stored or checkpointed
+table when it is expensive to derive.
 """
 
 from __future__ import annotations

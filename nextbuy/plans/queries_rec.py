@@ -27,7 +27,7 @@ def _pred(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    s = S.snap(spark, sf_dir)
+    s = S.snap_once(spark, sf_dir)
     joined = recommend.join_owned(score.frequency_scores(s), recommend.owned_at_month(s, S.TRAIN_MONTH))
     return recommend.rank_products(joined)
 
@@ -91,7 +91,7 @@ def io_write_submission(spark, sf_dir):
 @query("rec_join_owned")
 def rec_join_owned(spark, sf_dir):
     """RE2: predictions left-joined with the month-78 snapshot (no snapshot -> nulls)."""
-    s = S.snap(spark, sf_dir)
+    s = S.snap_once(spark, sf_dir)
     j = recommend.join_owned(score.frequency_scores(s), recommend.owned_at_month(s, S.TRAIN_MONTH))
     return j.select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)],
                     *[F.get("owned", i).alias(f"owned_{i + 1}") for i in range(len(Y_COLS))])
@@ -100,7 +100,7 @@ def rec_join_owned(spark, sf_dir):
 @query("rec_product_counts")
 def rec_product_counts(spark, sf_dir):
     """RE3/RE4: per product, customers with score > 0 and those not owning it."""
-    s = S.snap(spark, sf_dir)
+    s = S.snap_once(spark, sf_dir)
     j = recommend.join_owned(score.frequency_scores(s), recommend.owned_at_month(s, S.TRAIN_MONTH))
     return recommend.product_counts(j)
 
@@ -167,7 +167,8 @@ def an_stratified_sample(spark, sf_dir):
 @query("an_label_counts")
 def an_label_counts(spark, sf_dir):
     """AN2: per product, positives in a 0.5 % sample stratified by that product, and overall (train targets)."""
-    return activations.label_counts(S.trainset(spark, sf_dir), SAMPLE_FRACTION)
+    targets = S.trainset(spark, sf_dir).select("id", "y").checkpoint()
+    return activations.label_counts(targets, SAMPLE_FRACTION)
 
 
 @query("an_topn_per_dim")
@@ -188,12 +189,14 @@ def an_pca_2d(spark, sf_dir):
 @query("batch_assign")
 def batch_assign(spark, sf_dir):
     """EV3: mini-batches of 256 inside each history-length bucket, remainder in the last batch."""
-    return batches.assign_batches(S.trainset(spark, sf_dir))
+    return batches.assign_batches(S.trainset(spark, sf_dir).select("id", "n_obs").checkpoint())
 
 
 def _fit_and_score(spark, sf_dir):
-    train = sequence.pad_histories(S.trainset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS), S.MAX_LEN, 26)
-    test = sequence.pad_histories(S.testset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS), S.MAX_LEN, 26)
+    s = S.snap_once(spark, sf_dir)
+    train = sequence.build_train(s, S.TRAIN_MONTH, attr_cols=S.TIME_ATTRS, scale_time_dim=True, max_len=S.MAX_LEN)
+    train = sequence.pad_histories(train, S.MAX_LEN, 26)
+    test = sequence.pad_histories(S.testset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS, s=s), S.MAX_LEN, 26)
     model = score.ProductScorer(max_iter=10).fit(score.feature_vectors(train))
     return model.predict(score.feature_vectors(test))
 

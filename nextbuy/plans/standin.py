@@ -34,15 +34,27 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot table, lazily (for queries that read it once)."""
     return fixtures.snapshots(spark, sf_dir, BASE_YEAR)
 
 
+def snap_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot table derived once and checkpointed in the shared checkpoint folder.
+
+    For queries that read it several times (history and target month,
+    scores and owned products): lineitem is scanned and shuffled once, and
+    the lineage is cut, so a lost executor re-reads the checkpoint instead
+    of re-running the joins.
+    """
+    return snap(spark, sf_dir).checkpoint()
+
+
 def target_rows(s: DataFrame) -> DataFrame:
     return sequence.select_target_rows(s, None, TEST_MONTH, LAST_MONTH)
 
 
-def testset(spark: SparkSession, sf_dir: str, scale_time: bool = False, attr_cols=()) -> DataFrame:
-    s = snap(spark, sf_dir)
+def testset(spark: SparkSession, sf_dir: str, scale_time: bool = False, attr_cols=(), s: DataFrame | None = None) -> DataFrame:
+    s = s if s is not None else snap_once(spark, sf_dir)
     return sequence.build_test(s, target_rows(s), TRAIN_MONTH, TEST_MONTH, attr_cols=attr_cols,
                                scale_time_dim=scale_time, include_time=True, max_len=MAX_LEN)
 
@@ -54,8 +66,8 @@ def trainset(spark: SparkSession, sf_dir: str, scale_time: bool = False, attr_co
 
 def scored_testset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test histories with the popularity scores (share of months <= train month)."""
-    s = snap(spark, sf_dir)
-    return score.with_constant_scores(testset(spark, sf_dir), score.popularity_scores(s, TRAIN_MONTH))
+    s = snap_once(spark, sf_dir)
+    return score.with_constant_scores(testset(spark, sf_dir, s=s), score.popularity_scores(s, TRAIN_MONTH))
 
 
 # --- raw attribute stand-ins --------------------------------------------------------------------
