@@ -47,11 +47,12 @@ def feature_vectors(h: DataFrame, seq_len: int | None = None) -> DataFrame:
     """(id, features) with features = attrs ++ flattened x (as an ML vector).
 
     Histories must be padded to one length first so that all vectors have
-    the same size.
+    the same size. A missing attribute (e.g. the population of a province
+    outside the lookup) enters the vector as 0.0.
     """
     from pyspark.ml.functions import array_to_vector
 
-    flat = F.concat(F.col("attrs"), F.flatten("x"))
+    flat = F.transform(F.concat(F.col("attrs"), F.flatten("x")), lambda v: F.coalesce(v, F.lit(0.0)))
     return h.select(*[c for c in h.columns if c not in ("attrs", "x")], array_to_vector(flat).alias("features"))
 
 
