@@ -66,17 +66,28 @@ class ProductScorer:
         self.models = []
 
     def fit(self, train_vectors: DataFrame) -> "ProductScorer":
+        """Fit the 24 models on one shared copy of the training vectors.
+
+        The vectors are checkpointed (lineage cut: a lost executor re-reads
+        the checkpoint) and persisted once in memory and on disk, so the
+        optimizer passes of all 24 fits read the same copy instead of each
+        fit caching its own.
+        """
+        from pyspark import StorageLevel
         from pyspark.ml.classification import LogisticRegression
 
-        data = train_vectors.select("features", "y").checkpoint()
+        data = train_vectors.select("features", "y").checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
 
         def fit_one(k: int):
             d = data.select("features", F.get("y", k).cast("double").alias("label"))
             lr = LogisticRegression(maxIter=self.max_iter, regParam=self.reg_param, family="binomial")
             return lr.fit(d)
 
-        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-            self.models = list(pool.map(fit_one, range(NUM_PRODUCTS)))
+        try:
+            with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+                self.models = list(pool.map(fit_one, range(NUM_PRODUCTS)))
+        finally:
+            data.unpersist()
         return self
 
     def predict(self, vectors: DataFrame, p_col: str = "p") -> DataFrame:

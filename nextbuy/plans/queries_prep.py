@@ -116,14 +116,14 @@ def scale_clamp(spark, sf_dir):
 @query("impute_mode")
 def impute_mode(spark, sf_dir):
     """IM1: gaps of 16 columns filled with the column mode (lowest value on ties)."""
-    df = S.snapshots_clean(spark, sf_dir)
+    df = S.snapshots_clean_once(spark, sf_dir)
     return impute.impute(df, mean_cols=()).select("id", "t", *MODE_FILL_COLS)
 
 
 @query("impute_mean")
 def impute_mean(spark, sf_dir):
     """IM2/IM3: age, seniority and income gaps filled with the column mean."""
-    df = S.snapshots_clean(spark, sf_dir)
+    df = S.snapshots_clean_once(spark, sf_dir)
     return impute.impute(df, mode_cols=()).select("id", "t", *MEAN_FILL_COLS)
 
 
@@ -176,7 +176,7 @@ def feat_lookup_value(spark, sf_dir):
 @query("feat_table")
 def feat_table(spark, sf_dir):
     """FE10: the feature table (base, derived, products) of the imputed snapshot table."""
-    return features.featurize(impute.impute(S.snapshots_clean(spark, sf_dir)))
+    return features.featurize(impute.impute(S.snapshots_clean_once(spark, sf_dir)))
 
 
 # --- 2.5 scaling ---------------------------------------------------------------------------------

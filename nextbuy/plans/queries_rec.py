@@ -64,7 +64,7 @@ def io_read_raw(spark, sf_dir):
 @query("io_write_features")
 def io_write_features(spark, sf_dir):
     """IO2/IO6: feature table written as CSV and read back with its schema."""
-    feats = features.featurize(impute.impute(S.snapshots_clean(spark, sf_dir)))
+    feats = features.featurize(impute.impute(S.snapshots_clean_once(spark, sf_dir)))
     path = _scratch(spark, "features")
     csv_io.write_csv(feats, path)
     return csv_io.read_csv(spark, path, feats.schema)

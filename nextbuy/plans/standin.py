@@ -91,3 +91,9 @@ def snapshots_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.clean import clean
 
     return clean(raw_snapshots(spark, sf_dir), base_year=BASE_YEAR, segment_pos=1)
+
+
+def snapshots_clean_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned snapshot table, checkpointed for steps that read it twice
+    (imputation statistics, then the fill)."""
+    return snapshots_clean(spark, sf_dir).checkpoint()

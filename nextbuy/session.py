@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import SparkSession
 # partitions and splits skewed join partitions.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -38,6 +38,24 @@ def get_spark(master: str | None = None, app_name: str = "nextbuy",
     return spark
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for a large cluster, from the input size.
+
+    Starts with enough shuffle partitions for ~``target_partition_bytes``
+    each (AQE coalesces them at run time toward the advisory size), reads
+    files in 256 MB splits, and lets AQE split skewed join partitions.
+    """
+    partitions = max(200, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
@@ -61,5 +79,3 @@ def shared_output_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
-def local_dir_for_tests() -> str:
-    return tempfile.mkdtemp(prefix="nextbuy-", dir=os.environ.get("TMPDIR", "/tmp"))

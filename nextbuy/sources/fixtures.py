@@ -119,17 +119,27 @@ def raw_snapshots(spark: SparkSession, sf_dir: str, base_year: int = STANDIN_BAS
 
     Attributes come from the month's first order (smallest order key);
     the 24 flags are the month's products and are left empty in every
-    tenth month so that the zero fill has work to do.
+    tenth month so that the zero fill has work to do. The first order is
+    chosen over the few source fields; the attribute texts are derived
+    afterwards, for the chosen rows only.
     """
-    k = F.col("o_orderkey")
     o = _orders_with_customer(spark, sf_dir)
     if with_products:
-        o = o.join(order_product_masks(spark, sf_dir), k == F.col("l_orderkey"), "left")
+        o = o.join(order_product_masks(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     else:
         o = o.withColumn("mask", F.lit(0))
+    src = F.struct("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority",
+                   "c_acctbal", "c_nationkey", "n_name")
+    g = (o.select(F.col("o_custkey").alias("ncodpers"), month_index(F.col("o_orderdate"), base_year).alias("t"),
+                  src.alias("a"), F.col("mask"))
+          .groupBy("ncodpers", "t")
+          .agg(F.min("a").alias("a"), F.bit_or("mask").alias("mask"))
+          .select("ncodpers", "t", "mask", "a.*"))
+    k = F.col("o_orderkey")
     fecha = F.date_format("o_orderdate", "yyyy-MM-dd")
-    attrs = F.struct(
+    cols = [
         fecha.alias("fecha_dato"),
+        F.col("ncodpers"),
         _case_mod(k, 4, {0: "N", 1: "S", 2: "A"}).alias("ind_empleado"),
         _case_mod(k, 6, {0: "ES", 1: "FR", 2: "DE", 3: "US", 4: "ES"}).alias("pais_residencia"),
         F.when(F.col("o_orderstatus") == "F", "H").when(F.col("o_orderstatus") == "O", "V")
@@ -156,15 +166,7 @@ def raw_snapshots(spark: SparkSession, sf_dir: str, base_year: int = STANDIN_BAS
         F.when(k % 10 == 0, F.lit("         NA")).otherwise(F.floor("o_totalprice").cast("string")).alias("renta"),
         F.concat(F.lit("0"), F.substring("o_orderpriority", 1, 1), F.lit(" - "),
                  F.substring("o_orderpriority", 3, 32)).alias("segmento"),
-    )
-    g = (o.select(F.col("o_custkey").alias("ncodpers"), month_index(F.col("o_orderdate"), base_year).alias("t"),
-                  k.alias("o_orderkey"), attrs.alias("a"), F.col("mask"))
-          .groupBy("ncodpers", "t")
-          .agg(F.min_by("a", "o_orderkey").alias("a"), F.bit_or("mask").alias("mask")))
-    cols = [F.col("a.fecha_dato"), F.col("ncodpers")] + [F.col(f"a.{c}") for c in (
-        "ind_empleado", "pais_residencia", "sexo", "age", "fecha_alta", "ind_nuevo", "antiguedad", "indrel",
-        "ult_fec_cli_1t", "indrel_1mes", "tiprel_1mes", "indresi", "indext", "conyuemp", "canal_entrada",
-        "indfall", "tipodom", "cod_prov", "nomprov", "ind_actividad_cliente", "renta", "segmento")]
+    ]
     if with_products:
         empty_month = F.col("t") % 10 == 0
         cols += [F.when(empty_month, F.lit(None).cast("int")).otherwise(c).alias(PRODUCT_LABELS[i])
