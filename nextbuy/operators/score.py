@@ -90,6 +90,20 @@ class ProductScorer:
             data.unpersist()
         return self
 
+    def save(self, path: str) -> None:
+        """One sub-folder per product model (Spark ML format)."""
+        for k, m in enumerate(self.models):
+            m.write().overwrite().save(f"{path.rstrip('/')}/product_{k + 1}")
+
+    @classmethod
+    def load(cls, path: str) -> "ProductScorer":
+        from pyspark.ml.classification import LogisticRegressionModel
+
+        scorer = cls()
+        scorer.models = [LogisticRegressionModel.load(f"{path.rstrip('/')}/product_{k + 1}")
+                         for k in range(NUM_PRODUCTS)]
+        return scorer
+
     def predict(self, vectors: DataFrame, p_col: str = "p") -> DataFrame:
         """Adds ``p``: the positive-class probability of each product model (other columns kept)."""
         from pyspark.ml.functions import vector_to_array

@@ -42,6 +42,19 @@ def drop_non_buyers(df: DataFrame, ys=Y_COLS) -> DataFrame:
     return df.withColumn("y_sum", total).filter(F.col("y_sum") > 0)
 
 
+def duplicate_keys(df: DataFrame, keys=("id", "t")) -> DataFrame:
+    """(keys..., n) for keys that occur more than once; histories assume none."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+
+
+def require_unique_keys(df: DataFrame, keys=("id", "t")) -> DataFrame:
+    """Raise when a (customer, month) appears twice; returns the table unchanged."""
+    dup = duplicate_keys(df, keys).limit(1).collect()
+    if dup:
+        raise ValueError(f"duplicate key {tuple(dup[0][k] for k in keys)} ({dup[0]['n']} rows)")
+    return df
+
+
 def counts_and_maxs(df: DataFrame) -> DataFrame:
     """(id, t_count, t_max) in one aggregate."""
     return df.groupBy("id").agg(F.count("t").alias("t_count"), F.max("t").alias("t_max"))

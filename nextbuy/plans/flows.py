@@ -62,24 +62,34 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
                     last_file_month: int = LAST_FILE_MONTH, attr_cols=ATTR_COLS, scale_time: bool = True,
                     include_time: bool = True, seq_len: int = MAX_SEQ_LEN, max_len: int = MAX_SEQ_LEN,
                     remove_non_buyers: bool = False, max_iter: int = 20, reg_param: float = 0.0,
-                    pred_out: str | None = None) -> ScoreResult:
+                    pred_out: str | None = None, model_path: str | None = None, load_model: bool = False,
+                    check_keys: bool = False) -> ScoreResult:
     """Train on months <= train_month, score test_month.
 
     A month inside the training file is a held-out evaluation (MAP@7 on new
     products and the losses); a month past it scores the test file and, with
-    ``pred_out``, writes the headerless predictions file.
+    ``pred_out``, writes the headerless predictions file. ``model_path``
+    saves the fitted models there, or with ``load_model`` reuses saved ones.
+    ``check_keys`` verifies that (id, t) is unique (one extra aggregate).
     """
     feats = spark.read.parquet(features_path)
+    if check_keys:
+        sequence.require_unique_keys(feats)
     test_file = spark.read.parquet(test_features_path) if test_features_path else None
     target = sequence.select_target_rows(feats, test_file, test_month, last_file_month)
     width = (2 if include_time else 0) + NUM_PRODUCTS
-    train = sequence.build_train(feats, train_month, attr_cols, remove_non_buyers=remove_non_buyers,
-                                 scale_time_dim=scale_time, include_time=include_time, max_len=max_len)
     test = sequence.build_test(feats, target, train_month, test_month, attr_cols, scale_time_dim=scale_time,
                                include_time=include_time, max_len=max_len)
-    train_v = score.feature_vectors(sequence.pad_histories(train, seq_len, width))
     test_v = score.feature_vectors(sequence.pad_histories(test, seq_len, width)).checkpoint()
-    model = score.ProductScorer(max_iter=max_iter, reg_param=reg_param).fit(train_v)
+    if load_model and model_path:
+        model = score.ProductScorer.load(model_path)
+    else:
+        train = sequence.build_train(feats, train_month, attr_cols, remove_non_buyers=remove_non_buyers,
+                                     scale_time_dim=scale_time, include_time=include_time, max_len=max_len)
+        train_v = score.feature_vectors(sequence.pad_histories(train, seq_len, width))
+        model = score.ProductScorer(max_iter=max_iter, reg_param=reg_param).fit(train_v)
+        if model_path:
+            model.save(model_path)
     scored = model.predict(test_v).checkpoint()
     if test_month <= last_file_month:
         return ScoreResult(scored, metrics.map_at_k_new(scored), metrics.losses(scored))

@@ -56,6 +56,14 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> d
     }
 
 
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings the results depend on, for a session created elsewhere:
+    UTC session time (month boundaries of timestamps) and a checkpoint folder."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

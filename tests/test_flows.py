@@ -22,11 +22,15 @@ def test_flows_end_to_end(spark, tmp_path):
     feats = spark.read.parquet(tr.features_path)
     assert feats.filter(F.col("age").isNull() | F.col("income").isNull()).count() == 0
 
+    model_dir = str(tmp_path / "models")
     held_out = flows.train_and_score(spark, tr.features_path, train_month=78, test_month=79,
-                                     last_file_month=79, max_iter=5)
+                                     last_file_month=79, max_iter=5, model_path=model_dir, check_keys=True)
     m = held_out.map7_new.first()
     assert m["n"] > 0 and 0.0 <= m["map"] <= 1.0
     assert held_out.losses.filter(F.col("n_obs").isNull()).first()["n"] == m["n"]
+    reloaded = flows.train_and_score(spark, tr.features_path, train_month=78, test_month=79,
+                                     last_file_month=79, model_path=model_dir, load_model=True)
+    assert abs(reloaded.map7_new.first()["map"] - m["map"]) < 1e-12
 
     pred_path = str(tmp_path / "pred")
     flows.train_and_score(spark, tr.features_path, train_month=79, test_month=80, test_features_path=te.features_path,

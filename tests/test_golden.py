@@ -113,3 +113,17 @@ def test_new_labels(spark):
 def test_rank_ties_higher_index_first(spark):
     df = spark.createDataFrame([([0.5, 0.9, 0.5, 0.1], None)], "p array<double>, o array<int>")
     assert col_values(df, A.ranked_candidates("p", "o", n=4)) == [[1, 2, 0, 3]]
+
+
+def test_impute_switch_off(spark):
+    df = spark.createDataFrame([("b",), (None,)], "employee string")
+    assert col_values(impute.impute(df, enabled=False), "employee") == ["b", None]
+
+
+def test_duplicate_keys_rejected(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "id long, t int")
+    assert sequence.duplicate_keys(df).count() == 1
+    with pytest.raises(ValueError):
+        sequence.require_unique_keys(df)
+    sequence.require_unique_keys(df.distinct())
