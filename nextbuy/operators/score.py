@@ -59,10 +59,12 @@ def feature_vectors(h: DataFrame, seq_len: int | None = None) -> DataFrame:
 class ProductScorer:
     """24 binary logistic regressions, one per product (fit in parallel driver threads)."""
 
-    def __init__(self, max_iter: int = 20, reg_param: float = 0.0, parallelism: int = 4):
+    def __init__(self, max_iter: int = 20, reg_param: float = 0.0, parallelism: int = 4,
+                 partition_bytes: int = 128 << 20):
         self.max_iter = max_iter
         self.reg_param = reg_param
         self.parallelism = parallelism
+        self.partition_bytes = partition_bytes
         self.models = []
 
     def fit(self, train_vectors: DataFrame) -> "ProductScorer":
@@ -76,7 +78,15 @@ class ProductScorer:
         from pyspark import StorageLevel
         from pyspark.ml.classification import LogisticRegression
 
-        data = train_vectors.select("features", "y").checkpoint().persist(StorageLevel.MEMORY_AND_DISK)
+        data = train_vectors.select("features", "y").checkpoint()
+        # partitions of ~partition_bytes dense vectors: few at small scale (fewer,
+        # larger tasks per optimizer pass), many at large scale; coalesce never shuffles
+        rows = data.count()
+        width = len(data.first()["features"]) if rows else 1
+        wanted = max(1, -(-rows * (8 * width + 64) // self.partition_bytes))
+        if wanted < data.rdd.getNumPartitions():
+            data = data.coalesce(wanted)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
 
         def fit_one(k: int):
             d = data.select("features", F.get("y", k).cast("double").alias("label"))

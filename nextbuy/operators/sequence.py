@@ -93,7 +93,11 @@ def union_missing(history: DataFrame, target: DataFrame) -> DataFrame:
 
 def select_target_rows(train: DataFrame, test: DataFrame | None, test_month: int,
                        last_file_month: int) -> DataFrame:
-    """Rows of the month to score: the test file past the training file, else that month of it."""
+    """Rows of the month to score: the test file past the training file, else that month of it.
+
+    (``build_test`` also accepts ``target=None`` for the second case and then
+    reads both from one scan.)
+    """
     if test_month > last_file_month:
         if test is None:
             raise ValueError("test_month is past the training file; a test table is required")
@@ -184,25 +188,35 @@ def build_train(df: DataFrame, max_month: int, attr_cols=("t",), ys=Y_COLS,
     return length_filter(collect_histories(df, ys, list(attr_cols), include_time), min_len, max_len)
 
 
-def build_test(history: DataFrame, target: DataFrame, train_month: int, test_month: int,
+def build_test(history: DataFrame, target: DataFrame | None, train_month: int, test_month: int,
                attr_cols=("t",), ys=Y_COLS, scale_time_dim: bool = False, include_time: bool = True,
                max_len: int = MAX_SEQ_LEN, min_len: int = 2) -> DataFrame:
-    """Histories ending at ``test_month`` for the customers of ``target``.
+    """Histories ending at ``test_month`` for the customers of the target rows.
 
     History months <= test_month - 1; z-score statistics from history
     months <= train_month (seniority not clamped there, as in the original);
-    target rows clamped and standardised. ``y`` is null when the target
-    rows carry no products (a real test file).
-
-    The history of target customers is selected inside the one grouping
-    (keep groups that contain a target row) instead of a separate semi
-    join, so histories cost a single exchange on id.
+    target rows clamped and standardised.
+
+    ``target=None`` means the target rows are the ``test_month`` rows of
+    ``history`` itself (a held-out month): history and targets then come
+    from one scan, tagged, and one grouping keeps the customers that have a
+    target row - no union, no semi join, and no exchange at all when the
+    table is bucketed by id. With a separate ``target`` table (a test file
+    past the training months) the two are unioned; ``y`` is null when the
+    target rows carry no products.
     """
     last_month = test_month - 1
     if last_month < 1:
         raise ValueError("test_month must be at least 2")
+    stats = zscore_stats(month_filter(month_filter(history, last_month), train_month))
+    if target is None:
+        rows = history.filter(F.col("t") <= test_month)
+        rows = apply_zscore(clamp_negatives(rows), stats)
+        rows = _prepare(rows, last_month, scale_time_dim, attr_cols)
+        rows = rows.withColumn("_is_target", (F.col("_t") == test_month).cast("int"))
+        h = collect_histories(rows, ys, list(attr_cols), include_time, keep_if=F.max("_is_target") == 1)
+        return length_filter(h, min_len, max_len + 1)
     hist = month_filter(history, last_month)
-    stats = zscore_stats(month_filter(hist, train_month))
     tgt = apply_zscore(clamp_negatives(target), stats)
     hist = _prepare(hist, last_month, scale_time_dim, attr_cols)
     tgt = _prepare(tgt, last_month, scale_time_dim, attr_cols)

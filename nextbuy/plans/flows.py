@@ -23,27 +23,39 @@ from ..constants import (ATTR_COLS, BASE_YEAR, LAST_FILE_MONTH, MAX_SEQ_LEN, NUM
 from ..operators import activations, features, impute, metrics, recommend, score, sequence
 from ..operators.clean import clean
 from ..sources import csv_io
+from ..sources.storage import read_stored, write_bucketed
 
 
 @dataclass
 class FeatureTables:
-    cleaned_path: str
+    cleaned_path: str       # Parquet folder, or table name when bucketed
     features_path: str
 
 
 def build_feature_tables(spark: SparkSession, raw_path: str, out_dir: str, is_test: bool = False,
                          do_impute: bool = True, base_year: int = BASE_YEAR, segment_pos: int = 1,
-                         fix_types: bool = False) -> FeatureTables:
+                         fix_types: bool = False, table_prefix: str | None = None,
+                         buckets: int | None = None) -> FeatureTables:
     """Clean (and impute) a raw snapshot file, then derive the feature table.
 
     Both tables are written under ``out_dir`` partitioned by month ``t``.
-    Imputation statistics come from this file only, as in the original.
+    With ``table_prefix`` they are also catalog tables bucketed and sorted
+    by customer (``buckets`` files per month), so the history builds, the
+    frequency windows and the score/snapshot join later run without a
+    shuffle. Imputation statistics come from this file only, as in the
+    original.
     """
     raw = csv_io.read_raw(spark, raw_path, with_products=not is_test)
     cleaned = impute.impute(clean(raw, base_year, segment_pos), enabled=do_impute)
     prefix = "test" if is_test else ""
     cleaned_path = f"{out_dir.rstrip('/')}/{prefix}df"
     features_path = f"{out_dir.rstrip('/')}/{prefix}catdf"
+    if table_prefix:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        names = (f"{table_prefix}_{prefix}df", f"{table_prefix}_{prefix}catdf")
+        stored = write_bucketed(cleaned, names[0], cleaned_path, n, partition_by="t")
+        write_bucketed(features.featurize(stored, fix_types=fix_types), names[1], features_path, n, partition_by="t")
+        return FeatureTables(*names)
     cleaned.write.mode("overwrite").partitionBy("t").parquet(cleaned_path)
     stored = spark.read.parquet(cleaned_path)
     features.featurize(stored, fix_types=fix_types).write.mode("overwrite").partitionBy("t").parquet(features_path)
@@ -72,11 +84,13 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
     saves the fitted models there, or with ``load_model`` reuses saved ones.
     ``check_keys`` verifies that (id, t) is unique (one extra aggregate).
     """
-    feats = spark.read.parquet(features_path)
+    feats = read_stored(spark, features_path)
     if check_keys:
         sequence.require_unique_keys(feats)
-    test_file = spark.read.parquet(test_features_path) if test_features_path else None
-    target = sequence.select_target_rows(feats, test_file, test_month, last_file_month)
+    held_out = test_month <= last_file_month
+    # a held-out month is read from the same table in one scan (target=None)
+    target = None if held_out else sequence.select_target_rows(
+        feats, read_stored(spark, test_features_path) if test_features_path else None, test_month, last_file_month)
     width = (2 if include_time else 0) + NUM_PRODUCTS
     test = sequence.build_test(feats, target, train_month, test_month, attr_cols, scale_time_dim=scale_time,
                                include_time=include_time, max_len=max_len)
@@ -91,7 +105,7 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
         if model_path:
             model.save(model_path)
     scored = model.predict(test_v).checkpoint()
-    if test_month <= last_file_month:
+    if held_out:
         return ScoreResult(scored, metrics.map_at_k_new(scored), metrics.losses(scored))
     if pred_out:
         pred = scored.select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)])
@@ -110,7 +124,7 @@ def write_recommendations(spark: SparkSession, pred_path: str, cleaned_path: str
                           out_path: str | None = None, limit: int | None = None, k: int = TOP_K) -> Recommendations:
     """Ranked lists of new products per customer, owned products of ``month`` removed."""
     pred = csv_io.read_predictions(spark, pred_path)
-    owned = recommend.owned_at_month(spark.read.parquet(cleaned_path), month)
+    owned = recommend.owned_at_month(read_stored(spark, cleaned_path), month)
     ranked = recommend.rank_products(recommend.join_owned(pred, owned)).checkpoint()
     lists = recommend.format_lists(ranked, limit)
     if out_path:

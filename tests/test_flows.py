@@ -17,9 +17,11 @@ def test_flows_end_to_end(spark, tmp_path):
     csv_io.write_csv(raw.filter(month <= "2001-07").drop("_t"), train_raw)
     csv_io.write_csv(raw.filter(month == "2001-08").drop("_t", *PRODUCT_LABELS), test_raw)
 
-    tr = flows.build_feature_tables(spark, train_raw, str(tmp_path / "out"), base_year=1995)
+    tr = flows.build_feature_tables(spark, train_raw, str(tmp_path / "out"), base_year=1995,
+                                    table_prefix="flowtest", buckets=4)
     te = flows.build_feature_tables(spark, test_raw, str(tmp_path / "out"), is_test=True, base_year=1995)
-    feats = spark.read.parquet(tr.features_path)
+    from nextbuy.sources.storage import read_stored
+    feats = read_stored(spark, tr.features_path)
     assert feats.filter(F.col("age").isNull() | F.col("income").isNull()).count() == 0
 
     model_dir = str(tmp_path / "models")
@@ -47,3 +49,13 @@ def test_flows_end_to_end(spark, tmp_path):
     insp = flows.inspect_activations(fixtures.activations(spark, SF_SMALL), fraction=0.2, top_n=3)
     assert insp.projection.count() == insp.sample.count() > 0
     assert insp.top_per_unit.count() == 64 * 3
+
+
+def test_bucketed_histories_skip_shuffles(spark):
+    from nextbuy.operators import sequence
+    from nextbuy.plans import standin as S
+
+    s = S.snap_once(spark, SF_SMALL)
+    for h in (sequence.build_train(s, 78), sequence.build_test(s, None, 78, 79)):
+        plan = h._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
