@@ -1,7 +1,6 @@
 """Golden literal rows (FIXTURES.md section 4)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from nextbuy.constants import Y_COLS
 from nextbuy.functions import arrays as A

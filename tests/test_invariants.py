@@ -3,8 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from nextbuy.constants import COMMUNITIES, Y_COLS
-from nextbuy.functions.arrays import ap_at_k
+from nextbuy.constants import COMMUNITIES
 from nextbuy.operators import features, impute, metrics, recommend, scale, score, sequence
 from nextbuy.plans import standin as S
 
