@@ -126,3 +126,15 @@ def test_duplicate_keys_rejected(spark):
     with pytest.raises(ValueError):
         sequence.require_unique_keys(df)
     sequence.require_unique_keys(df.distinct())
+
+
+def test_observed_categories(spark):
+    from nextbuy.operators import features
+    df = spark.createDataFrame([(0, 20, 28, 1), (2, None, 8, 3), (None, 1, None, None)],
+                               "channel_0 int, channel_1 int, province int, segment int")
+    df = df.selectExpr("*", "'N' AS employee", "'ES' AS country", "'1' AS customer_type", "'A' AS customer_rel")
+    out = features.featurize(df, categories="observed")
+    cols = [c for c in out.columns if c.startswith(("channel_", "province_", "segment_")) and c != "province_pop"]
+    assert cols == ["channel_0_0", "channel_0_2", "channel_1_1", "channel_1_20", "province_CAT", "province_MAD",
+                    "segment_1", "segment_3"]
+    assert out.select("channel_1_20", "province_MAD").first() == (1, 1)
