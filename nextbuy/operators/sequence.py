@@ -108,13 +108,21 @@ def select_target_rows(train: DataFrame, test: DataFrame | None, test_month: int
 # --- sequences --------------------------------------------------------------------------------
 
 def collect_histories(rows: DataFrame, ys=Y_COLS, attr_cols=(), include_time: bool = True,
-                      keep_if: Column | None = None) -> DataFrame:
+                      keep_if: Column | None = None, max_obs: int | None = None) -> DataFrame:
     """Group month rows into one history row per customer.
 
     ``rows`` holds ``id``, integer ``_t`` (order), channel columns ``t``,
     ``t_month`` (possibly scaled), the product columns and one copy
     ``_a_<name>`` per attribute (see ``with_attr_copies``).
+
+    With ``max_obs``, customers with more rows are dropped *before* the
+    collect (a count window over id; the grouping reuses its partitioning,
+    so no exchange is added). A collected history therefore never exceeds
+    ``max_obs`` steps, even on input that breaks the one-row-per-month rule.
     """
+    if max_obs is not None:
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))) \
+                   .filter(F.col("_n") <= max_obs).drop("_n")
     time_ch = [F.col("t").cast("double"), F.col("t_month").cast("double")] if include_time else []
     step = F.struct(F.col("_t").alias("o"),
                     F.array(*time_ch).cast("array<double>").alias("ch"),
@@ -185,7 +193,8 @@ def build_train(df: DataFrame, max_month: int, attr_cols=("t",), ys=Y_COLS,
     if remove_non_buyers:
         df = drop_non_buyers(df, ys)
     df = _prepare(df, max_month, scale_time_dim, attr_cols)
-    return length_filter(collect_histories(df, ys, list(attr_cols), include_time), min_len, max_len)
+    h = collect_histories(df, ys, list(attr_cols), include_time, max_obs=max_len)
+    return length_filter(h, min_len, max_len)
 
 
 def build_test(history: DataFrame, target: DataFrame | None, train_month: int, test_month: int,
@@ -214,7 +223,8 @@ def build_test(history: DataFrame, target: DataFrame | None, train_month: int, t
         rows = apply_zscore(clamp_negatives(rows), stats)
         rows = _prepare(rows, last_month, scale_time_dim, attr_cols)
         rows = rows.withColumn("_is_target", (F.col("_t") == test_month).cast("int"))
-        h = collect_histories(rows, ys, list(attr_cols), include_time, keep_if=F.max("_is_target") == 1)
+        h = collect_histories(rows, ys, list(attr_cols), include_time, keep_if=F.max("_is_target") == 1,
+                              max_obs=max_len + 1)
         return length_filter(h, min_len, max_len + 1)
     hist = month_filter(history, last_month)
     tgt = apply_zscore(clamp_negatives(target), stats)
@@ -226,6 +236,7 @@ def build_test(history: DataFrame, target: DataFrame | None, train_month: int, t
     t_rows = tgt.select(*base, *[(F.col(c) if has_y else F.lit(None).cast("int")).alias(c) for c in ys],
                         F.lit(1).alias("_is_target"))
     rows = h_rows.unionByName(t_rows)
-    h = collect_histories(rows, ys, list(attr_cols), include_time, keep_if=F.max("_is_target") == 1)
+    h = collect_histories(rows, ys, list(attr_cols), include_time, keep_if=F.max("_is_target") == 1,
+                          max_obs=max_len + 1)
     h = length_filter(h, min_len, max_len + 1)
     return h if has_y else h.withColumn("y", F.lit(None).cast("array<int>"))
