@@ -40,8 +40,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(f"local[{cpus}]", app_name="nextbuy-bench", shuffle_partitions=2 * cpus,
-                      extra_conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+    conf = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
+    spark = get_spark(f"local[{cpus}]", app_name="nextbuy-bench", shuffle_partitions=2 * cpus, extra_conf=conf)
     # warm-up: JVM class loading and code generation, not timed
     QUERIES["agg_counts_maxs"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
