@@ -13,11 +13,13 @@ def sample_size(n_col: str, fraction: float):
     return F.ceil(F.col(n_col).cast("double") * F.lit(float(fraction)))
 
 
-def stratified_sample(df: DataFrame, strata_cols, fraction: float = SAMPLE_FRACTION, id_col: str = "id") -> DataFrame:
+def stratified_sample(df: DataFrame, strata_cols, fraction: float = SAMPLE_FRACTION, id_col: str = "id",
+                      seed: int | None = None) -> DataFrame:
     """Deterministic stratified sample: ceil(n_s * fraction) rows of every stratum,
-    taken in md5(id) order (an exact, skew-safe top-k per stratum)."""
+    taken in md5(id) order, or md5("id:seed") with a seed (an exact, skew-safe
+    top-k per stratum)."""
     strata_cols = [strata_cols] if isinstance(strata_cols, str) else list(strata_cols)
-    return first_in_groups(df, strata_cols, sample_size("_n", fraction), id_col).drop("_n", "_k", "_rank")
+    return first_in_groups(df, strata_cols, sample_size("_n", fraction), id_col, seed=seed).drop("_n", "_k", "_rank")
 
 
 def label_counts(targets: DataFrame, fraction: float = SAMPLE_FRACTION, y_col: str = "y") -> DataFrame:

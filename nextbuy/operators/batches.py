@@ -15,9 +15,13 @@ from .ranking import rank_in_groups
 
 
 def assign_batches(h: DataFrame, batch_size: int = BATCH_SIZE, bucket_col: str = "n_obs",
-                   id_col: str = "id") -> DataFrame:
-    """(id, bucket, batch, batch_rows): 0-based batch number inside each bucket."""
-    r = rank_in_groups(h.select(id_col, bucket_col), [bucket_col], id_col)
+                   id_col: str = "id", epoch: int | None = None) -> DataFrame:
+    """(id, bucket, batch, batch_rows): 0-based batch number inside each bucket.
+
+    ``epoch`` gives every epoch its own order (the original reshuffles each
+    epoch); None uses the base order md5(id).
+    """
+    r = rank_in_groups(h.select(id_col, bucket_col), [bucket_col], id_col, seed=epoch)
     n_batches = F.greatest(F.floor(F.col("_n") / batch_size), F.lit(1))
     batch = F.least(F.floor((F.col("_rank") - 1) / batch_size), n_batches - 1).cast("int")
     out = r.select(id_col, bucket_col, batch.alias("batch"), "_n", n_batches.alias("_nb"))

@@ -26,13 +26,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order_key(id_col: str) -> Column:
-    return F.md5(F.col(id_col).cast("string"))
+def order_key(id_col: str, seed: int | None = None) -> Column:
+    """md5 of the id (seed None) or of "id:seed": a fixed pseudo-random order per seed."""
+    key = F.col(id_col).cast("string")
+    if seed is not None:
+        key = F.concat(key, F.lit(f":{seed}"))
+    return F.md5(key)
 
 
-def bucket_offsets(df: DataFrame, group_cols, id_col: str, prefix_len: int = 3) -> tuple[DataFrame, DataFrame]:
+def bucket_offsets(df: DataFrame, group_cols, id_col: str, prefix_len: int = 3,
+                   seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with _h/_b, offsets table (group, _b, _off, _n))."""
-    d = df.withColumn("_h", order_key(id_col)).withColumn("_b", F.substring("_h", 1, prefix_len))
+    d = df.withColumn("_h", order_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, prefix_len))
     counts = d.groupBy(*group_cols, "_b").agg(F.count("*").alias("_nb"))
     before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)
@@ -46,21 +51,22 @@ def _local_rank(j: DataFrame, group_cols, id_col: str) -> DataFrame:
     return j.withColumn("_rank", F.col("_off") + F.row_number().over(w))
 
 
-def rank_in_groups(df: DataFrame, group_cols, id_col: str = "id", prefix_len: int = 3) -> DataFrame:
+def rank_in_groups(df: DataFrame, group_cols, id_col: str = "id", prefix_len: int = 3,
+                   seed: int | None = None) -> DataFrame:
     """Adds ``_rank`` (1-based position by md5(id), id) and ``_n`` (group size)."""
-    d, offs = bucket_offsets(df, group_cols, id_col, prefix_len)
+    d, offs = bucket_offsets(df, group_cols, id_col, prefix_len, seed)
     j = d.join(offs, [*group_cols, "_b"])
     return _local_rank(j, group_cols, id_col).drop("_h", "_b", "_off")
 
 
 def first_in_groups(df: DataFrame, group_cols, how_many: Column, id_col: str = "id",
-                    prefix_len: int = 3) -> DataFrame:
+                    prefix_len: int = 3, seed: int | None = None) -> DataFrame:
     """Rows whose position is <= ``how_many`` (an expression of the group size ``_n``).
 
     Buckets that start past the cut are dropped before the ranking window,
     so only about the selected share of the rows is shuffled for it.
     """
-    d, offs = bucket_offsets(df, group_cols, id_col, prefix_len)
+    d, offs = bucket_offsets(df, group_cols, id_col, prefix_len, seed)
     offs = offs.withColumn("_k", how_many).filter(F.col("_off") < F.col("_k"))
     j = d.join(offs, [*group_cols, "_b"])
     r = _local_rank(j, group_cols, id_col)

@@ -44,3 +44,14 @@ def test_top_n_per_dim_brute_force(spark):
         best = sorted(rows, key=lambda r: (-r[1][d], r[0]))[:5]
         listed = sorted([r for r in got if r["dim"] == d + 1], key=lambda r: r["pos"])
         assert [r["id"] for r in listed] == [b[0] for b in reversed(best)]
+
+
+def test_seeded_orders_differ_but_keep_sizes(spark):
+    from nextbuy.operators import batches
+    df = _skewed(spark).withColumnRenamed("g", "n_obs")
+    a = batches.assign_batches(df, batch_size=256, epoch=1)
+    b = batches.assign_batches(df, batch_size=256, epoch=2)
+    sizes = lambda x: sorted((r["n_obs"], r["batch"], r["count"]) for r in x.groupBy("n_obs", "batch").count().collect())
+    assert sizes(a) == sizes(b)
+    moved = a.join(b.withColumnRenamed("batch", "b2"), ["id", "n_obs"]).filter("batch != b2").count()
+    assert moved > 0
