@@ -19,7 +19,8 @@ from .plans import flows
 from .session import get_spark
 
 
-def main(argv=None) -> None:
+def main(argv=None, spark=None) -> None:
+    """Parse the arguments and run one step (``spark``: reuse a session and leave it open)."""
     ap = argparse.ArgumentParser(prog="nextbuy")
     ap.add_argument("--master", default=None)
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -57,7 +58,8 @@ def main(argv=None) -> None:
     i.add_argument("--out", default=None)
 
     a = ap.parse_args(argv)
-    spark = get_spark(a.master)
+    own_session = spark is None
+    spark = spark or get_spark(a.master)
     if a.cmd == "features":
         res = flows.build_feature_tables(spark, a.raw, a.out_dir, is_test=a.test, do_impute=not a.noimpute,
                                          base_year=a.base_year)
@@ -80,7 +82,8 @@ def main(argv=None) -> None:
             res.projection.write.mode("overwrite").parquet(f"{a.out}/projection")
             res.top_per_unit.write.mode("overwrite").parquet(f"{a.out}/top_per_unit")
         res.top_per_unit.orderBy("dim", "pos").show(40, truncate=False)
-    spark.stop()
+    if own_session:
+        spark.stop()
 
 
 if __name__ == "__main__":
