@@ -37,14 +37,10 @@ def frequency_scores(history: DataFrame, ys=Y_COLS) -> DataFrame:
     return before.groupBy("id").agg(*[F.avg(F.col(y).cast("double")).alias(p) for y, p in zip(ys, P_COLS)])
 
 
-def scores_to_array(pred: DataFrame, p_cols=P_COLS, p_col: str = "p") -> DataFrame:
-    return pred.select("id", F.array(*[F.col(c) for c in p_cols]).alias(p_col))
-
-
 # --- 24 logistic regressions -------------------------------------------------------------------
 
-def feature_vectors(h: DataFrame, seq_len: int | None = None) -> DataFrame:
-    """(id, features) with features = attrs ++ flattened x (as an ML vector).
+def feature_vectors(h: DataFrame) -> DataFrame:
+    """Replaces ``attrs`` and ``x`` by ``features`` = attrs ++ flattened x (an ML vector).
 
     Histories must be padded to one length first so that all vectors have
     the same size. A missing attribute (e.g. the population of a province
