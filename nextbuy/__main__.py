@@ -68,6 +68,7 @@ def main(argv=None, spark=None) -> None:
         res = flows.train_and_score(spark, a.features, a.train_month, a.test_month, a.testset, a.last_file_month,
                                     seq_len=a.seq_len, max_iter=a.max_iter, pred_out=a.pred_out,
                                     model_path=a.model, load_model=a.load)
+        res.train_lengths.show(truncate=False)
         if res.map7_new is not None:
             print("MAP@7 on new products:", res.map7_new.first().asDict())
             res.losses.orderBy("n_obs").show(50, truncate=False)

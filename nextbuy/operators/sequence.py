@@ -149,6 +149,14 @@ def collect_histories(rows: DataFrame, ys=Y_COLS, attr_cols=(), include_time: bo
     return g.select(*out)
 
 
+def length_report(rows: DataFrame, min_len: int = 2, max_len: int = MAX_SEQ_LEN) -> DataFrame:
+    """(status, n_customers): customers kept, too short (never scored) or too long (dropped)."""
+    n = rows.groupBy("id").agg(F.count("*").alias("n"))
+    status = (F.when(F.col("n") < min_len, "too_short").when(F.col("n") > max_len, "too_long")
+               .otherwise("kept"))
+    return n.groupBy(status.alias("status")).agg(F.count("*").alias("n_customers"))
+
+
 def length_filter(h: DataFrame, min_len: int = 2, max_len: int = MAX_SEQ_LEN) -> DataFrame:
     """Keep histories with min_len..max_len observed months (the length buckets)."""
     return h.filter(F.col("n_obs").between(min_len, max_len))
@@ -199,11 +207,12 @@ def build_train(df: DataFrame, max_month: int, attr_cols=("t",), ys=Y_COLS,
 
 def build_test(history: DataFrame, target: DataFrame | None, train_month: int, test_month: int,
                attr_cols=("t",), ys=Y_COLS, scale_time_dim: bool = False, include_time: bool = True,
-               max_len: int = MAX_SEQ_LEN, min_len: int = 2) -> DataFrame:
+               max_len: int = MAX_SEQ_LEN, min_len: int = 2, clamp_before_stats: bool = False) -> DataFrame:
     """Histories ending at ``test_month`` for the customers of the target rows.
 
     History months <= test_month - 1; z-score statistics from history
-    months <= train_month (seniority not clamped there, as in the original);
+    months <= train_month (seniority not clamped there, as in the original;
+    ``clamp_before_stats`` clamps it first, like the training statistics);
     target rows clamped and standardised.
 
     ``target=None`` means the target rows are the ``test_month`` rows of
@@ -217,7 +226,8 @@ def build_test(history: DataFrame, target: DataFrame | None, train_month: int, t
     last_month = test_month - 1
     if last_month < 1:
         raise ValueError("test_month must be at least 2")
-    stats = zscore_stats(month_filter(month_filter(history, last_month), train_month))
+    stats_rows = month_filter(month_filter(history, last_month), train_month)
+    stats = zscore_stats(clamp_negatives(stats_rows) if clamp_before_stats else stats_rows)
     if target is None:
         rows = history.filter(F.col("t") <= test_month)
         rows = apply_zscore(clamp_negatives(rows), stats)

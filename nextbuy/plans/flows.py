@@ -67,6 +67,7 @@ class ScoreResult:
     scored: DataFrame               # id, n_obs, y, y_last, p
     map7_new: DataFrame | None      # (n, map) when the target month has labels
     losses: DataFrame | None
+    train_lengths: DataFrame | None = None   # (status, n_customers): kept / too short / too long
 
 
 def train_and_score(spark: SparkSession, features_path: str, train_month: int = LAST_FILE_MONTH,
@@ -105,12 +106,13 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
         if model_path:
             model.save(model_path)
     scored = model.predict(test_v).checkpoint()
+    lengths = sequence.length_report(sequence.month_filter(feats, train_month), 2, max_len)
     if held_out:
-        return ScoreResult(scored, metrics.map_at_k_new(scored), metrics.losses(scored))
+        return ScoreResult(scored, metrics.map_at_k_new(scored), metrics.losses(scored), lengths)
     if pred_out:
         pred = scored.select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)])
         csv_io.write_predictions(pred, pred_out)
-    return ScoreResult(scored, None, None)
+    return ScoreResult(scored, None, None, lengths)
 
 
 @dataclass

@@ -138,3 +138,17 @@ def test_observed_categories(spark):
     assert cols == ["channel_0_0", "channel_0_2", "channel_1_1", "channel_1_20", "province_CAT", "province_MAD",
                     "segment_1", "segment_3"]
     assert out.select("channel_1_20", "province_MAD").first() == (1, 1)
+
+
+def test_length_report_and_clamped_stats(spark):
+    rows = []
+    for cid, n in ((1, 1), (2, 2), (3, 17), (4, 18)):
+        rows += [(cid, t, (t - 1) % 12 + 1, float(-5 if t == 1 else t), *([1] + [0] * 23)) for t in range(1, n + 1)]
+    df = spark.createDataFrame(rows, ["id", "t", "t_month", "seniority", *Y_COLS])
+    rep = {r["status"]: r["n_customers"] for r in sequence.length_report(df).collect()}
+    assert rep == {"too_short": 1, "kept": 2, "too_long": 1}
+    plain = sequence.build_test(df, None, 17, 18, attr_cols=("seniority",))
+    clamped = sequence.build_test(df, None, 17, 18, attr_cols=("seniority",), clamp_before_stats=True)
+    a = {r["id"]: r["attrs"][0] for r in plain.collect()}
+    b = {r["id"]: r["attrs"][0] for r in clamped.collect()}
+    assert a.keys() == b.keys() and all(a[k] != b[k] for k in a)
