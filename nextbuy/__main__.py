@@ -31,6 +31,7 @@ def main(argv=None, spark=None) -> None:
     f.add_argument("--test", action="store_true", help="the file has no product columns")
     f.add_argument("--noimpute", action="store_true")
     f.add_argument("--base-year", type=int, default=BASE_YEAR)
+    f.add_argument("--impute-from", default=None, help="cleaned table whose statistics fill the gaps")
 
     t = sub.add_parser("train", help="fit the product models; evaluate a held-out month or predict")
     t.add_argument("features")
@@ -62,7 +63,7 @@ def main(argv=None, spark=None) -> None:
     spark = spark or get_spark(a.master)
     if a.cmd == "features":
         res = flows.build_feature_tables(spark, a.raw, a.out_dir, is_test=a.test, do_impute=not a.noimpute,
-                                         base_year=a.base_year)
+                                         base_year=a.base_year, impute_stats_from=a.impute_from)
         print(res)
     elif a.cmd == "train":
         res = flows.train_and_score(spark, a.features, a.train_month, a.test_month, a.testset, a.last_file_month,

@@ -35,7 +35,7 @@ class FeatureTables:
 def build_feature_tables(spark: SparkSession, raw_path: str, out_dir: str, is_test: bool = False,
                          do_impute: bool = True, base_year: int = BASE_YEAR, segment_pos: int = 1,
                          fix_types: bool = False, table_prefix: str | None = None,
-                         buckets: int | None = None) -> FeatureTables:
+                         buckets: int | None = None, impute_stats_from: str | None = None) -> FeatureTables:
     """Clean (and impute) a raw snapshot file, then derive the feature table.
 
     Both tables are written under ``out_dir`` partitioned by month ``t``.
@@ -43,10 +43,12 @@ def build_feature_tables(spark: SparkSession, raw_path: str, out_dir: str, is_te
     by customer (``buckets`` files per month), so the history builds, the
     frequency windows and the score/snapshot join later run without a
     shuffle. Imputation statistics come from this file only, as in the
-    original.
+    original, or from the cleaned table ``impute_stats_from`` (e.g. impute
+    the test file with training statistics).
     """
     raw = csv_io.read_raw(spark, raw_path, with_products=not is_test)
-    cleaned = impute.impute(clean(raw, base_year, segment_pos), enabled=do_impute)
+    stats_from = read_stored(spark, impute_stats_from) if impute_stats_from else None
+    cleaned = impute.impute(clean(raw, base_year, segment_pos), stats_from=stats_from, enabled=do_impute)
     prefix = "test" if is_test else ""
     cleaned_path = f"{out_dir.rstrip('/')}/{prefix}df"
     features_path = f"{out_dir.rstrip('/')}/{prefix}catdf"

@@ -16,7 +16,11 @@ def test_cli_steps(spark, tmp_path, capsys):
     csv_io.write_csv(raw.filter(F.col("_m") == "2001-08").drop("_m", *PRODUCT_LABELS), test_csv)
     out = str(tmp_path / "out")
     main(["features", train_csv, out, "--base-year", "1995"], spark=spark)
-    main(["features", test_csv, out, "--test", "--base-year", "1995"], spark=spark)
+    main(["features", test_csv, out, "--test", "--base-year", "1995", "--impute-from", f"{out}/df"], spark=spark)
+    test_clean = spark.read.parquet(f"{out}/testdf")
+    train_income = spark.read.parquet(f"{out}/df").filter(F.col("income").isNotNull())
+    assert test_clean.filter(F.col("income").isNull()).count() == 0
+    assert train_income.count() > 0
     main(["train", f"{out}/catdf", "-m", "78", "-t", "79", "--last-file-month", "79", "-n", "3"], spark=spark)
     assert "MAP@7 on new products" in capsys.readouterr().out
     main(["train", f"{out}/catdf", "--testset", f"{out}/testcatdf", "-m", "79", "-t", "80",
