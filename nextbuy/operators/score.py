@@ -55,7 +55,7 @@ def feature_vectors(h: DataFrame) -> DataFrame:
 class ProductScorer:
     """24 binary logistic regressions, one per product (fit in parallel driver threads)."""
 
-    def __init__(self, max_iter: int = 20, reg_param: float = 0.0, parallelism: int = 8,
+    def __init__(self, max_iter: int = 20, reg_param: float = 0.01, parallelism: int = 8,
                  partition_bytes: int = 128 << 20):
         self.max_iter = max_iter
         self.reg_param = reg_param

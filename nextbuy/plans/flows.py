@@ -76,7 +76,7 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
                     test_month: int = LAST_FILE_MONTH + 1, test_features_path: str | None = None,
                     last_file_month: int = LAST_FILE_MONTH, attr_cols=ATTR_COLS, scale_time: bool = True,
                     include_time: bool = True, seq_len: int = MAX_SEQ_LEN, max_len: int = MAX_SEQ_LEN,
-                    remove_non_buyers: bool = False, max_iter: int = 20, reg_param: float = 0.0,
+                    remove_non_buyers: bool = False, max_iter: int = 20, reg_param: float = 0.01,
                     pred_out: str | None = None, model_path: str | None = None, load_model: bool = False,
                     check_keys: bool = False) -> ScoreResult:
     """Train on months <= train_month, score test_month.
