@@ -48,7 +48,11 @@ def build_feature_tables(spark: SparkSession, raw_path: str, out_dir: str, is_te
     """
     raw = csv_io.read_raw(spark, raw_path, with_products=not is_test)
     stats_from = read_stored(spark, impute_stats_from) if impute_stats_from else None
-    cleaned = impute.impute(clean(raw, base_year, segment_pos), stats_from=stats_from, enabled=do_impute)
+    cleaned = clean(raw, base_year, segment_pos)
+    if do_impute and stats_from is None:
+        # statistics and fill both read the checkpointed rows: the CSV text is parsed once
+        cleaned = cleaned.checkpoint()
+    cleaned = impute.impute(cleaned, stats_from=stats_from, enabled=do_impute)
     prefix = "test" if is_test else ""
     cleaned_path = f"{out_dir.rstrip('/')}/{prefix}df"
     features_path = f"{out_dir.rstrip('/')}/{prefix}catdf"
