@@ -14,7 +14,7 @@ def zscore(c, mean: float, std: float) -> Column:
 
 
 def time_fraction(t, month: int) -> Column:
-    """t / month: 1.0 at the reference month, decreasing linearly backwards."""
+    """t / month: 1.0 at ``month``, decreasing linearly backwards."""
     return _c(t).cast("double") / F.lit(float(month))
 
 
