@@ -5,6 +5,7 @@
                           [-f MODEL_DIR [--load]] [-n MAX_ITER] [--pred-out PRED_DIR]
   python -m nextbuy recommend PRED_DIR SUBMIT_DIR [-d CLEANED] [-m MONTH] [--limit K]
   python -m nextbuy inspect ACTIVATIONS [-n TOP_N] [-s FRACTION] [--out DIR]
+  python -m nextbuy inspect -f MODEL_DIR --features FEATURES [-m TRAIN_MONTH] [-t TEST_MONTH] [-n] [-s]
 
 Run it with spark-submit on a cluster (the session comes from there), or
 with --master for a local run.
@@ -53,7 +54,13 @@ def main(argv=None, spark=None) -> None:
     r.add_argument("--limit", type=int, default=None)
 
     i = sub.add_parser("inspect", help="stratified sample, 2-D projection, top-N per unit")
-    i.add_argument("activations", help="Parquet with id, vec, label")
+    i.add_argument("activations", nargs="?", default=None, help="Parquet with id, vec, label")
+    i.add_argument("-f", "--model", default=None, help="saved models: inspect their 24 margins instead")
+    i.add_argument("--features", default=None, help="feature table (with --model)")
+    i.add_argument("--testset", default=None)
+    i.add_argument("-m", "--train_month", type=int, default=LAST_FILE_MONTH - 1)
+    i.add_argument("-t", "--test_month", type=int, default=LAST_FILE_MONTH)
+    i.add_argument("--last-file-month", type=int, default=LAST_FILE_MONTH)
     i.add_argument("-n", "--top_n_samples", type=int, default=TOP_N_PER_DIM)
     i.add_argument("-s", "--shuffle_split_size", type=float, default=SAMPLE_FRACTION)
     i.add_argument("--out", default=None)
@@ -77,6 +84,14 @@ def main(argv=None, spark=None) -> None:
         res = flows.write_recommendations(spark, a.pred, a.dataset, a.month, a.submit, a.limit)
         res.product_counts.orderBy("k").show(24, truncate=False)
         res.top_tally.orderBy("k").show(24, truncate=False)
+    elif a.cmd == "inspect" and a.model:
+        res = flows.inspect_model(spark, a.features, a.model, a.train_month, a.test_month, a.last_file_month,
+                                  a.testset, fraction=a.shuffle_split_size, top_n=a.top_n_samples)
+        res.label_counts.orderBy("k").show(24, truncate=False)
+        if a.out and res.projections is not None:
+            res.projections.write.mode("overwrite").parquet(f"{a.out}/projections")
+            res.top_per_unit.write.mode("overwrite").parquet(f"{a.out}/top_per_unit")
+        res.top_per_unit.orderBy("dim", "pos").show(40, truncate=False)
     elif a.cmd == "inspect":
         acts = spark.read.parquet(a.activations)
         res = flows.inspect_activations(acts, fraction=a.shuffle_split_size, top_n=a.top_n_samples)

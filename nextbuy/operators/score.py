@@ -110,6 +110,19 @@ class ProductScorer:
                          for k in range(NUM_PRODUCTS)]
         return scorer
 
+    def margins(self, vectors: DataFrame, vec_col: str = "vec") -> DataFrame:
+        """Adds ``vec``: the 24 raw margins (the model's last-layer activations; other columns kept)."""
+        from pyspark.ml.functions import vector_to_array
+
+        keep = [c for c in vectors.columns if c != "features"]
+        out = vectors
+        for k, m in enumerate(self.models):
+            m.setFeaturesCol("features").setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_prob{k}") \
+             .setPredictionCol(f"_pred{k}")
+            out = m.transform(out).withColumn(f"_m{k}", vector_to_array(f"_raw{k}")[1]) \
+                   .drop(f"_prob{k}", f"_pred{k}", f"_raw{k}")
+        return out.select(*keep, F.array(*[F.col(f"_m{k}") for k in range(NUM_PRODUCTS)]).alias(vec_col))
+
     def predict(self, vectors: DataFrame, p_col: str = "p") -> DataFrame:
         """Adds ``p``: the positive-class probability of each product model (other columns kept)."""
         from pyspark.ml.functions import vector_to_array

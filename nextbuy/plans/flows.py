@@ -152,3 +152,50 @@ def inspect_activations(acts: DataFrame, strata_col: str = "label", fraction: fl
     """``acts`` = (id, vec, label): stratified sample, its 2-D PCA, top-N examples per unit."""
     sample = activations.stratified_sample(acts, strata_col, fraction).checkpoint()
     return Inspection(sample, activations.pca_2d(sample), activations.top_n_per_dim(acts, "vec", top_n))
+
+
+@dataclass
+class ModelInspection:
+    label_counts: DataFrame    # per product: positives in its stratified sample and overall (training set)
+    projections: DataFrame     # (k, id, label, pc1, pc2): per product, 2-D PCA of its stratified sample
+    top_per_unit: DataFrame    # (dim, pos, id, value): test customers with the largest margin per product
+
+
+def inspect_model(spark: SparkSession, features_path: str, model_path: str, train_month: int = LAST_FILE_MONTH - 1,
+                  test_month: int = LAST_FILE_MONTH, last_file_month: int = LAST_FILE_MONTH,
+                  test_features_path: str | None = None, attr_cols=ATTR_COLS, scale_time: bool = True,
+                  include_time: bool = True, seq_len: int = MAX_SEQ_LEN, max_len: int = MAX_SEQ_LEN,
+                  fraction: float = SAMPLE_FRACTION, top_n: int = TOP_N_PER_DIM) -> ModelInspection:
+    """Inspect a saved scorer through its 24 margins ("activations").
+
+    Training customers: for every product, a sample stratified by that
+    product's label, its size report and its 2-D projection. Test
+    customers: the ``top_n`` customers with the largest margin per product.
+    Histories are built as ``train_and_score`` builds them (scaled time by
+    default), so the models see the inputs they were fitted on.
+    """
+    feats = read_stored(spark, features_path)
+    width = (2 if include_time else 0) + NUM_PRODUCTS
+    model = score.ProductScorer.load(model_path)
+    train = sequence.build_train(feats, train_month, attr_cols, scale_time_dim=scale_time,
+                                 include_time=include_time, max_len=max_len)
+    train_acts = model.margins(score.feature_vectors(sequence.pad_histories(train, seq_len, width))) \
+                      .select("id", "y", "vec").checkpoint()
+    held_out = test_month <= last_file_month
+    target = None if held_out else sequence.select_target_rows(
+        feats, read_stored(spark, test_features_path) if test_features_path else None, test_month, last_file_month)
+    test = sequence.build_test(feats, target, train_month, test_month, attr_cols, scale_time_dim=scale_time,
+                               include_time=include_time, max_len=max_len)
+    test_acts = model.margins(score.feature_vectors(sequence.pad_histories(test, seq_len, width)))
+    long = train_acts.select("id", "vec", F.posexplode("y").alias("pos", "label")) \
+                     .select((F.col("pos") + 1).alias("k"), "id", "label", "vec")
+    sample = activations.stratified_sample(long, ["k", "label"], fraction).checkpoint()
+    # one projection per product, as the original plots one per product; a product
+    # whose sample has fewer than 2 rows has no covariance and gets no projection
+    sizes = {r["k"]: r["count"] for r in sample.groupBy("k").count().collect()}   # <= 24 rows
+    projections = None
+    for k in sorted(k for k, n in sizes.items() if n >= 2):
+        pk = activations.pca_2d(sample.filter(F.col("k") == k)).select("k", "id", "label", "pc1", "pc2")
+        projections = pk if projections is None else projections.unionByName(pk)
+    return ModelInspection(activations.label_counts(train_acts, fraction), projections,
+                           activations.top_n_per_dim(test_acts, "vec", top_n))

@@ -21,8 +21,15 @@ def test_cli_steps(spark, tmp_path, capsys):
     train_income = spark.read.parquet(f"{out}/df").filter(F.col("income").isNotNull())
     assert test_clean.filter(F.col("income").isNull()).count() == 0
     assert train_income.count() > 0
-    main(["train", f"{out}/catdf", "-m", "78", "-t", "79", "--last-file-month", "79", "-n", "3"], spark=spark)
+    main(["train", f"{out}/catdf", "-m", "78", "-t", "79", "--last-file-month", "79", "-n", "3",
+          "-f", str(tmp_path / "models")], spark=spark)
     assert "MAP@7 on new products" in capsys.readouterr().out
+    main(["inspect", "-f", str(tmp_path / "models"), "--features", f"{out}/catdf", "-m", "78", "-t", "79",
+          "--last-file-month", "79", "-n", "3", "-s", "0.05", "--out", str(tmp_path / "insp")], spark=spark)
+    top = spark.read.parquet(str(tmp_path / "insp/top_per_unit"))
+    assert top.select("dim").distinct().count() == 24 and top.count() == 24 * 3
+    proj = spark.read.parquet(str(tmp_path / "insp/projections"))
+    assert proj.count() > 0 and proj.filter("pc1 IS NULL").count() == 0
     main(["train", f"{out}/catdf", "--testset", f"{out}/testcatdf", "-m", "79", "-t", "80",
           "--last-file-month", "79", "-n", "3", "--pred-out", str(tmp_path / "pred")], spark=spark)
     main(["recommend", str(tmp_path / "pred"), str(tmp_path / "sub"), "-d", f"{out}/df", "-m", "79", "--limit", "7"],
