@@ -80,7 +80,11 @@ class ProductScorer:
         rows = data.count()
         width = len(data.first()["features"]) if rows else 1
         wanted = max(1, -(-rows * (8 * width + 64) // self.partition_bytes))
-        if wanted < data.rdd.getNumPartitions():
+        try:
+            current = data.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - remote sessions expose no RDD; keep the partitioning
+            current = wanted
+        if wanted < current:
             data = data.coalesce(wanted)
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
 

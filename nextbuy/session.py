@@ -70,11 +70,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Uses ``spark.checkpoint.dir`` from the session. Only when nothing is
     configured (local tests) a folder of our own is created.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no SparkContext
+        return configured or tempfile.mkdtemp(prefix="nextbuy-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="nextbuy-ckpt-")
     sc.setCheckpointDir(configured)
