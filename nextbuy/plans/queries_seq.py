@@ -176,3 +176,9 @@ def eval_bce_true_only(spark, sf_dir):
     """EV14: true-only cross-entropy per test customer."""
     t = S.scored_testset(spark, sf_dir)
     return t.select("id", metrics.loss_columns()["bce_true_only"].alias("bce_true_only"))
+
+
+@query("seq_length_report")
+def seq_length_report(spark, sf_dir):
+    """SQ10 report: training customers kept (2..17 months), too short (never scored) or too long."""
+    return sequence.length_report(sequence.month_filter(S.snap(spark, sf_dir), S.TRAIN_MONTH), 2, S.MAX_LEN)

@@ -192,3 +192,7 @@ ORACLES["eval_losses"] = with_(SNAP, EVAL, LOSS_ROWS) + \
     "round(avg(bce_true_only), 6) AS bce_true_only FROM lr GROUP BY ROLLUP (n_obs)"
 
 ORACLES["eval_bce_true_only"] = with_(SNAP, EVAL, LOSS_ROWS) + "SELECT id, round(bce_true_only, 6) AS bce_true_only FROM lr"
+
+ORACLES["seq_length_report"] = with_(SNAP, f"n AS (SELECT id, count(*) AS n FROM snap WHERE t <= {TRAIN_MONTH} GROUP BY id)") + \
+    f"SELECT CASE WHEN n < 2 THEN 'too_short' WHEN n > {MAX_LEN} THEN 'too_long' ELSE 'kept' END AS status, " \
+    "count(*) AS n_customers FROM n GROUP BY 1"
