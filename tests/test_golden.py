@@ -152,3 +152,23 @@ def test_length_report_and_clamped_stats(spark):
     a = {r["id"]: r["attrs"][0] for r in plain.collect()}
     b = {r["id"]: r["attrs"][0] for r in clamped.collect()}
     assert a.keys() == b.keys() and all(a[k] != b[k] for k in a)
+
+
+def test_trainlog_tie_rules(spark):
+    from nextbuy.operators import trainlog
+    log = spark.createDataFrame([(0, "m", 5.0), (1, "m", 5.0), (2, "m", 3.0), (3, "m", 3.0), (4, "m", 4.0),
+                                 (0, "loss", 1.0)], "epoch int, metric string, value double")
+    imp = [(r["epoch"], r["is_best"]) for r in trainlog.improvements(log).orderBy("epoch").collect()]
+    assert imp == [(0, 0), (2, 1)]                       # strict improvements only; the loss is excluded
+    best = trainlog.best_and_last(log.filter("metric = 'm'")).first()
+    assert (best["best_epoch"], best["best_value"], best["last_epoch"], best["last_value"]) == (2, 3.0, 4, 4.0)
+    periodic = [r["epoch"] for r in trainlog.periodic_improvements(log).collect()]
+    assert periodic == [2]                                # epochs 2 and 4 are checked; 4 does not improve
+
+
+def test_history_outer_target_keeps_both_sides(spark):
+    hist = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "id long, t int")
+    tgt = spark.createDataFrame([(1, 3), (3, 3)], "id long, t int")
+    rows = {r["id"]: (r["t_count"], r["t_max"], r["target_t"])
+            for r in sequence.history_outer_target(hist, tgt).collect()}
+    assert rows == {1: (2, 2, 3), 2: (1, 1, None), 3: (None, None, 3)}
