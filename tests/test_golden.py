@@ -172,3 +172,11 @@ def test_history_outer_target_keeps_both_sides(spark):
     rows = {r["id"]: (r["t_count"], r["t_max"], r["target_t"])
             for r in sequence.history_outer_target(hist, tgt).collect()}
     assert rows == {1: (2, 2, 3), 2: (1, 1, None), 3: (None, None, 3)}
+
+
+def test_feature_vectors_width_and_nulls(spark):
+    from nextbuy.operators import score
+    h = spark.createDataFrame([(1, [0.5, None], [[1.0, 2.0], [3.0, 4.0]], [1, 0])],
+                              "id long, attrs array<double>, x array<array<double>>, y array<int>")
+    v = score.feature_vectors(h).first()
+    assert list(v["features"]) == [0.5, 0.0, 1.0, 2.0, 3.0, 4.0] and v["y"] == [1, 0]
