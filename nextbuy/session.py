@@ -64,29 +64,41 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """True when driver and executors share one machine (and so its temp folder)."""
+    try:
+        return spark.sparkContext.master.split("[")[0] == "local"
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no SparkContext
+        return False
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     Uses ``spark.checkpoint.dir`` from the session. Only when nothing is
-    configured (local tests) a folder of our own is created.
+    configured and the master is local (tests) a folder of our own is
+    created; on a cluster a missing setting is an error, because a
+    machine-local folder is not seen by the other executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a remote (Connect) session has no SparkContext
-        return configured or tempfile.mkdtemp(prefix="nextbuy-ckpt-")
-    current = sc.getCheckpointDir()
+        sc = None
+    current = sc.getCheckpointDir() if sc else None
     if current:
         return current
     if not configured:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="nextbuy-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if sc:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def shared_output_dir(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables, under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
-
-
