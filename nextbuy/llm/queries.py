@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import sha256_hex
+from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
+from .packing import pack
+from .quality import classify_quality
 from .sharding import shard_by_bytes
 from .sql import ORACLE_SQL
 from .url_filter import TASK_RULES, url_verdicts
@@ -23,6 +26,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learnt from labels that are not held out."""
+    return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup of all documents: doc_id, keep_id, group_size, kept, text_sha256."""
+    return dedup_exact(read_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces packed into sequences of at most 4096 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"), capacity=4096)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; grown_shard belongs to another law and is null."""
     placed = shard_by_bytes(read_table(spark, sf_dir, "documents"), n_shards=40)
@@ -35,6 +53,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_line_dedup, op8_sharding, op10_url_filter)
+    f.__name__: f for f in (op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op8_sharding, op10_url_filter)
 }
 LLM_ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in LLM_QUERIES}

@@ -14,6 +14,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP5 = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+       sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm)
+"""
+
 OP10 = """
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -29,5 +36,6 @@ FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.rn = 1
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4,
+    "op5_exact_dedup": OP5,
     "op10_url_filter": OP10,
 }
