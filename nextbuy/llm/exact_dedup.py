@@ -19,7 +19,6 @@ A text's rows are then those of its owner and of the known groups linked to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,7 +71,7 @@ def build_filters(digests: DataFrame, n_buckets: int) -> DataFrame:
 def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
     """The digests that the snapshot's filters let through."""
 
-    def probe(key, incoming: Iterator[pd.DataFrame] | pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    def probe(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if not len(filters) or not len(incoming):
             return pd.DataFrame({"digest": pd.Series([], dtype="int64")})
         f = filters.iloc[0]

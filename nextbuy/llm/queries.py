@@ -11,6 +11,7 @@ from ..sources.tables import read_table
 from .common import sha256_hex
 from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
+from .minhash import near_duplicates
 from .packing import pack
 from .quality import classify_quality
 from .sharding import shard_by_bytes
@@ -47,12 +48,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("*", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents (2-word shingles, similarity 0.8)."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL under the task's rules."""
     return url_verdicts(read_table(spark, sf_dir, "pages"), TASK_RULES)
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op8_sharding, op10_url_filter)
+    f.__name__: f for f in (op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op8_sharding, op9_minhash,
+                           op10_url_filter)
 }
 LLM_ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in LLM_QUERIES}
