@@ -7,6 +7,7 @@ rows repeated with the same id and text simply share one key and one result.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,12 @@ def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text): other columns, whatever their names, cannot interfere. Null text becomes empty."""
     return docs.select(docs[id_col].alias("doc_id"),

@@ -16,6 +16,7 @@ from .packing import pack
 from .quality import classify_quality
 from .sharding import shard_by_bytes
 from .sql import ORACLE_SQL
+from .suffix_dedup import remove_repeats
 from .url_filter import TASK_RULES, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 200-byte strings of all documents removed: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    kept = remove_repeats(read_table(spark, sf_dir, "documents"), length=200)
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents, learnt from labels that are not held out."""
     return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -59,7 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op8_sharding, op9_minhash,
-                           op10_url_filter)
+    f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op8_sharding,
+                           op9_minhash, op10_url_filter)
 }
 LLM_ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in LLM_QUERIES}
