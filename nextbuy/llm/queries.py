@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from .common import sha256_hex
+from .decontaminate import contamination
 from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
@@ -50,6 +51,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents overlap with benchmark items, substitutions tolerated."""
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; grown_shard belongs to another law and is null."""
     placed = shard_by_bytes(read_table(spark, sf_dir, "documents"), n_shards=40)
@@ -67,7 +73,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op8_sharding,
+    f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op7_decontamination, op8_sharding,
                            op9_minhash, op10_url_filter)
 }
 LLM_ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in LLM_QUERIES}
