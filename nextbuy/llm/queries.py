@@ -14,6 +14,7 @@ from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack
+from .pii import replace_pii
 from .quality import classify_quality
 from .sharding import shard_by_bytes
 from .sql import ORACLE_SQL
@@ -36,6 +37,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents replaced by surrogates: doc_id, n_entities, found, text."""
+    clean = replace_pii(read_table(spark, sf_dir, "documents"), key="nextbuy")
+    return clean.select("doc_id", F.size("found").cast("long").alias("n_entities"), F.array_join("found", ",").alias("found"), "text")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents, learnt from labels that are not held out."""
     return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -73,7 +80,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op7_decontamination, op8_sharding,
+    f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op7_decontamination, op8_sharding,
                            op9_minhash, op10_url_filter)
 }
 LLM_ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in LLM_QUERIES}
