@@ -10,11 +10,11 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_output_dir
+from ..session import share_package, shared_output_dir
 
 #: The ASCII white space of all contracts: space, tab, LF, VT, FF, CR.
 ASCII_WS = " \t\n\x0b\x0c\r"
@@ -45,6 +45,7 @@ def release(spark: SparkSession) -> None:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text): other columns, whatever their names, cannot interfere. Null text becomes empty."""
+    share_package(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"),
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
@@ -57,6 +58,13 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     "doc_id", "text")
 
 
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """All columns of ``docs`` and the two columns of the row key, under names that ``docs`` does not have."""
+    text, tag = F.coalesce(docs[text_col].cast("string"), F.lit("")), F.coalesce(docs[id_col].cast("string"), F.lit("~null"))
+    keys = [fresh(docs, "k1"), fresh(docs, "k2")]
+    return docs.withColumns({keys[0]: F.xxhash64(tag, text), keys[1]: F.xxhash64(F.lit(7), text, tag)}), keys
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else (``lower`` would also fold other letters)."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
@@ -85,3 +93,24 @@ def fresh(df: DataFrame, base: str) -> str:
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType.fromDDL(ddl))
+
+
+def apply_decisions(rows: DataFrame, decisions: DataFrame, keys: list[str], max_broadcast: int = 500_000) -> DataFrame:
+    """The rows whose key some decision (``keys``, kept) keeps; of rows that repeat a key as many as are kept.
+
+    Only what is dropped is looked up: broadcast when proven small, otherwise
+    joined by a shuffle.
+    """
+    counts = decisions.groupBy(*keys).agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n_all"))
+    less = stored(counts.filter("n_kept < n_all"), "dropped")
+    gone = less.filter("n_kept = 0").select(*keys)
+    out = rows.join(F.broadcast(gone) if fits_broadcast(gone, max_broadcast) else gone, keys, "left_anti")
+    some = less.filter("n_kept > 0").select(*keys, "n_kept")
+    if some.isEmpty():  # no key repeats
+        return out
+    some = F.broadcast(some) if fits_broadcast(some, max_broadcast) else some
+    place, kept = fresh(rows, "place"), fresh(rows, "n_kept")
+    repeated = out.join(some.withColumnRenamed("n_kept", kept), keys)
+    repeated = repeated.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    return out.join(some.select(*keys), keys, "left_anti").unionByName(
+        repeated.filter(F.col(place) <= F.col(kept)).select(*out.columns))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, fits_broadcast, id_text, keyed, stored
+from .common import KEY, fits_broadcast, id_text, keyed, stored, with_row_key
 
 #: The token positions each mask selects. Fixed, the same for items and documents.
 MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 6, 7)]
@@ -121,3 +121,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out = docs.select(*KEY, "doc_id").join(_small(stored(per_doc, "contaminated")), KEY, "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
                       F.coalesce("max_agree", F.lit(0)).alias("max_agree"), "first_item")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without a verified overlap with a test item."""
+    rows, keys = with_row_key(docs, id_col, text_col)
+    found = find_overlaps(keyed(docs, id_col, text_col), searched_items(items, item_id_col, item_text_col))
+    found = stored(found.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1])).distinct(), "contaminated")
+    return rows.join(_small(found), keys, "left_anti").select(*docs.columns)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, id_text, stored
+from .common import apply_decisions, fits_broadcast, fresh, id_text, stored
 from .fuse import FuseFilter
 
 #: Digest lists of up to this many rows (8 bytes each) may be broadcast.
@@ -124,7 +124,7 @@ def dedup_exact(docs: DataFrame, n_batches: int = 3, digests_per_filter: int = 1
     all_parts = parts[0]
     for p in parts[1:]:
         all_parts = all_parts.unionByName(p)
-    texts = all_parts.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    texts = stored(all_parts.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "texts")
     # rows repeated with one id and text are one row with a count until the end
     counted = measures.groupBy("sha", "doc_id").agg(F.count("*").cast("int").alias("copies"))
     out = counted.select(F.unhex("sha").alias("sha"), "doc_id", "copies").join(texts, "sha")
@@ -132,3 +132,13 @@ def dedup_exact(docs: DataFrame, n_batches: int = 3, digests_per_filter: int = 1
     return out.select("doc_id", "keep_id", "group_size",
                       (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
                       F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``dedup_exact`` keeps."""
+    tag, sha = fresh(docs, "tag"), fresh(docs, "sha")
+    decided = dedup_exact(docs, id_col=id_col, text_col=text_col, **options)
+    decided = decided.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~null")).alias(tag), F.col("text_sha256").alias(sha), "kept")
+    own = normalised(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    rows = docs.withColumns({tag: F.coalesce(docs[id_col].cast("string"), F.lit("~null")), sha: F.sha2(own.cast("binary"), 256)})
+    return apply_decisions(rows, decided, [tag, sha]).select(*docs.columns)

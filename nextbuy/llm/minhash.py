@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, fits_broadcast, keyed, stored
+from .common import KEY, apply_decisions, fits_broadcast, keyed, stored, with_row_key
 from .components import components
 from .textnp import WORDS, doc_blocks, long_tokens, mix, utf8
 
@@ -290,7 +290,19 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
     of rows repeated with one id, one. Null text counts as empty. Only id and
     text are read; no rows give no rows.
     """
-    docs = keyed(docs, id_col, text_col)
+    return _decided(keyed(docs, id_col, text_col), words, percent, star_rounds).drop(*KEY)
+
+
+def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
+                     star_rounds: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each near-duplicate component, and every text without words."""
+    rows, keys = with_row_key(docs, id_col, text_col)
+    decided = _decided(keyed(docs, id_col, text_col), words, percent, star_rounds)
+    return apply_decisions(rows, decided.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]), "kept"), keys).select(*docs.columns)
+
+
+def _decided(docs: DataFrame, words: int, percent: int, star_rounds: int) -> DataFrame:
+    """(k1, k2, doc_id, n_shingles, component_id, kept) of keyed documents."""
     sketches = stored(sketch(docs, words), "sketches")
     one = sketches.filter("n > 0").dropDuplicates(["s1", "s2"]).withColumn("node", F.monotonically_increasing_id())
     nodes = stored(one.select("node", "n", "s1", "s2", *KEY, "regs"), "nodes")  # written once: the numbers are fixed
@@ -327,5 +339,5 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
     out = rows.join(per_set, ["s1", "s2"], "left").select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     mine = (F.col("stay.k1") == F.col("k1")) & (F.col("stay.k2") == F.col("k2")) & (F.col("copy") == 1)
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("stay.doc_id")).alias("component_id"),
+    return out.select(*KEY, "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("stay.doc_id")).alias("component_id"),
                       F.when(alone, F.lit(True)).otherwise(mine).alias("kept"))

@@ -15,9 +15,12 @@ filled bins per task.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,44 +29,92 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_text, stored
-from .textnp import pieces_at_white_space
 
 CLOSING_ID = 1
-_WORD_LIMIT = 300_000
+_WORD_LIMIT = 1_000_000
+_PART = 1 << 19
+_WHITE_SPACE = re.compile(r"[ \t-\r]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Encodes texts word by word with a bounded cache.
+    """Encodes texts word by word with a bounded cache of words' ids.
 
     The vocabulary drops white space, so the ids of a text are those of its
-    pieces between ASCII white space, one after the other.
+    parts between ASCII white space, one after the other. Texts of Latin-1
+    characters only are cut further, lower-cased, where the vocabulary itself cuts them
+    (fixed rule below), because few words are new once case and punctuation
+    are off. Other texts, and those with a special token's string, go to the
+    tokenizer in parts between white space.
     """
 
-    def __init__(self, path: str):
-        import os
+    #: Fixed by the vocabulary: contractions, runs of letters, single numbers, runs of the rest (Latin-1, lower-cased).
+    CUTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\xaa\xb5\xba]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+                      "|[^\t-\r \x85\xa0a-z\xdf-\xf6\xf8-\xff\xaa\xb5\xba0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids, without the closing id."""
-        out = []
-        for part in pieces_at_white_space(text, 1 << 20):
-            words = part.split()
-            cache = self.cache
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if new:
+        self.cut: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, little-endian unsigned 32-bit, without the closing id."""
+        out = [b""] * len(texts)
+        parts = [(i, part) for i, text in enumerate(texts) for part in parts_at_white_space(text, _PART)]
+        at = 0
+        while at < len(parts):  # words new to the cache are learnt together, for about _PART characters at a time
+            size, end = 0, at
+            while end < len(parts) and (end == at or size + len(parts[end][1]) <= _PART):
+                size += len(parts[end][1])
+                end += 1
+            cut = [(i, self.CUTS.findall(p.lower())) if "<|" not in p and _latin1(p) else None for i, p in parts[at:end]]
+            raw = [(i, _WHITE_SPACE.split(p)) if c is None else None for c, (i, p) in zip(cut, parts[at:end], strict=True)]
+            for own, cache, learn in ((cut, self.cut, self._learn_cuts), (raw, self.raw, self._learn_raw)):
                 if len(cache) > _WORD_LIMIT:
                     cache.clear()
-                    new = list(dict.fromkeys(words))
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            out.append(b"".join(map(cache.__getitem__, words)))
-        return b"".join(out)
+                new = dict.fromkeys(w for x in own if x for w in x[1])
+                if new := [w for w in new if w not in cache]:
+                    learn(new)
+            for c, r in zip(cut, raw, strict=True):
+                i, words = c or r
+                out[i] += b"".join(map((self.cut if c else self.raw).__getitem__, words))
+            at = end
+        return out
+
+    def _learn_cuts(self, new: list[str]) -> None:
+        """Encode words that the vocabulary does not cut any further, all in one text."""
+        found = self.tokenizer.encode_batch([" ".join(new)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new) + 1)) * 4
+        for w, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            self.cut[w] = ids[a:b]
+
+    def _learn_raw(self, new: list[str]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            self.raw[w] = np.array(e.ids, "<u4").tobytes()
+
+
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def parts_at_white_space(text: str, limit: int) -> Iterator[str]:
+    """``text`` in parts of about ``limit`` characters, cut only at ASCII white space."""
+    at = 0
+    while len(text) - at > limit:
+        cut = _WHITE_SPACE.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at:cut.start()]
+        at = cut.end()
+    yield text[at:]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -87,7 +138,14 @@ def tokenize(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path(tokenizer)
-        encode = _encoders.setdefault(path, None) or _encoders.update({path: WordEncoder(path)}) or _encoders[path]
+        if path not in _encoders:
+            _encoders[path] = WordEncoder(path)
+        encode = _encoders[path]
+
+        def own_ids(texts: pa.Array) -> Iterator[bytes]:
+            for i in range(0, len(texts), 256):
+                yield from encode(texts.slice(i, 256).to_pylist())
+
         names = ["doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
             rows: list[tuple[int, int, int, int, bytes]] = []
@@ -99,9 +157,8 @@ def tokenize(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_4
                 return pa.RecordBatch.from_arrays([own, pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
                                                    pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names)
 
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                ids = encode(texts[i].as_buffer().to_pybytes()) + closing
+            for i, ids in enumerate(own_ids(batch.column(1))):
+                ids += closing
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((i, k, at // 4, len(part) // 4, part))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text
+from .common import fresh, id_text
 from .textnp import WORDS_AND_MARKS, doc_blocks, long_tokens, mix, utf8
 
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
@@ -79,15 +79,20 @@ class QualityModel:
         """(doc_id, score) of every row; a null or empty text gets the bias alone. Only id and text are read."""
         rows = id_text(docs, id_col, text_col)
         schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-        return rows.mapInArrow(self._scorer(), schema)
+        return rows.mapInArrow(self._scorer(1, ["doc_id", "score"]), schema)
 
-    def _scorer(self):
+    def add_score(self, docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+        """All rows and columns of ``docs`` and the score as the column ``name``."""
+        return docs.mapInArrow(self._scorer(docs.columns.index(text_col), [*docs.columns, name]),
+                               T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+    def _scorer(self, text_at: int, names: list[str]):
         weights, bits, scale = self.weights, self.bits, self.scale
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = score_column(batch.column(1), weights, bits, scale)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+                scores = score_column(batch.column(text_at), weights, bits, scale)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(names) - 1], pa.array(scores)], names)
 
         return run
 
@@ -147,6 +152,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int, id_co
     return id_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id")  # bounded by max_train_rows
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train_rows: int = 20_000, id_col: str = "doc_id",
+              text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold (see ``classify_quality``)."""
+    model = fit(training_rows(docs, labels, max_train_rows, id_col, text_col), **options)
+    name = fresh(docs, "score")
+    return model.add_score(docs, name, text_col).filter(F.col(name) >= threshold).drop(name)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train_rows: int = 20_000,
                      id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from corpus_pipeline import run as pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,4 +84,5 @@ LLM_QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op7_decontamination, op8_sharding,
                            op9_minhash, op10_url_filter)
 }
+LLM_QUERIES["pipeline"] = pipeline
 LLM_ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in LLM_QUERIES}
