@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,12 +59,25 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> d
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Settings the results depend on, for a session created elsewhere:
-    UTC session time (month boundaries of timestamps) and a checkpoint folder."""
+    UTC session time (month boundaries of timestamps), a checkpoint folder and
+    the package's place for Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    share_package(spark)
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (else ship it with --py-files)."""
+    try:
+        env = spark.sparkContext.environment
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no SparkContext
+        return
+    root, paths = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def _is_local(spark: SparkSession) -> bool:
     """True when driver and executors share one machine (and so its temp folder)."""
     try:
