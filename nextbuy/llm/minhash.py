@@ -14,11 +14,12 @@
 4. *Verify.* Candidates are confirmed on their full sets.
 
 Groups need only be connected, so pairs within a band are not listed. In a few
-star rounds each node is tested against one centre of its bands that lies in
-another component, and components are contracted. What then remains, pairs
-of a band whose nodes still lie in different components, is compared exhaustively in
-blocks of a band, so no link is lost; only pairs that pass the estimate become
-rows.
+star rounds each node that is still alone is tested against the most
+similar centre of its bands (one centre a band and round), and takes that centre's label.
+Then, in each band that still holds several labels, the nodes outside the
+largest one are compared with all nodes of the band, in blocks of bounded
+size, so no link is lost: what passes the estimate in a block is verified there, and only
+links that join two labels leave it.
 """
 
 from __future__ import annotations
@@ -102,8 +103,7 @@ def _collision_rate(size_class: int) -> float:
     low = 0.5 ** (lead + 1) * (1 + cell / (1 << _MANTISSA))
     high = low + 0.5 ** (lead + 1) / (1 << _MANTISSA)
     chance = np.exp(per_bucket * np.log1p(-low)) - np.exp(per_bucket * np.log1p(-np.minimum(high, 1 - 1e-12)))
-    total = 1 - np.exp(per_bucket * np.log1p(-0.5**45))
-    return float((chance**2).sum() / max(total, 1e-9) ** 2) if per_bucket >= 1 else float(2.0 ** -_MANTISSA)
+    return float((chance**2).sum()) if per_bucket >= 1 else 2.0**-_MANTISSA
 
 
 def similar_enough(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b) pairs those that pass the estimate, with the number of agreeing registers: (a, b, equal)."""
+    """Of (a, la, b) rows those that pass the estimate, with the number of agreeing registers (``equal``)."""
     own = nodes.select("node", "n", "regs")
     rows = pairs.join(own.toDF("a", "na", "ra"), "a").join(own.toDF("b", "nb", "rb"), "b")
 
@@ -169,9 +169,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for pdf in batches:
             equal = (_matrix(pdf["ra"], len(pdf)) == _matrix(pdf["rb"], len(pdf))).sum(1)
             ok = similar_enough(equal, pdf["na"].to_numpy(), pdf["nb"].to_numpy(), percent)
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "equal": equal})[ok]
+            yield pd.DataFrame({"a": pdf["a"], "la": pdf["la"], "b": pdf["b"], "equal": equal})[ok]
 
-    return rows.mapInPandas(run, "a long, b long, equal long")
+    return rows.mapInPandas(run, "a long, la long, b long, equal long")
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -190,8 +190,8 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
                     [batch.column(0).slice(i, j - i), pa.array([sets[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())],
                     ["node", "shingles"])
 
-    made = texts.mapInArrow(run, "node long, shingles binary")
-    return stored(made.dropDuplicates(["node"]), "sets")  # rows repeated with one id and text share a node
+    # a row repeated with one id and text gives its node's set again, which does no harm
+    return stored(texts.mapInArrow(run, "node long, shingles binary"), "sets")
 
 
 def _linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -202,83 +202,144 @@ def _linked(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets are similar enough."""
-    rows = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """The (a, b, label) rows whose nodes' full sets are similar enough."""
+    rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [_linked(x, y, percent) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
-            yield pdf.loc[ok, ["a", "b"]]
-
-    return rows.mapInPandas(run, "a long, b long")
-
-
-def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a band in different components that pass the estimate: (a, b, block).
-
-    ``members`` has (band, node, comp). A band is cut into parts of about
-    ``BLOCK_NODES`` nodes; every two parts are compared in a task. A
-    pair is reported in the first band it shares.
+            yield pdf.loc[ok, ["a", "b", "label"]]
+
+    return rows.select("a", "b", "label", "sa", "sb").mapInPandas(run, "a long, b long, label long")
+
+
+def _star_round(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, number: int) -> tuple[DataFrame, DataFrame]:
+    """(members with new labels, verified links). A band's centre is its node with the least hash in this round."""
+    least = F.min(F.struct(F.xxhash64(F.lit(number), "node").alias("o"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")))
+    centre = members.groupBy("band").agg(least.alias("c")).select("band", "c.a", "c.na", F.col("c.la").alias("la"))
+    star = members.filter("label = node").join(centre, "band").filter("la <> label")
+    star = star.filter(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", "la", F.col("node").alias("b")).distinct()
+    best = _estimated(star, nodes, percent).groupBy("b").agg(F.max(F.struct("equal", "a", "la")).alias("m"))
+    best = stored(best.select(F.col("m.a").alias("a"), "b", F.col("m.la").alias("label")), "pairs")
+    sets = _sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, words)
+    links = stored(_verified(best, sets, percent), "links")
+    label = links.select(F.col("b").alias("node"), "label")
+    further = label.toDF("label", "next")  # the label's own node may have taken another one
+    label = label.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("new"))
+    members = members.join(label, "node", "left").select("band", "node", "n", F.coalesce("new", "label").alias("label"))
+    return stored(members, "members"), links.select("a", "b")
+
+
+def _in_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """What passes the estimate across labels: (block, node, label, near), ``near`` listing nodes of the same block.
+
+    Of a band's nodes those outside its most frequent label are compared with
+    all. Both sides are cut into parts of about ``BLOCK_NODES`` nodes; a block
+    is one part of each. A pair is listed in the first band it shares.
     """
-    size = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("parts"))
-    rows = members.join(size, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.select("band", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp")
-    rows = rows.join(nodes.select("node", "n", "regs"), "node").withColumn("block", F.xxhash64("band", "i", "j"))
-    dealt = rows.repartition("block").sortWithinPartitions("block", "node").select("block", "band", "i", "j", "part", "node", "comp", "n", "regs")
-
-    def compare(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        block, part, node, comp, n, i, j = (pdf[c].to_numpy() for c in ("block", "part", "node", "comp", "n", "i", "j"))
-        regs, band = _matrix(pdf["regs"], len(pdf)), pdf["band"].to_numpy()
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(
+        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter("all > top.c")
+    parts = lambda c: F.ceil(c / BLOCK_NODES).cast("int")
+    sizes = sizes.select("band", F.col("top.label").alias("top"), parts(F.col("all")).alias("pa"), parts(F.col("all") - F.col("top.c")).alias("pm"))
+    rows = members.join(sizes, "band")
+    h = F.xxhash64("node")
+    whole = F.transform(F.sequence(F.lit(0), F.col("pm") - 1), lambda i: F.struct(
+        i.alias("i"), F.pmod(h, F.col("pa")).cast("int").alias("j"), F.lit(False).alias("minor")))
+    minor = F.transform(F.sequence(F.lit(0), F.col("pa") - 1), lambda j: F.struct(
+        F.pmod(h, F.col("pm")).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("minor")))
+    minor = F.when(F.col("label") != F.col("top"), minor).otherwise(F.slice(minor, 1, 0))
+    rows = rows.select("band", "node", "label", F.inline(F.concat(whole, minor))).withColumn("block", F.xxhash64("band", "i", "j"))
+    rows = rows.select("block", "band", "minor", "node", "label").join(nodes.select("node", "n", "regs"), "node")
+    dealt = rows.repartition("block").sortWithinPartitions("block", "node").select("block", "band", "minor", "node", "label", "n", "regs")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        block, band, minor, node, label, n = (pdf[c].to_numpy() for c in ("block", "band", "minor", "node", "label", "n"))
+        regs = _matrix(pdf["regs"], len(pdf))
         keys = band_keys(regs)
-        group = np.cumsum(np.append(0, block[1:] != block[:-1]))
-        for d in range(1, int(np.bincount(group).max())):
-            x = np.flatnonzero(group[:-d] == group[d:])
-            y = x + d
-            wanted = (comp[x] != comp[y]) & ((part[x] != part[y]) | (i[x] == j[x]))
-            x, y = x[wanted], y[wanted]
-            shared = keys[x] == keys[y]
-            first = keys[x, shared.argmax(1)] == band[x]
+        start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        size = np.diff(np.append(start, len(block)))
+        small = np.repeat(size <= 16, size)
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            ok = label[x] != label[y]
+            x, y = x[ok], y[ok]
+            first = keys[x, (keys[x] == keys[y]).argmax(1)] == band[x]
             x, y = x[first], y[first]
             ok = similar_enough((regs[x] == regs[y]).sum(1), n[x], n[y], percent)
             if ok.any():
-                yield pd.DataFrame({"a": node[x[ok]], "b": node[y[ok]], "block": block[x[ok]]})
+                near.append((x[ok], y[ok]))
+
+        for d in range(1, 16):  # small blocks: all of them at once, by distance
+            x = np.flatnonzero((block[:-d] == block[d:]) & small[d:] & (minor[:-d] != minor[d:])) if d < len(block) else np.zeros(0, int)
+            if len(x):
+                take(np.where(minor[x], x, x + d), np.where(minor[x], x + d, x))
+        for s, c in zip(start[size > 16], size[size > 16], strict=True):
+            own = np.arange(s, s + c)
+            others = own[~minor[own]]
+            for x in own[minor[own]]:
+                take(np.full(len(others), x), others)
+        if not near:
+            return None
+        x, y = (np.concatenate(v) for v in zip(*near, strict=True))
+        lists = pd.DataFrame({"x": x, "y": node[y]}).groupby("x")["y"].agg(list)
+        rest = np.setdiff1d(y, lists.index.to_numpy())
+        at = np.concatenate([lists.index.to_numpy(), rest])
+        return pd.DataFrame({"block": block[at], "node": node[at], "label": label[at], "near": [*lists, *[[]] * len(rest)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf["block"] == pdf["block"].iloc[-1]  # may go on in the next batch
-            held, whole = pdf[last], pdf[~last]
-            if len(whole):
-                yield from compare(whole)
-        if held is not None:
-            yield from compare(held)
+        for whole in _whole_blocks(batches):
+            if (found := compare(whole)) is not None:
+                yield found
 
-    return dealt.mapInPandas(run, "a long, b long, block long")
+    return dealt.mapInPandas(run, "block long, node long, label long, near array<long>")
 
 
-def _verified_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """As ``_verified``, each set travelling once per block of a band instead of once per pair."""
-    used = pairs.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block, regrouped so that no block is cut."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = pdf["block"] == pdf["block"].iloc[-1]  # may go on in the next batch
+        held = pdf[last]
+        if not last.all():
+            yield pdf[~last]
+    if held is not None and len(held):
+        yield held
 
-    def run(own: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(have["node"], have["shingles"], strict=True))
-        ok = [_linked(of[a], of[b], percent) for a, b in zip(own["a"], own["b"], strict=True)]
-        return own.loc[ok, ["a", "b"]]
 
-    return pairs.groupBy("block").cogroup(used.groupBy("at")).applyInPandas(run, "a long, b long")
+def _links_across(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The verified (a, b) that join two labels of a block; each set travels once per block."""
+    rows = found.join(sets, "node").repartition("block").sortWithinPartitions("block", "node")
 
-
-def _contracted(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members of bands that still hold several components, links contracted to one per node)."""
-    comps = stored(components(links), "components")
-    named = members.select("band", "node", "n").join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
-    return stored(named.join(mixed, "band"), "members"), comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rounds: int = 3, id_col: str = "doc_id",
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_blocks(batches):
+            links = []
+            for _, own in pdf.groupby("block", sort=False):
+                of = dict(zip(own["node"], own["shingles"], strict=True))
+                label = dict(zip(own["node"], own["label"], strict=True))
+                parent = {x: x for x in label.values()}
+
+                def root(x: int, parent=parent) -> int:
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                for a, near in zip(own["node"], own["near"], strict=True):
+                    for b in near:
+                        x, y = root(label[a]), root(label[b])
+                        if x != y and _linked(of[a], of[b], percent):
+                            parent[x] = y
+                            links.append((a, b))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    return rows.select("block", "node", "label", "near", "shingles").mapInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rounds: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -294,7 +355,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
 
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-                     star_rounds: int = 3) -> DataFrame:
+                     star_rounds: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each near-duplicate component, and every text without words."""
     rows, keys = with_row_key(docs, id_col, text_col)
     decided = _decided(keyed(docs, id_col, text_col), words, percent, star_rounds)
@@ -308,25 +369,16 @@ def _decided(docs: DataFrame, words: int, percent: int, star_rounds: int) -> Dat
     nodes = stored(one.select("node", "n", "s1", "s2", *KEY, "regs"), "nodes")  # written once: the numbers are fixed
     banded = _banded(nodes)
     shared = banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
-    members = stored(banded.join(shared, "band").withColumn("comp", F.col("node")), "members")
+    # a node's label is a node that it is known to be connected with
+    members = stored(banded.join(shared, "band").select("band", "node", "n", F.col("node").alias("label")), "members")
     links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    for r in range(star_rounds):
-        if members.isEmpty():  # no band holds two components: every link is found
-            break
-        # a band's centre in this round: the node whose hash is least
-        order = lambda c: F.xxhash64(F.lit(r), c)  # noqa: B023, E731
-        centre = members.groupBy("band").agg(F.min(order("node")).alias("o"))
-        centre = members.join(centre, "band").filter(order("node") == F.col("o")).select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        star = members.join(centre, "band").filter("ca <> comp").filter(100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
-        star = star.select("a", F.col("node").alias("b")).distinct()
-        best = _estimated(star, nodes, percent).groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        best = stored(best, "pairs")
-        sets = _sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, words)
-        members, links = _contracted(members, links.unionByName(_verified(best, sets, percent)))
     if not members.isEmpty():
-        pairs = stored(_across(members, nodes, percent), "pairs")
-        sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, words)
-        links = links.unionByName(_verified_in_blocks(pairs, sets, percent))
+        for r in range(star_rounds):
+            members, new = _star_round(members, nodes, docs, words, percent, r)
+            links = links.unionByName(new)
+        found = stored(_in_blocks(members, nodes, percent), "near")
+        sets = _sets_of(found.select("node").distinct(), nodes, docs, words)
+        links = links.unionByName(_links_across(found, sets, percent))
     comps = components(links)
     # per set, then per component: the row that stays
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
