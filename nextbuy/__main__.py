@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import argparse
 
-from .constants import BASE_YEAR, LAST_FILE_MONTH, MAX_SEQ_LEN, SAMPLE_FRACTION, TOP_N_PER_DIM
+from .constants import BASE_YEAR, LAST_FILE_MONTH, SAMPLE_FRACTION, TOP_N_PER_DIM
 from .plans import flows
 from .session import get_spark
 
@@ -43,7 +43,7 @@ def main(argv=None, spark=None) -> None:
     t.add_argument("-f", "--model", default=None, help="folder to save (or with --load, to read) the models")
     t.add_argument("--load", action="store_true")
     t.add_argument("-n", "--max_iter", type=int, default=20)
-    t.add_argument("--seq-len", type=int, default=MAX_SEQ_LEN)
+    t.add_argument("--seq-len", type=int, default=None, help="steps to pad to (default: the longest possible history)")
     t.add_argument("--pred-out", default=None)
 
     r = sub.add_parser("recommend", help="ranked lists of new products")

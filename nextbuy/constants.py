@@ -91,7 +91,7 @@ ATTR_COLS = [
 # Defaults of the original scripts.
 BASE_YEAR = 2015          # t = 1 is January of this year
 LAST_FILE_MONTH = 17      # last month of the training file
-MAX_SEQ_LEN = 17          # longest history kept for training (test: + 1)
+MAX_SEQ_LEN = 17          # months in the original file: the bound of the optional length cut
 TOP_K = 7                 # MAP@K and the recommendation tally
 BATCH_SIZE = 256
 NUM_EPOCHS = 20

@@ -85,10 +85,10 @@ def mean_squared_error(y_true, y_pred) -> Column:
 
 
 def categorical_crossentropy(y_true, y_pred, eps: float = LOSS_EPS) -> Column:
-    """-sum(y * ln(clip(p / sum(p))))."""
+    """-sum(y * ln(clip(p / sum(p)))); scores that are all zero have shares of zero."""
     p = _c(y_pred)
     s = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
-    return -F.aggregate(F.zip_with(_c(y_true), p, lambda y, q: y * F.ln(_clip(q / s, eps))),
+    return -F.aggregate(F.zip_with(_c(y_true), p, lambda y, q: y * F.ln(_clip(F.coalesce(F.try_divide(q, s), F.lit(0.0)), eps))),
                         F.lit(0.0), lambda a, b: a + b)
 
 
@@ -100,8 +100,9 @@ def bce_true_only(y_true, y_pred, eps: float = LOSS_EPS) -> Column:
 
 
 def left_pad(x, seq_len: int, width: int, value: float = PAD_VALUE) -> Column:
-    """Prepend rows of ``value`` so that the sequence has ``seq_len`` steps."""
+    """Prepend rows of ``value`` so that the sequence has ``seq_len`` steps; a longer sequence is an error."""
     x = _c(x)
+    x = F.when(F.size(x) > seq_len, F.raise_error(F.concat(F.lit("a history has more steps than seq_len: "), F.size(x).cast("string")))).otherwise(x)
     pad_row = F.array_repeat(F.lit(float(value)), width)
     n_pad = F.greatest(F.lit(seq_len) - F.size(x), F.lit(0))
     return F.concat(F.array_repeat(pad_row, n_pad), x)
@@ -110,11 +111,11 @@ def left_pad(x, seq_len: int, width: int, value: float = PAD_VALUE) -> Column:
 def ranked_candidates(scores, owned, n: int = NUM_PRODUCTS) -> Column:
     """0-based product indices with score > 0 and not owned, best first.
 
-    Equal scores put the higher index first. A null ``owned`` (no snapshot)
+    Equal scores put the higher index first; a NaN score is no candidate. A null ``owned`` (no snapshot)
     removes nothing.
     """
     p, o = _c(scores), _c(owned)
     cand = F.filter(F.sequence(F.lit(0), F.lit(n - 1)),
-                    lambda i: (F.get(p, i) > 0) & ~F.coalesce(F.get(o, i) >= 1, F.lit(False)))
+                    lambda i: (F.nanvl(F.get(p, i), F.lit(0.0)) > 0) & ~F.coalesce(F.get(o, i) >= 1, F.lit(False)))
     keyed = F.transform(cand, lambda i: F.struct((-F.get(p, i)).alias("v"), (-i).alias("ni"), i.alias("i")))
     return F.transform(F.array_sort(keyed), lambda s: s["i"])

@@ -52,13 +52,18 @@ def binary_map(c, mapping: dict | None = None) -> Column:
     return lookup(c, mapping or {"S": 1, "N": 0}).cast("int")
 
 
+#: A plain decimal number, blanks around it allowed (no NaN, no infinities, no type suffixes).
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def try_number(c, to: str = "double") -> Column:
-    """Text to number with bad text -> null; blanks around the number are allowed.
+    """Text to number; what is not a finite decimal number (``NaN``, ``1d``, ``Infinity``) -> null.
 
     Integer targets parse as double first so that ``"1.0"`` reads as 1.
     """
     c = _c(c)
-    d = c.try_cast("double")
+    d = F.when(c.cast("string").rlike(NUMBER), F.trim(c.cast("string")).try_cast("double"))
+    d = F.when(F.abs(d) < float("inf"), d)
     return d if to == "double" else d.try_cast(to)
 
 
@@ -118,7 +123,7 @@ def channel_subcode(c) -> Column:
 
 def income(c) -> Column:
     """Text income: drop ``NA``, then parse; blank or bad -> null."""
-    return F.regexp_replace(_c(c).cast("string"), "NA", "").try_cast("double")
+    return try_number(F.regexp_replace(_c(c).cast("string"), "NA", ""))
 
 
 def segment_digit(c, pos: int = 1) -> Column:

@@ -19,18 +19,14 @@ def time_fraction(t, month: int) -> Column:
 
 
 def next_calendar_month(month: int) -> int:
-    m = (month + 1) % 12
-    return m if m != 0 else 12
+    return month % 12 + 1
 
 
 def circular_month(t_month, month: int) -> Column:
-    """Triangular closeness of a calendar month to the month after ``month``.
+    """Closeness of a calendar month to the month after ``month``, going round the year.
 
-    d = t_month - next (wrapped into (-6, 6]); value (d+6)/6 + 0.1 for
-    d <= 0, else (6-d)/6 + 0.1. Next month -> 1.1, six months away -> 0.1.
+    1.1 for that month itself, a sixth less for each month of distance in the
+    shorter direction, 0.1 for the month opposite.
     """
-    nxt = next_calendar_month(month)
-    d0 = _c(t_month) - F.lit(nxt)
-    d1 = F.when(d0 <= -6, d0 + 12).otherwise(d0)
-    d = F.when(d1 > 6, d1 - 12).otherwise(d1)
-    return F.when(d <= 0, (d + 6) / 6.0 + 0.1).otherwise((6 - d) / 6.0 + 0.1)
+    distance = F.abs(F.pmod(_c(t_month) - F.lit(next_calendar_month(month)) + 5, F.lit(12)) - 5)
+    return F.lit(1.1) - distance / F.lit(6.0)

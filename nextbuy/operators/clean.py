@@ -58,7 +58,7 @@ def cleaning_columns(df: DataFrame, base_year: int = BASE_YEAR, segment_pos: int
 
 def clean_products(df: DataFrame, labels=PRODUCT_LABELS, names=Y_COLS) -> list:
     """The 24 raw flag columns renamed to product names, missing flags -> 0."""
-    return [F.coalesce(F.col(l).cast("int"), F.lit(0)).alias(n) for l, n in zip(labels, names) if l in df.columns]
+    return [F.coalesce(C.try_number(l, "int"), F.lit(0)).alias(n) for l, n in zip(labels, names) if l in df.columns]
 
 
 def clean(df: DataFrame, base_year: int = BASE_YEAR, segment_pos: int = 1, date_fmt: str = "yyyy-MM-dd",

@@ -38,7 +38,7 @@ def product_counts(joined: DataFrame) -> DataFrame:
     """
     aggs = []
     for i in range(NUM_PRODUCTS):
-        p, o = F.get("p", i), F.get("owned", i)
+        p, o = F.nanvl(F.get("p", i), F.lit(0.0)), F.get("owned", i)  # a NaN score is not above 0
         aggs += [F.count_if(p > 0).alias(f"pos_{i}"), F.count_if((p > 0) & (o == 0)).alias(f"new_{i}")]
     wide = joined.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.col(f"pos_{i}").alias("n_pos"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import NUM_PRODUCTS, P_COLS, Y_COLS
@@ -29,12 +29,13 @@ def with_constant_scores(df: DataFrame, scores: list[float], p_col: str = "p") -
 def frequency_scores(history: DataFrame, ys=Y_COLS) -> DataFrame:
     """(id, p_1..p_24): how often the customer owned each product before their last month.
 
-    Customers with a single month get no row. One exchange on id (the
-    window and the aggregate share it).
+    Customers with a single month get no row. One aggregate (totals less the
+    last month's row; (id, t) is unique), so no customer's rows meet in one sort.
     """
-    w = Window.partitionBy("id")
-    before = history.withColumn("_tmax", F.max("t").over(w)).filter(F.col("t") < F.col("_tmax"))
-    return before.groupBy("id").agg(*[F.avg(F.col(y).cast("double")).alias(p) for y, p in zip(ys, P_COLS)])
+    last = F.max_by(F.struct(*[F.col(y).cast("double").alias(y) for y in ys]), F.col("t"))
+    g = history.groupBy("id").agg(F.count("*").alias("n"), last.alias("last"), *[F.sum(F.col(y).cast("double")).alias(y) for y in ys])
+    g = g.filter(F.col("n") > 1)
+    return g.select("id", *[((F.col(y) - F.col(f"last.{y}")) / (F.col("n") - 1)).alias(p) for y, p in zip(ys, P_COLS)])
 
 
 # --- 24 logistic regressions -------------------------------------------------------------------
@@ -55,51 +56,59 @@ def feature_vectors(h: DataFrame) -> DataFrame:
 class ProductScorer:
     """24 binary logistic regressions, one per product (fit in parallel driver threads)."""
 
-    def __init__(self, max_iter: int = 20, reg_param: float = 0.01, parallelism: int = 8,
-                 partition_bytes: int = 128 << 20):
+    def __init__(self, max_iter: int = 20, reg_param: float = 0.01, parallelism: int = 2,
+                 max_rows: int | None = None):
+        """``parallelism`` fits run at a time; each holds its own cached copy of the training
+        vectors, so memory grows with it. ``max_rows`` bounds the rows used to fit (about that many, chosen
+        by a hash of the vector); by default all are used."""
         self.max_iter = max_iter
         self.reg_param = reg_param
         self.parallelism = parallelism
-        self.partition_bytes = partition_bytes
+        self.max_rows = max_rows
         self.models = []
+        self.log: list[tuple[int, str, float]] = []
 
     def fit(self, train_vectors: DataFrame) -> "ProductScorer":
-        """Fit the 24 models on one shared copy of the training vectors.
+        """Fit the 24 models on the training vectors, written once as Parquet.
 
-        The vectors are checkpointed (lineage cut: a lost executor re-reads
-        the checkpoint) and persisted once in memory and on disk, so the
-        optimizer passes of all 24 fits read the same copy instead of each
-        fit caching its own.
+        Every fit reads the stored columns and caches its own standardised
+        blocks while it runs (Spark ML's doing), ``parallelism`` of them at a time.
+        ``log`` then holds (epoch, metric, value) rows: each product's objective per pass.
         """
-        from pyspark import StorageLevel
         from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.functions import vector_to_array
+
+        from ..sources.storage import store_rows
 
-        data = train_vectors.select("features", "y").checkpoint()
-        # partitions of ~partition_bytes dense vectors: few at small scale (fewer,
-        # larger tasks per optimizer pass), many at large scale; coalesce never shuffles
-        rows = data.count()
-        width = len(data.first()["features"]) if rows else 1
-        wanted = max(1, -(-rows * (8 * width + 64) // self.partition_bytes))
-        try:
-            current = data.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - remote sessions expose no RDD; keep the partitioning
-            current = wanted
-        if wanted < current:
-            data = data.coalesce(wanted)
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = store_rows(train_vectors.select("features", "y"), "vectors")
+        if self.max_rows is not None and (n := data.count()) > self.max_rows:
+            data = data.filter(F.pmod(F.xxhash64(vector_to_array("features")), F.lit(1_000_000)) < int(1e6 * self.max_rows / n))
 
         def fit_one(k: int):
             d = data.select("features", F.get("y", k).cast("double").alias("label"))
             lr = LogisticRegression(maxIter=self.max_iter, regParam=self.reg_param, family="binomial")
             return lr.fit(d)
 
-        try:
-            with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-                self.models = list(pool.map(fit_one, range(NUM_PRODUCTS)))
-        finally:
-            data.unpersist()
+        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+            self.models = list(pool.map(fit_one, range(NUM_PRODUCTS)))
+        self.log = [(i, f"objective_{k + 1}", float(v)) for k, m in enumerate(self.models)
+                    for i, v in enumerate(m.summary.objectiveHistory)]
         return self
 
+    def training_log(self, spark) -> DataFrame:
+        """(epoch, metric, value) of the fit, for ``trainlog``: each product's objective, and ``loss``, their mean.
+
+        A product whose fit ended early keeps its last value. At most 25 rows per pass.
+        """
+        if not self.log:
+            raise ValueError("fit first")
+        passes = 1 + max(i for i, _, _ in self.log)
+        of: dict[str, list[float]] = {}
+        for _, metric, v in self.log:
+            of.setdefault(metric, []).append(v)
+        loss = [(i, "loss", sum(v[min(i, len(v) - 1)] for v in of.values()) / len(of)) for i in range(passes)]
+        return spark.createDataFrame(self.log + loss, "epoch int, metric string, value double")
+
     def save(self, path: str) -> None:
         """One sub-folder per product model (Spark ML format)."""
         for k, m in enumerate(self.models):
@@ -114,6 +123,10 @@ class ProductScorer:
                          for k in range(NUM_PRODUCTS)]
         return scorer
 
+    def seq_len(self, n_attrs: int, width: int) -> int:
+        """The steps that the models' inputs were padded to."""
+        return (self.models[0].numFeatures - n_attrs) // width
+
     def margins(self, vectors: DataFrame, vec_col: str = "vec") -> DataFrame:
         """Adds ``vec``: the 24 raw margins (the model's last-layer activations; other columns kept)."""
         from pyspark.ml.functions import vector_to_array

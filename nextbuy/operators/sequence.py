@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_SEQ_LEN, PAD_VALUE, Y_COLS
+from ..constants import PAD_VALUE, Y_COLS
 from ..functions.arrays import left_pad
 from .scale import apply_zscore, clamp_negatives, scale_time, zscore_stats
 
@@ -36,10 +36,10 @@ def product_row_sum(ys=Y_COLS) -> Column:
 def drop_non_buyers(df: DataFrame, ys=Y_COLS) -> DataFrame:
     """Keep customers who owned any product in any month; adds their total ``y_sum``.
 
-    A window over id (one exchange) instead of aggregate + join back.
+    The totals are pre-aggregated and joined back, so no customer's rows are sorted in one task.
     """
-    total = F.sum(product_row_sum(ys)).over(Window.partitionBy("id"))
-    return df.withColumn("y_sum", total).filter(F.col("y_sum") > 0)
+    total = df.groupBy("id").agg(F.sum(product_row_sum(ys)).alias("y_sum")).filter(F.col("y_sum") > 0)
+    return df.join(total, "id")
 
 
 def duplicate_keys(df: DataFrame, keys=("id", "t")) -> DataFrame:
@@ -68,9 +68,8 @@ def latest_rows(df: DataFrame, cols) -> DataFrame:
 
 
 def with_group_stats(df: DataFrame) -> DataFrame:
-    """Every row with its customer's t_count and t_max (window over id)."""
-    w = Window.partitionBy("id")
-    return df.withColumns({"t_count": F.count("t").over(w), "t_max": F.max("t").over(w)})
+    """Every row with its customer's t_count and t_max (aggregated, then joined back)."""
+    return df.join(counts_and_maxs(df), "id")
 
 
 def history_outer_target(history: DataFrame, target: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def select_target_rows(train: DataFrame, test: DataFrame | None, test_month: int
 # --- sequences --------------------------------------------------------------------------------
 
 def collect_histories(rows: DataFrame, ys=Y_COLS, attr_cols=(), include_time: bool = True,
-                      keep_if: Column | None = None, max_obs: int | None = None) -> DataFrame:
+                      max_obs: int | None = None) -> DataFrame:
     """Group month rows into one history row per customer.
 
     ``rows`` holds ``id``, integer ``_t`` (order), channel columns ``t``,
@@ -116,13 +115,12 @@ def collect_histories(rows: DataFrame, ys=Y_COLS, attr_cols=(), include_time: bo
     ``_a_<name>`` per attribute (see ``with_attr_copies``).
 
     With ``max_obs``, customers with more rows are dropped *before* the
-    collect (a count window over id; the grouping reuses its partitioning,
-    so no exchange is added). A collected history therefore never exceeds
-    ``max_obs`` steps, even on input that breaks the one-row-per-month rule.
+    collect (counted with partial aggregation, then anti-joined). Without it
+    every customer stays; a history has at most one step per month.
     """
     if max_obs is not None:
-        rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))) \
-                   .filter(F.col("_n") <= max_obs).drop("_n")
+        long = rows.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > max_obs)
+        rows = rows.join(long.select("id"), "id", "left_anti")
     time_ch = [F.col("t").cast("double"), F.col("t_month").cast("double")] if include_time else []
     step = F.struct(F.col("_t").alias("o"),
                     F.array(*time_ch).cast("array<double>").alias("ch"),
@@ -132,11 +130,7 @@ def collect_histories(rows: DataFrame, ys=Y_COLS, attr_cols=(), include_time: bo
     if attr_cols:
         aggs.append(F.max_by(F.struct(*[F.col(f"_a_{c}").cast("double").alias(c) for c in attr_cols]), F.col("_t"))
                     .alias("_a"))
-    if keep_if is not None:
-        aggs.append(keep_if.alias("_keep"))
     g = rows.groupBy("id").agg(*aggs)
-    if keep_if is not None:
-        g = g.filter("_keep").drop("_keep")
     n = F.size("steps")
     x = F.transform(F.slice("steps", 1, n - 1),
                     lambda s: F.concat(s["ch"], F.transform(s["y"], lambda v: v.cast("double"))))
@@ -149,17 +143,18 @@ def collect_histories(rows: DataFrame, ys=Y_COLS, attr_cols=(), include_time: bo
     return g.select(*out)
 
 
-def length_report(rows: DataFrame, min_len: int = 2, max_len: int = MAX_SEQ_LEN) -> DataFrame:
-    """(status, n_customers): customers kept, too short (never scored) or too long (dropped)."""
+def length_report(rows: DataFrame, min_len: int = 2, max_len: int | None = None) -> DataFrame:
+    """(status, n_customers): customers kept, too short (never scored) or, with ``max_len``, too long (dropped)."""
     n = rows.groupBy("id").agg(F.count("*").alias("n"))
-    status = (F.when(F.col("n") < min_len, "too_short").when(F.col("n") > max_len, "too_long")
-               .otherwise("kept"))
+    too_long = F.col("n") > max_len if max_len is not None else F.lit(False)
+    status = F.when(F.col("n") < min_len, "too_short").when(too_long, "too_long").otherwise("kept")
     return n.groupBy(status.alias("status")).agg(F.count("*").alias("n_customers"))
 
 
-def length_filter(h: DataFrame, min_len: int = 2, max_len: int = MAX_SEQ_LEN) -> DataFrame:
-    """Keep histories with min_len..max_len observed months (the length buckets)."""
-    return h.filter(F.col("n_obs").between(min_len, max_len))
+def length_filter(h: DataFrame, min_len: int = 2, max_len: int | None = None) -> DataFrame:
+    """Keep histories of at least ``min_len`` observed months and, only on request, at most ``max_len``."""
+    h = h.filter(F.col("n_obs") >= min_len)
+    return h.filter(F.col("n_obs") <= max_len) if max_len is not None else h
 
 
 def pad_histories(h: DataFrame, seq_len: int, width: int, value: float = PAD_VALUE) -> DataFrame:
@@ -189,11 +184,13 @@ def _prepare(df: DataFrame, month: int, scale: bool, attr_cols) -> DataFrame:
 
 def build_train(df: DataFrame, max_month: int, attr_cols=("t",), ys=Y_COLS,
                 remove_non_buyers: bool = False, scale_time_dim: bool = False,
-                include_time: bool = True, max_len: int = MAX_SEQ_LEN, min_len: int = 2) -> DataFrame:
+                include_time: bool = True, max_len: int | None = None, min_len: int = 2) -> DataFrame:
     """Training histories ending at each customer's own last month <= max_month.
 
     Steps: month filter, clamp seniority, z-score age/seniority/income,
     optional non-buyer removal, optional time scaling, histories, length filter.
+    ``max_len`` is an option that drops customers with more months; by default
+    none are dropped.
     """
     df = month_filter(df, max_month)
     df = clamp_negatives(df)
@@ -207,7 +204,7 @@ def build_train(df: DataFrame, max_month: int, attr_cols=("t",), ys=Y_COLS,
 
 def build_test(history: DataFrame, target: DataFrame | None, train_month: int, test_month: int,
                attr_cols=("t",), ys=Y_COLS, scale_time_dim: bool = False, include_time: bool = True,
-               max_len: int = MAX_SEQ_LEN, min_len: int = 2, clamp_before_stats: bool = False) -> DataFrame:
+               max_len: int | None = None, min_len: int = 2, clamp_before_stats: bool = False) -> DataFrame:
     """Histories ending at ``test_month`` for the customers of the target rows.
 
     History months <= test_month - 1; z-score statistics from history
@@ -216,37 +213,32 @@ def build_test(history: DataFrame, target: DataFrame | None, train_month: int, t
     target rows clamped and standardised.
 
     ``target=None`` means the target rows are the ``test_month`` rows of
-    ``history`` itself (a held-out month): history and targets then come
-    from one scan, tagged, and one grouping keeps the customers that have a
-    target row - no union, no semi join, and no exchange at all when the
-    table is bucketed by id. With a separate ``target`` table (a test file
-    past the training months) the two are unioned; ``y`` is null when the
-    target rows carry no products.
+    ``history`` itself (a held-out month). With a separate ``target`` table (a
+    test file past the training months) the two are unioned; ``y`` is null when
+    the target rows carry no products. Either way history rows are first
+    reduced to the customers that have a target row (semi join; no exchange when the
+    tables are bucketed by id), then collected. Attributes travel on target rows only.
     """
+    most = None if max_len is None else max_len + 1
     last_month = test_month - 1
     if last_month < 1:
         raise ValueError("test_month must be at least 2")
     stats_rows = month_filter(month_filter(history, last_month), train_month)
     stats = zscore_stats(clamp_negatives(stats_rows) if clamp_before_stats else stats_rows)
     if target is None:
-        rows = history.filter(F.col("t") <= test_month)
+        rows = history_of(history.filter(F.col("t") <= test_month), history.filter(F.col("t") == test_month))
         rows = apply_zscore(clamp_negatives(rows), stats)
         rows = _prepare(rows, last_month, scale_time_dim, attr_cols)
-        rows = rows.withColumn("_is_target", (F.col("_t") == test_month).cast("int"))
-        h = collect_histories(rows, ys, list(attr_cols), include_time, keep_if=F.max("_is_target") == 1,
-                              max_obs=max_len + 1)
-        return length_filter(h, min_len, max_len + 1)
-    hist = month_filter(history, last_month)
+        rows = rows.withColumns({f"_a_{c}": F.when(F.col("_t") == test_month, F.col(f"_a_{c}")) for c in attr_cols})
+        return length_filter(collect_histories(rows, ys, list(attr_cols), include_time, max_obs=most), min_len, most)
+    hist = history_of(month_filter(history, last_month), target)
     tgt = apply_zscore(clamp_negatives(target), stats)
     hist = _prepare(hist, last_month, scale_time_dim, attr_cols)
     tgt = _prepare(tgt, last_month, scale_time_dim, attr_cols)
     has_y = all(c in tgt.columns for c in ys)
-    base = ["id", "_t", "t", "t_month"] + [f"_a_{c}" for c in attr_cols]
-    h_rows = hist.select(*base, *ys, F.lit(0).alias("_is_target"))
-    t_rows = tgt.select(*base, *[(F.col(c) if has_y else F.lit(None).cast("int")).alias(c) for c in ys],
-                        F.lit(1).alias("_is_target"))
-    rows = h_rows.unionByName(t_rows)
-    h = collect_histories(rows, ys, list(attr_cols), include_time, keep_if=F.max("_is_target") == 1,
-                          max_obs=max_len + 1)
-    h = length_filter(h, min_len, max_len + 1)
+    base, copies = ["id", "_t", "t", "t_month"], [f"_a_{c}" for c in attr_cols]
+    t_rows = tgt.select(*base, *copies, *ys) if has_y else tgt.select(*base, *copies)
+    columns = [*base, *copies, *ys]
+    rows = hist.select(*base, *ys).unionByName(t_rows, allowMissingColumns=True).select(*columns)
+    h = length_filter(collect_histories(rows, ys, list(attr_cols), include_time, max_obs=most), min_len, most)
     return h if has_y else h.withColumn("y", F.lit(None).cast("array<int>"))

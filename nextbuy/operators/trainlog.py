@@ -29,11 +29,10 @@ def improvements(log: DataFrame, initial: float = INITIAL_BEST, exclude=("loss",
                       (F.col("epoch") == F.max("epoch").over(last)).cast("int").alias("is_best"))
 
 
-def periodic_improvements(log: DataFrame, every: int = VALIDATE_EVERY, at=VALIDATE_AT,
-                          exclude=("loss",)) -> DataFrame:
-    """Improvements counted only on validation epochs (epoch % every in ``at``)."""
-    checked = log.filter(F.pmod(F.col("epoch"), F.lit(every)).isin(*at))
-    return improvements(checked, initial=float("inf"), exclude=exclude)
+def periodic_improvements(log: DataFrame, every: int = VALIDATE_EVERY, at=VALIDATE_AT, metric: str = "loss") -> DataFrame:
+    """Improvements of one series, the validation loss, on validation epochs only (epoch % every in ``at``)."""
+    checked = log.filter((F.col("metric") == metric) & F.pmod(F.col("epoch"), F.lit(every)).isin(*at))
+    return improvements(checked, initial=float("inf"), exclude=())
 
 
 def best_and_last(log: DataFrame) -> DataFrame:

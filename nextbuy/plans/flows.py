@@ -18,12 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import (ATTR_COLS, BASE_YEAR, LAST_FILE_MONTH, MAX_SEQ_LEN, NUM_PRODUCTS, P_COLS,
+from ..constants import (ATTR_COLS, BASE_YEAR, LAST_FILE_MONTH, NUM_PRODUCTS, P_COLS,
                          SAMPLE_FRACTION, TOP_K, TOP_N_PER_DIM)
 from ..operators import activations, features, impute, metrics, recommend, score, sequence
 from ..operators.clean import clean
 from ..sources import csv_io
-from ..sources.storage import read_stored, write_bucketed
+from ..sources.storage import read_stored, store_rows, write_bucketed
 
 
 @dataclass
@@ -50,8 +50,8 @@ def build_feature_tables(spark: SparkSession, raw_path: str, out_dir: str, is_te
     stats_from = read_stored(spark, impute_stats_from) if impute_stats_from else None
     cleaned = clean(raw, base_year, segment_pos)
     if do_impute and stats_from is None:
-        # statistics and fill both read the checkpointed rows: the CSV text is parsed once
-        cleaned = cleaned.checkpoint()
+        # statistics and fill both read the stored rows: the CSV text is parsed once
+        cleaned = store_rows(cleaned, "clean")
     cleaned = impute.impute(cleaned, stats_from=stats_from, enabled=do_impute)
     prefix = "test" if is_test else ""
     cleaned_path = f"{out_dir.rstrip('/')}/{prefix}df"
@@ -79,7 +79,7 @@ class ScoreResult:
 def train_and_score(spark: SparkSession, features_path: str, train_month: int = LAST_FILE_MONTH,
                     test_month: int = LAST_FILE_MONTH + 1, test_features_path: str | None = None,
                     last_file_month: int = LAST_FILE_MONTH, attr_cols=ATTR_COLS, scale_time: bool = True,
-                    include_time: bool = True, seq_len: int = MAX_SEQ_LEN, max_len: int = MAX_SEQ_LEN,
+                    include_time: bool = True, seq_len: int | None = None, max_len: int | None = None,
                     remove_non_buyers: bool = False, max_iter: int = 20, reg_param: float = 0.01,
                     pred_out: str | None = None, model_path: str | None = None, load_model: bool = False,
                     check_keys: bool = False) -> ScoreResult:
@@ -95,15 +95,18 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
     if check_keys:
         sequence.require_unique_keys(feats)
     held_out = test_month <= last_file_month
+    width = (2 if include_time else 0) + NUM_PRODUCTS
+    loaded = score.ProductScorer.load(model_path) if load_model and model_path else None
+    # by default the longest possible history, or what a saved model was fitted on
+    seq_len = seq_len or (loaded.seq_len(len(attr_cols), width) if loaded else max(train_month, test_month - 1))
     # a held-out month is read from the same table in one scan (target=None)
     target = None if held_out else sequence.select_target_rows(
         feats, read_stored(spark, test_features_path) if test_features_path else None, test_month, last_file_month)
-    width = (2 if include_time else 0) + NUM_PRODUCTS
     test = sequence.build_test(feats, target, train_month, test_month, attr_cols, scale_time_dim=scale_time,
                                include_time=include_time, max_len=max_len)
-    test_v = score.feature_vectors(sequence.pad_histories(test, seq_len, width)).checkpoint()
-    if load_model and model_path:
-        model = score.ProductScorer.load(model_path)
+    test_v = store_rows(score.feature_vectors(sequence.pad_histories(test, seq_len, width)), "test-vectors")
+    if loaded:
+        model = loaded
     else:
         train = sequence.build_train(feats, train_month, attr_cols, remove_non_buyers=remove_non_buyers,
                                      scale_time_dim=scale_time, include_time=include_time, max_len=max_len)
@@ -111,7 +114,7 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
         model = score.ProductScorer(max_iter=max_iter, reg_param=reg_param).fit(train_v)
         if model_path:
             model.save(model_path)
-    scored = model.predict(test_v).checkpoint()
+    scored = store_rows(model.predict(test_v), "scored")
     lengths = sequence.length_report(sequence.month_filter(feats, train_month), 2, max_len)
     if held_out:
         return ScoreResult(scored, metrics.map_at_k_new(scored), metrics.losses(scored), lengths)
@@ -133,7 +136,7 @@ def write_recommendations(spark: SparkSession, pred_path: str, cleaned_path: str
     """Ranked lists of new products per customer, owned products of ``month`` removed."""
     pred = csv_io.read_predictions(spark, pred_path)
     owned = recommend.owned_at_month(read_stored(spark, cleaned_path), month)
-    ranked = recommend.rank_products(recommend.join_owned(pred, owned)).checkpoint()
+    ranked = store_rows(recommend.rank_products(recommend.join_owned(pred, owned)), "ranked")
     lists = recommend.format_lists(ranked, limit)
     if out_path:
         csv_io.write_submission(lists, out_path)
@@ -164,7 +167,7 @@ class ModelInspection:
 def inspect_model(spark: SparkSession, features_path: str, model_path: str, train_month: int = LAST_FILE_MONTH - 1,
                   test_month: int = LAST_FILE_MONTH, last_file_month: int = LAST_FILE_MONTH,
                   test_features_path: str | None = None, attr_cols=ATTR_COLS, scale_time: bool = True,
-                  include_time: bool = True, seq_len: int = MAX_SEQ_LEN, max_len: int = MAX_SEQ_LEN,
+                  include_time: bool = True, seq_len: int | None = None, max_len: int | None = None,
                   fraction: float = SAMPLE_FRACTION, top_n: int = TOP_N_PER_DIM) -> ModelInspection:
     """Inspect a saved scorer through its 24 margins ("activations").
 
@@ -177,10 +180,11 @@ def inspect_model(spark: SparkSession, features_path: str, model_path: str, trai
     feats = read_stored(spark, features_path)
     width = (2 if include_time else 0) + NUM_PRODUCTS
     model = score.ProductScorer.load(model_path)
+    seq_len = seq_len or model.seq_len(len(attr_cols), width)
     train = sequence.build_train(feats, train_month, attr_cols, scale_time_dim=scale_time,
                                  include_time=include_time, max_len=max_len)
-    train_acts = model.margins(score.feature_vectors(sequence.pad_histories(train, seq_len, width))) \
-                      .select("id", "y", "vec").checkpoint()
+    train_acts = model.margins(score.feature_vectors(sequence.pad_histories(train, seq_len, width)))
+    train_acts = store_rows(train_acts.select("id", "y", "vec"), "margins")
     held_out = test_month <= last_file_month
     target = None if held_out else sequence.select_target_rows(
         feats, read_stored(spark, test_features_path) if test_features_path else None, test_month, last_file_month)

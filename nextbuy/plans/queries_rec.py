@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..constants import P_COLS, SAMPLE_FRACTION, TOP_N_PER_DIM, Y_COLS
+from ..constants import P_COLS, PRODUCT_LABELS, SAMPLE_FRACTION, TOP_N_PER_DIM, Y_COLS
 from ..operators import activations, batches, features, impute, metrics, recommend, score, sequence, trainlog
 from ..session import shared_output_dir
 from ..sources import csv_io, fixtures
@@ -36,28 +36,35 @@ def _ranked(spark, sf_dir):
 
 @query("io_month_scan")
 def io_month_scan(spark, sf_dir):
-    """IO3/RE1: products owned in exactly month 78, from the snapshot table."""
-    return recommend.owned_at_month(S.snap(spark, sf_dir), S.TRAIN_MONTH)
+    """IO3/RE1: products owned in exactly month 78, scanned from a stored table partitioned by month."""
+    path = _scratch(spark, "by-month")
+    S.snap(spark, sf_dir).write.partitionBy("t").parquet(path)
+    return csv_io.month_scan(spark, path, S.TRAIN_MONTH).select("id", *Y_COLS)
 
 
 @query("io_month_stream")
 def io_month_stream(spark, sf_dir):
     """IO3 (incremental): month-78 rows of a stored snapshot folder, scanned as a file stream
-    one file per micro-batch, into a checkpointed Parquet sink."""
+    with a byte-sized trigger, into a checkpointed Parquet sink."""
     src = _scratch(spark, "snapshots")
     s = S.snap(spark, sf_dir)
     s.write.parquet(src)
     stored = spark.read.parquet(src)
     out = run_month_scan(spark, src, stored.schema, S.TRAIN_MONTH, _scratch(spark, "month"),
-                         _scratch(spark, "month-ckpt"), columns=["id", *Y_COLS], files_per_batch=1)
+                         _scratch(spark, "month-ckpt"), columns=["id", *Y_COLS])
     return out
 
 
 @query("io_read_raw")
 def io_read_raw(spark, sf_dir):
-    """IO1/IO5: raw snapshot rows written as CSV with header, read back with the raw schema."""
+    """IO1/IO5: raw snapshot rows written as a real file has them (columns in another order, blanks
+    around integers, flags as 1.0, float ids) and read back with the raw schema."""
     path = _scratch(spark, "raw")
-    csv_io.write_csv(S.raw_snapshots(spark, sf_dir), path)
+    raw = S.raw_snapshots(spark, sf_dir)
+    spelt = {c: F.concat(F.lit(" "), F.col(c).cast("string")) for c in ("indrel", "tipodom")}
+    spelt |= {c: F.col(c).cast("double").cast("string") for c in ("cod_prov", *PRODUCT_LABELS)}
+    spelt["ncodpers"] = F.format_string("%.18e", F.col("ncodpers").cast("double"))
+    csv_io.write_csv(raw.withColumns(spelt).select(*reversed(raw.columns)), path)
     return csv_io.read_raw(spark, path)
 
 
@@ -72,9 +79,10 @@ def io_write_features(spark, sf_dir):
 
 @query("io_read_pred")
 def io_read_pred(spark, sf_dir):
-    """IO7/IO4: predictions written headerless, read back."""
+    """IO7/IO4: predictions written headerless, with float ids as the scoring step writes them, and read back."""
     path = _scratch(spark, "pred")
-    csv_io.write_predictions(_pred(spark, sf_dir), path)
+    pred = _pred(spark, sf_dir)
+    csv_io.write_predictions(pred.withColumn("id", F.format_string("%.18e", F.col("id").cast("double"))), path)
     return csv_io.read_predictions(spark, path)
 
 
@@ -139,7 +147,7 @@ def log_best_epoch(spark, sf_dir):
 
 @query("log_periodic_best")
 def log_periodic_best(spark, sf_dir):
-    """EV17: improvements counted on validation epochs only (epoch % 5 in 2, 4)."""
+    """EV17: improvements of the loss, counted on validation epochs only (epoch % 5 in 2, 4)."""
     return trainlog.periodic_improvements(fixtures.training_log(spark, sf_dir))
 
 
@@ -194,9 +202,9 @@ def batch_assign(spark, sf_dir):
 
 def _fit_and_score(spark, sf_dir):
     s = S.snap_once(spark, sf_dir)
-    train = sequence.build_train(s, S.TRAIN_MONTH, attr_cols=S.TIME_ATTRS, scale_time_dim=True, max_len=S.MAX_LEN)
-    train = sequence.pad_histories(train, S.MAX_LEN, 26)
-    test = sequence.pad_histories(S.testset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS, s=s), S.MAX_LEN, 26)
+    train = sequence.build_train(s, S.TRAIN_MONTH, attr_cols=S.TIME_ATTRS, scale_time_dim=True)
+    train = sequence.pad_histories(train, S.PAD_LEN, 26)
+    test = sequence.pad_histories(S.testset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS, s=s), S.PAD_LEN, 26)
     model = score.ProductScorer(max_iter=10).fit(score.feature_vectors(train))
     return model.predict(score.feature_vectors(test))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import TOP_K, Y_COLS
+from ..constants import MAX_SEQ_LEN, TOP_K, Y_COLS
 from ..operators import metrics, sequence
 from . import standin as S
 from .registry import explode_steps, query, y_columns
@@ -72,9 +72,9 @@ def seq_split_xy(spark, sf_dir):
 
 @query("seq_left_pad")
 def seq_left_pad(spark, sf_dir):
-    """SQ17/SQ18/SQ25: scaled training histories left-padded with -1 to 17 steps."""
+    """SQ17/SQ18/SQ25: scaled training histories left-padded with -1 to the longest possible length."""
     h = S.trainset(spark, sf_dir, scale_time=True)
-    return explode_steps(sequence.pad_histories(h, S.MAX_LEN, 26))
+    return explode_steps(sequence.pad_histories(h, S.PAD_LEN, 26))
 
 
 @query("seq_test_rows")
@@ -180,5 +180,12 @@ def eval_bce_true_only(spark, sf_dir):
 
 @query("seq_length_report")
 def seq_length_report(spark, sf_dir):
-    """SQ10 report: training customers kept (2..17 months), too short (never scored) or too long."""
-    return sequence.length_report(sequence.month_filter(S.snap(spark, sf_dir), S.TRAIN_MONTH), 2, S.MAX_LEN)
+    """SQ10 report: training customers kept (2 months or more) or too short (never scored)."""
+    return sequence.length_report(sequence.month_filter(S.snap(spark, sf_dir), S.TRAIN_MONTH), 2)
+
+
+@query("seq_drop_long")
+def seq_drop_long(spark, sf_dir):
+    """SQ10 option: training customers left when histories of more than 17 months are dropped on request."""
+    h = sequence.build_train(S.snap(spark, sf_dir), S.TRAIN_MONTH, attr_cols=(), max_len=MAX_SEQ_LEN)
+    return h.select("id", "n_obs")

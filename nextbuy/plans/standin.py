@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..constants import MAX_SEQ_LEN
 from ..operators import score, sequence
 from ..sources import fixtures
 
@@ -18,7 +17,7 @@ TRAIN_MONTH = fixtures.STANDIN_TRAIN_MONTH
 TEST_MONTH = fixtures.STANDIN_TEST_MONTH
 LAST_MONTH = fixtures.STANDIN_LAST_MONTH
 BASE_YEAR = fixtures.STANDIN_BASE_YEAR
-MAX_LEN = MAX_SEQ_LEN
+PAD_LEN = TEST_MONTH - 1      # the longest possible history before the target month
 TIME_ATTRS = ("t", "t_month")
 
 
@@ -58,12 +57,12 @@ def target_rows(s: DataFrame) -> DataFrame:
 def testset(spark: SparkSession, sf_dir: str, scale_time: bool = False, attr_cols=(), s: DataFrame | None = None) -> DataFrame:
     s = s if s is not None else snap_once(spark, sf_dir)
     return sequence.build_test(s, None, TRAIN_MONTH, TEST_MONTH, attr_cols=attr_cols,
-                               scale_time_dim=scale_time, include_time=True, max_len=MAX_LEN)
+                               scale_time_dim=scale_time, include_time=True)
 
 
 def trainset(spark: SparkSession, sf_dir: str, scale_time: bool = False, attr_cols=()) -> DataFrame:
     return sequence.build_train(snap(spark, sf_dir), TRAIN_MONTH, attr_cols=attr_cols,
-                                scale_time_dim=scale_time, include_time=True, max_len=MAX_LEN)
+                                scale_time_dim=scale_time, include_time=True)
 
 
 def scored_testset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +95,8 @@ def snapshots_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots_clean_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned snapshot table, checkpointed for steps that read it twice
+    """The cleaned snapshot table, written once for steps that read it twice
     (imputation statistics, then the fill)."""
-    return snapshots_clean(spark, sf_dir).checkpoint()
+    from ..sources.storage import store_rows
+
+    return store_rows(snapshots_clean(spark, sf_dir), "clean")

@@ -1,4 +1,4 @@
-"""CSV/Parquet sources and sinks with explicit schemas (no inference).
+"""CSV/Parquet sources and sinks with explicit schemas (no inference): text in, guarded conversion.
 
 Readers never chunk by hand: Spark splits files into tasks
 (``spark.sql.files.maxPartitionBytes``) and pushes month filters into the
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..constants import P_COLS, PRODUCT_LABELS, RAW_ATTR_COLS
+from ..functions.clean import try_number
 
 _INT_COLS = {"indrel", "tipodom", "cod_prov"}
 
@@ -32,10 +33,33 @@ SUBMISSION_SCHEMA = StructType([StructField("ncodpers", LongType(), True),
                                 StructField("added_products", StringType(), True)])
 
 
+def _text_columns(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with header as text columns bound by name; files whose header differs from the first file's fail."""
+    return spark.read.option("header", True).option("enforceSchema", False).option("nullValue", "NA").csv(path)
+
+
+def _typed(text: DataFrame, schema: StructType) -> DataFrame:
+    """The schema's columns by name, numbers converted with a guard (bad text -> null); a missing column is an error."""
+    missing = [f.name for f in schema.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"columns missing in the file: {missing}")
+    cols = []
+    for f in schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (IntegerType, LongType, DoubleType)):
+            c = try_number(c, f.dataType.simpleString())
+        elif not isinstance(f.dataType, StringType):
+            c = c.try_cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return text.select(*cols)
+
+
 def read_raw(spark: SparkSession, path: str, with_products: bool = True) -> DataFrame:
-    """Raw snapshot CSV with header; empty fields and ``NA`` are null, ``' NA'`` stays text."""
-    return (spark.read.schema(raw_schema(with_products)).option("header", True)
-                 .option("nullValue", "NA").csv(path))
+    """Raw snapshot CSV: columns found by header name, in any order; empty fields and ``NA`` are null, ``' NA'`` stays text.
+
+    Integer codes and flags may be written with blanks or as ``1.0``.
+    """
+    return _typed(_text_columns(spark, path), raw_schema(with_products))
 
 
 def _writer(df: DataFrame, mode: str, header: bool):
@@ -49,8 +73,9 @@ def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwr
     _writer(df, mode, header).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> DataFrame:
-    return spark.read.schema(schema).option("header", header).option("nullValue", "NA").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table written by ``write_csv``, by header name."""
+    return _typed(_text_columns(spark, path), schema)
 
 
 def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -59,8 +84,10 @@ def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite") -> No
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless predictions file (IO4)."""
-    return spark.read.schema(PRED_SCHEMA).option("header", False).csv(path)
+    """Headerless predictions file (IO4). Ids may be written as floats (``1.375586e+06``); one that is no number is an error."""
+    text = StructType([StructField(f.name, StringType(), True) for f in PRED_SCHEMA.fields])
+    typed = _typed(spark.read.schema(text).option("header", False).csv(path), PRED_SCHEMA)
+    return typed.withColumn("id", F.coalesce("id", F.raise_error(F.lit("a prediction without a customer id")).cast("long")))
 
 
 def write_submission(lists: DataFrame, path: str, mode: str = "overwrite") -> None:

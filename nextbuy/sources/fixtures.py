@@ -175,9 +175,9 @@ def raw_snapshots(spark: SparkSession, sf_dir: str, base_year: int = STANDIN_BAS
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(epoch, metric, value): event values averaged per day and type."""
+    """(epoch, metric, value): event values averaged per day and type; the type ``error`` plays the loss."""
     ev = read_table(spark, sf_dir, "events")
-    return (ev.groupBy((F.dayofmonth("ts") - 1).alias("epoch"), F.col("event_type").alias("metric"))
+    return (ev.groupBy((F.dayofmonth("ts") - 1).alias("epoch"), F.when(F.col("event_type") == "error", "loss").otherwise(F.col("event_type")).alias("metric"))
               .agg(F.avg("value").alias("value")))
 
 

@@ -18,7 +18,8 @@ from ..session import shared_output_dir
 def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "id",
                    sort_cols=("id", "t"), partition_by=None, mode: str = "overwrite") -> DataFrame:
     """Write an external Parquet table bucketed by ``key`` at ``path``; return it as a table."""
-    w = df.write.mode(mode).format("parquet").option("path", path)
+    # one task per bucket: each bucket (of a month) is one sorted file
+    w = df.repartition(buckets, key).write.mode(mode).format("parquet").option("path", path)
     if partition_by:
         w = w.partitionBy(partition_by)
     w = w.bucketBy(buckets, key)
@@ -41,6 +42,23 @@ def store_by_customer(df: DataFrame, label: str, buckets: int | None = None) ->
     return write_bucketed(df, name, shared_output_dir(spark, f"tables/{name}"), buckets)
 
 
+def store_rows(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a checkpoint, but later reads take only the columns they need.
+    """
+    path = shared_output_dir(df.sparkSession, f"rows/{label}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Forget the tables that ``store_by_customer`` registered, once their results are used."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("nextbuy_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+
 def read_stored(spark: SparkSession, ref: str) -> DataFrame:
     """A table name (catalog, keeps bucketing) or a Parquet path."""
     return spark.read.parquet(ref) if ("/" in ref or ":" in ref) else spark.table(ref)

@@ -16,9 +16,9 @@ from pyspark.sql.types import StructType
 
 
 def start_month_scan(spark: SparkSession, source_dir: str, schema: StructType, month: int, sink_dir: str,
-                     checkpoint_dir: str, columns=None, files_per_batch: int = 1, fmt: str = "parquet"):
+                     checkpoint_dir: str, columns=None, bytes_per_batch: int = 64 << 30, fmt: str = "parquet"):
     """Start the stream (trigger availableNow: process what is there, then stop)."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    stream = (spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch)
                    .format(fmt).load(source_dir))
     rows = stream.filter(F.col("t") == month)
     if columns:
@@ -28,9 +28,9 @@ def start_month_scan(spark: SparkSession, source_dir: str, schema: StructType, m
 
 
 def run_month_scan(spark: SparkSession, source_dir: str, schema: StructType, month: int, sink_dir: str,
-                   checkpoint_dir: str, columns=None, files_per_batch: int = 1) -> DataFrame:
+                   checkpoint_dir: str, columns=None, bytes_per_batch: int = 64 << 30) -> DataFrame:
     """Run the scan to the end and return the collected month rows (read from the sink)."""
-    q = start_month_scan(spark, source_dir, schema, month, sink_dir, checkpoint_dir, columns, files_per_batch)
+    q = start_month_scan(spark, source_dir, schema, month, sink_dir, checkpoint_dir, columns, bytes_per_batch)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from nextbuy.constants import Y_COLS
 
-TRAIN_MONTH, TEST_MONTH, LAST_MONTH, MAX_LEN, BASE_YEAR = 78, 79, 80, 17, 1995
-NEXT_CAL_MONTH = (TRAIN_MONTH + 1) % 12 or 12
+TRAIN_MONTH, TEST_MONTH, LAST_MONTH, PAD_LEN, BASE_YEAR = 78, 79, 80, 78, 1995
 ORACLES: dict[str, str] = {}
 
 
@@ -35,15 +34,15 @@ SNAP = "snap AS (SELECT o_custkey AS id, CAST(12 * (year(o_orderdate) - {by}) +
                f"CAST(max(CASE WHEN (CAST(substr(p_brand, 7) AS INTEGER) - 1) % 24 = {i} THEN 1 ELSE 0 END) AS INTEGER) AS {c}"
                for i, c in enumerate(Y_COLS)))
 
-# Training histories: months <= 78, 2..17 observed months; ``step`` is the 1-based position.
+# Training histories: months <= 78, 2 observed months or more; ``step`` is the 1-based position.
 TRAIN = f"""tr AS (SELECT * FROM snap WHERE t <= {TRAIN_MONTH}),
-trc AS (SELECT id, count(*) AS n_obs FROM tr GROUP BY id HAVING count(*) BETWEEN 2 AND {MAX_LEN}),
+trc AS (SELECT id, count(*) AS n_obs FROM tr GROUP BY id HAVING count(*) >= 2),
 tro AS (SELECT tr.*, trc.n_obs, row_number() OVER (PARTITION BY tr.id ORDER BY tr.t) AS step FROM tr JOIN trc USING (id))"""
 
-# Test histories: customers of month 79, their months <= 78 plus month 79, 2..18 months.
+# Test histories: customers of month 79, their months <= 78 plus month 79, 2 months or more.
 TEST = f"""tg AS (SELECT * FROM snap WHERE t = {TEST_MONTH}),
 te AS (SELECT * FROM snap WHERE t <= {TEST_MONTH - 1} AND id IN (SELECT id FROM tg) UNION ALL SELECT * FROM tg),
-tec AS (SELECT id, count(*) AS n_obs FROM te GROUP BY id HAVING count(*) BETWEEN 2 AND {MAX_LEN + 1}),
+tec AS (SELECT id, count(*) AS n_obs FROM te GROUP BY id HAVING count(*) >= 2),
 teo AS (SELECT te.*, tec.n_obs, row_number() OVER (PARTITION BY te.id ORDER BY te.t) AS step FROM te JOIN tec USING (id))"""
 
 # Test targets with last observed month and popularity scores, in long form (id, k, y, yl, p).
@@ -71,13 +70,14 @@ def ap_ctes(src: str, prefix: str) -> str:
                FROM {prefix}nt nt JOIN (SELECT id, sum(prec) AS sp FROM {prefix}pr GROUP BY id) s USING (id))"""
 
 
+#: Closeness of the calendar months January to December to July, the month after month index 78.
+JULY = "[0.1, 0.2666666666666667, 0.4333333333333333, 0.6, 0.7666666666666667, 0.9333333333333333, " \
+       "1.1, 0.9333333333333333, 0.7666666666666667, 0.6, 0.4333333333333333, 0.2666666666666667]"
+
+
 def circ(col: str) -> str:
-    """Circular month closeness to the month after month index 78 (calendar month 7)."""
-    d0 = f"({col} - {NEXT_CAL_MONTH})"
-    d1 = f"(CASE WHEN {d0} <= -6 THEN {d0} + 12 ELSE {d0} END)"
-    d = f"(CASE WHEN {d1} > 6 THEN {d1} - 12 ELSE {d1} END)"
-    return (f"(CASE WHEN {d} <= 0 THEN ({d} + 6) / CAST(6 AS DOUBLE) + CAST(0.1 AS DOUBLE) "
-            f"ELSE (6 - {d}) / CAST(6 AS DOUBLE) + CAST(0.1 AS DOUBLE) END)")
+    """Circular month closeness, looked up."""
+    return f"CAST(({JULY})[{col}] AS DOUBLE)"
 
 
 def tscaled(col: str) -> str:
@@ -119,8 +119,8 @@ ORACLES["seq_split_xy"] = with_(SNAP, TRAIN) + "SELECT a.id, CAST(a.n_obs - 1 AS
 
 ORACLES["seq_left_pad"] = with_(
     SNAP, TRAIN,
-    f"pad AS (SELECT id, n_obs, {MAX_LEN} - (n_obs - 1) AS npad FROM trc)",
-    f"grid AS (SELECT id, n_obs, npad, unnest(range(1, {MAX_LEN + 1})) AS step FROM pad)") + \
+    f"pad AS (SELECT id, n_obs, {PAD_LEN} - (n_obs - 1) AS npad FROM trc)",
+    f"grid AS (SELECT id, n_obs, npad, unnest(range(1, {PAD_LEN + 1})) AS step FROM pad)") + \
     "SELECT g.id, CAST(g.step AS INTEGER) AS step, " + \
     f"round(CASE WHEN g.step <= g.npad THEN -1.0 ELSE {tscaled('tro.t')} END, 6) AS c_1, " + \
     f"round(CASE WHEN g.step <= g.npad THEN -1.0 ELSE {circ('tro.t_month')} END, 6) AS c_2, " + \
@@ -194,5 +194,7 @@ ORACLES["eval_losses"] = with_(SNAP, EVAL, LOSS_ROWS) + \
 ORACLES["eval_bce_true_only"] = with_(SNAP, EVAL, LOSS_ROWS) + "SELECT id, round(bce_true_only, 6) AS bce_true_only FROM lr"
 
 ORACLES["seq_length_report"] = with_(SNAP, f"n AS (SELECT id, count(*) AS n FROM snap WHERE t <= {TRAIN_MONTH} GROUP BY id)") + \
-    f"SELECT CASE WHEN n < 2 THEN 'too_short' WHEN n > {MAX_LEN} THEN 'too_long' ELSE 'kept' END AS status, " \
-    "count(*) AS n_customers FROM n GROUP BY 1"
+    "SELECT CASE WHEN n < 2 THEN 'too_short' ELSE 'kept' END AS status, count(*) AS n_customers FROM n GROUP BY 1"
+
+ORACLES["seq_drop_long"] = with_(SNAP) + \
+    f"SELECT id, count(*) AS n_obs FROM snap WHERE t <= {TRAIN_MONTH} GROUP BY id HAVING count(*) BETWEEN 2 AND 17"

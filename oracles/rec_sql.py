@@ -52,7 +52,7 @@ ORACLES["io_write_submission"] = ORACLES["rec_format"]
 
 # --- training logs ------------------------------------------------------------------------------
 
-TLOG = "tlog AS (SELECT CAST(day(ts) - 1 AS INTEGER) AS epoch, event_type AS metric, avg(value) AS value " \
+TLOG = "tlog AS (SELECT CAST(day(ts) - 1 AS INTEGER) AS epoch, CASE WHEN event_type = 'error' THEN 'loss' ELSE event_type END AS metric, avg(value) AS value " \
        "FROM events GROUP BY 1, 2)"
 
 
@@ -64,13 +64,13 @@ def _improvements(src: str, initial: str) -> str:
 
 _IMP_SELECT = "SELECT metric, epoch, round(value, 6) AS value, " \
               "CAST(epoch = max(epoch) OVER (PARTITION BY metric) AS INTEGER) AS is_best FROM imp"
-ORACLES["log_best_epoch"] = with_(TLOG, _improvements("tlog", "CAST(1e6 AS DOUBLE)")) + _IMP_SELECT
+ORACLES["log_best_epoch"] = with_(TLOG, "mlog AS (SELECT * FROM tlog WHERE metric <> 'loss')", _improvements("mlog", "CAST(1e6 AS DOUBLE)")) + _IMP_SELECT
 ORACLES["log_periodic_best"] = with_(
-    TLOG, "vlog AS (SELECT * FROM tlog WHERE epoch % 5 IN (2, 4))",
+    TLOG, "vlog AS (SELECT * FROM tlog WHERE metric = 'loss' AND epoch % 5 IN (2, 4))",
     _improvements("vlog", "CAST('inf' AS DOUBLE)")) + _IMP_SELECT
 ORACLES["log_pivot"] = with_(TLOG) + "SELECT epoch, " + ", ".join(
     f"round(max(CASE WHEN metric = '{m}' THEN value END), 6) AS {m}"
-    for m in ("click", "error", "purchase", "signup", "view")) + " FROM tlog GROUP BY epoch"
+    for m in ("click", "loss", "purchase", "signup", "view")) + " FROM tlog GROUP BY epoch"
 ORACLES["log_best_last"] = with_(TLOG) + \
     "SELECT metric, min(epoch) FILTER (WHERE value = mv) AS best_epoch, round(mv, 6) AS best_value, " \
     "max(epoch) AS last_epoch, round(arg_max(value, epoch), 6) AS last_value " \

@@ -146,7 +146,11 @@ def test_length_report_and_clamped_stats(spark):
         rows += [(cid, t, (t - 1) % 12 + 1, float(-5 if t == 1 else t), *([1] + [0] * 23)) for t in range(1, n + 1)]
     df = spark.createDataFrame(rows, ["id", "t", "t_month", "seniority", *Y_COLS])
     rep = {r["status"]: r["n_customers"] for r in sequence.length_report(df).collect()}
+    assert rep == {"too_short": 1, "kept": 3}            # by default no customer is dropped for a long history
+    rep = {r["status"]: r["n_customers"] for r in sequence.length_report(df, max_len=17).collect()}
     assert rep == {"too_short": 1, "kept": 2, "too_long": 1}
+    assert {r["id"]: r["n_obs"] for r in sequence.build_train(df, 20, attr_cols=()).collect()} == {2: 2, 3: 17, 4: 18}
+    assert {r["id"] for r in sequence.build_train(df, 20, attr_cols=(), max_len=17).collect()} == {2, 3}
     plain = sequence.build_test(df, None, 17, 18, attr_cols=("seniority",))
     clamped = sequence.build_test(df, None, 17, 18, attr_cols=("seniority",), clamp_before_stats=True)
     a = {r["id"]: r["attrs"][0] for r in plain.collect()}
@@ -157,13 +161,14 @@ def test_length_report_and_clamped_stats(spark):
 def test_trainlog_tie_rules(spark):
     from nextbuy.operators import trainlog
     log = spark.createDataFrame([(0, "m", 5.0), (1, "m", 5.0), (2, "m", 3.0), (3, "m", 3.0), (4, "m", 4.0),
-                                 (0, "loss", 1.0)], "epoch int, metric string, value double")
+                                 (0, "loss", 1.0), (2, "loss", 9.0), (4, "loss", 8.0), (7, "loss", 8.5), (9, "loss", 7.0), (10, "loss", 1.0)],
+                                "epoch int, metric string, value double")
     imp = [(r["epoch"], r["is_best"]) for r in trainlog.improvements(log).orderBy("epoch").collect()]
     assert imp == [(0, 0), (2, 1)]                       # strict improvements only; the loss is excluded
     best = trainlog.best_and_last(log.filter("metric = 'm'")).first()
     assert (best["best_epoch"], best["best_value"], best["last_epoch"], best["last_value"]) == (2, 3.0, 4, 4.0)
-    periodic = [r["epoch"] for r in trainlog.periodic_improvements(log).collect()]
-    assert periodic == [2]                                # epochs 2 and 4 are checked; 4 does not improve
+    periodic = [(r["epoch"], r["is_best"]) for r in trainlog.periodic_improvements(log).orderBy("epoch").collect()]
+    assert periodic == [(2, 0), (4, 0), (9, 1)]           # the loss alone, on epochs 2 and 4 of every 5
 
 
 def test_history_outer_target_keeps_both_sides(spark):
