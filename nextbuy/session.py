@@ -21,6 +21,9 @@ DEFAULT_CONF = {
 }
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def get_spark(master: str | None = None, app_name: str = "nextbuy",
               shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library defaults."""
@@ -76,6 +79,9 @@ def share_package(spark: SparkSession) -> None:
     root, paths = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    # whole texts travel to the workers: Spark's default of 10,000 rows a batch takes too much memory
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def _is_local(spark: SparkSession) -> bool:
