@@ -173,6 +173,12 @@ def feat_lookup_value(spark, sf_dir):
     return _feat(spark, sf_dir, "province_pop")
 
 
+@query("imp_off")
+def imp_off(spark, sf_dir):
+    """IM4: imputation switched off leaves the cleaned table as it is."""
+    return impute.impute(S.snapshots_clean(spark, sf_dir), enabled=False)
+
+
 @query("feat_table")
 def feat_table(spark, sf_dir):
     """FE10: the feature table (base, derived, products) of the imputed snapshot table."""

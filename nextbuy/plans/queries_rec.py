@@ -201,17 +201,16 @@ def batch_assign(spark, sf_dir):
 
 
 def _fit_and_score(spark, sf_dir):
-    s = S.snap_once(spark, sf_dir)
-    train = sequence.build_train(s, S.TRAIN_MONTH, attr_cols=S.TIME_ATTRS, scale_time_dim=True)
-    train = sequence.pad_histories(train, S.PAD_LEN, 26)
-    test = sequence.pad_histories(S.testset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS, s=s), S.PAD_LEN, 26)
-    model = score.ProductScorer(max_iter=10).fit(score.feature_vectors(train))
+    feats = S.features_once(spark, sf_dir)
+    train = sequence.pad_histories(S.full_trainset(spark, sf_dir, feats), S.PAD_LEN, 26)
+    test = sequence.pad_histories(S.full_testset(spark, sf_dir, feats), S.PAD_LEN, 26)
+    model = score.ProductScorer(parallelism=8).fit(score.feature_vectors(train))
     return model.predict(score.feature_vectors(test))
 
 
 @query("score_products")
 def score_products(spark, sf_dir):
-    """EV1/EV2: 24 logistic regressions fit on training histories, scores for the test month."""
+    """EV1/EV2: 24 logistic regressions fit on all attributes and training histories, scores for the test month."""
     p = _fit_and_score(spark, sf_dir)
     return p.select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_SEQ_LEN, TOP_K, Y_COLS
+from ..constants import ATTR_COLS, MAX_SEQ_LEN, TOP_K, Y_COLS
 from ..operators import metrics, sequence
 from . import standin as S
 from .registry import explode_steps, query, y_columns
@@ -100,7 +100,7 @@ def set_union_missing(spark, sf_dir):
 
 def _summary(h: DataFrame) -> DataFrame:
     return h.select(
-        "id", "n_obs", F.get("attrs", 0).alias("a_t"), F.get("attrs", 1).alias("a_t_month"),
+        "id", "n_obs", *[F.get("attrs", i).alias(f"a_{c}") for i, c in enumerate(ATTR_COLS)],
         F.size("x").alias("x_len"),
         F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, b: a + b).alias("x_total"),
         F.aggregate("y", F.lit(0), lambda a, b: a + b).alias("y_count"),
@@ -109,14 +109,33 @@ def _summary(h: DataFrame) -> DataFrame:
 
 @query("seq_trainset")
 def seq_trainset(spark, sf_dir):
-    """SQ23: training set (scaled time, attributes t and t_month) summarised per customer."""
-    return _summary(S.trainset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS))
+    """SQ16/SQ23: training set from the feature table (all 51 attributes, clamped, standardised,
+    scaled time), attributes as they are and histories summarised per customer."""
+    return _summary(S.full_trainset(spark, sf_dir))
+
+
+@query("seq_trainset_buyers")
+def seq_trainset_buyers(spark, sf_dir):
+    """SQ4/SQ23: the training set without customers who never owned a product."""
+    return _summary(S.full_trainset(spark, sf_dir, remove_non_buyers=True))
 
 
 @query("seq_testset")
 def seq_testset(spark, sf_dir):
-    """SQ24: test set for month 79 (scaled time) summarised per customer."""
-    return _summary(S.testset(spark, sf_dir, scale_time=True, attr_cols=S.TIME_ATTRS))
+    """SQ16/SQ24: test set for the held-out month 79 (all attributes, training statistics), as seq_trainset."""
+    return _summary(S.full_testset(spark, sf_dir))
+
+
+@query("seq_testset_file")
+def seq_testset_file(spark, sf_dir):
+    """SQ24/IO9: test set whose target rows come from a separate table without products (y is null)."""
+    return _summary(S.full_testset(spark, sf_dir, own_file=True))
+
+
+@query("seq_testset_padded")
+def seq_testset_padded(spark, sf_dir):
+    """SQ25: scaled test histories left-padded with -1 to the longest possible length."""
+    return explode_steps(sequence.pad_histories(S.full_testset(spark, sf_dir), S.PAD_LEN, 26))
 
 
 @query("seq_bucket_sizes")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from ..constants import ATTR_COLS, Y_COLS
 from ..operators import score, sequence
 from ..sources import fixtures
 
@@ -54,6 +55,31 @@ def target_rows(s: DataFrame) -> DataFrame:
     return sequence.select_target_rows(s, None, TEST_MONTH, LAST_MONTH)
 
 
+def features_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table (cleaned, imputed, featurised), stored bucketed by customer."""
+    from ..operators import features, impute
+    from ..sources.storage import store_by_customer
+
+    return store_by_customer(features.featurize(impute.impute(snapshots_clean_once(spark, sf_dir))), "feat")
+
+
+def full_trainset(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None, **options) -> DataFrame:
+    """Training histories with all attributes and scaled time."""
+    feats = feats if feats is not None else features_once(spark, sf_dir)
+    return sequence.build_train(feats, TRAIN_MONTH, attr_cols=ATTR_COLS, scale_time_dim=True, **options)
+
+
+def full_testset(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None, own_file: bool = False) -> DataFrame:
+    """Test histories with all attributes and scaled time; ``own_file``: the target rows are a
+    separate table without products, as the file of the month to predict."""
+    feats = feats if feats is not None else features_once(spark, sf_dir)
+    target = None
+    if own_file:
+        target = target_rows(feats).drop(*Y_COLS)
+        feats = sequence.month_filter(feats, TRAIN_MONTH)
+    return sequence.build_test(feats, target, TRAIN_MONTH, TEST_MONTH, attr_cols=ATTR_COLS, scale_time_dim=True)
+
+
 def testset(spark: SparkSession, sf_dir: str, scale_time: bool = False, attr_cols=(), s: DataFrame | None = None) -> DataFrame:
     s = s if s is not None else snap_once(spark, sf_dir)
     return sequence.build_test(s, None, TRAIN_MONTH, TEST_MONTH, attr_cols=attr_cols,

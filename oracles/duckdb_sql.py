@@ -138,19 +138,18 @@ ORACLES["set_union_missing"] = with_(SNAP) + f"SELECT id, t, t_month, {ylist()}
     f" FROM snap WHERE t = {TEST_MONTH}"
 
 
-def _summary_sql(src: str) -> str:
+def summary_sql(src: str, attrs: str, extra: str = "", has_y: bool = True) -> str:
+    """Per customer of ``src`` (rows with step and n_obs): attributes of the last row and sums over the steps before."""
     x_terms = f"{tscaled('b.t')} + {circ('b.t_month')} + CAST({ysum('b.')} AS DOUBLE)"
-    return f"""SELECT a.id, a.n_obs, round({tscaled('a.t')}, 6) AS a_t, round({circ('a.t_month')}, 6) AS a_t_month,
+    y_count = ysum("a.") if has_y else "CAST(NULL AS INTEGER)"
+    return f"""SELECT a.id, a.n_obs, {attrs},
   CAST(a.n_obs - 1 AS INTEGER) AS x_len,
   round((SELECT sum({x_terms}) FROM {src} b WHERE b.id = a.id AND b.step < a.n_obs), 6) AS x_total,
-  {ysum('a.')} AS y_count,
+  {y_count} AS y_count,
   (SELECT {ysum('c.')} FROM {src} c WHERE c.id = a.id AND c.step = a.n_obs - 1) AS last_count
-FROM {src} a WHERE a.step = a.n_obs"""
+FROM {src} a{extra} WHERE a.step = a.n_obs"""
 
 
-ORACLES["seq_trainset"] = with_(SNAP, TRAIN) + _summary_sql("tro")
-ORACLES["seq_testset"] = with_(SNAP, TEST) + _summary_sql("teo")
-
 ORACLES["seq_bucket_sizes"] = with_(SNAP, TRAIN) + \
     "SELECT n_obs, count(*) AS n_customers, CAST(max(n_obs - 1) AS INTEGER) AS n_steps, 26 AS n_channels " \
     "FROM trc GROUP BY n_obs"

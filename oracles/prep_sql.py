@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from nextbuy.constants import (COMMUNITIES, EU_COUNTRIES, MEAN_FILL_COLS, MODE_FILL_COLS, PRODUCT_LABELS,
+from nextbuy.constants import (ATTR_COLS, COMMUNITIES, EU_COUNTRIES, MEAN_FILL_COLS, MODE_FILL_COLS, PRODUCT_LABELS,
                                PROVINCE_COMMUNITY, PROVINCE_POP, Y_COLS)
 
-from .duckdb_sql import BASE_YEAR, SNAP, TEST_MONTH, TRAIN_MONTH, circ, tscaled, with_
+from .duckdb_sql import BASE_YEAR, PAD_LEN, SNAP, TEST, TEST_MONTH, TRAIN, TRAIN_MONTH, circ, summary_sql, tscaled, with_, ysum
 
 ORACLES: dict[str, str] = {}
 
@@ -211,3 +211,39 @@ ORACLES["scale_fit_apply"] = with_(OCLEAN, _ZST.format(where=f"WHERE t <= {TRAIN
     f" FROM oc, zs WHERE t = {TEST_MONTH}"
 ORACLES["scale_time"] = with_(SNAP) + f"SELECT id, t, round({tscaled('t')}, 6) AS t_scaled FROM snap WHERE t <= {TRAIN_MONTH}"
 ORACLES["scale_month_circular"] = with_(SNAP) + f"SELECT id, t, t_month, round({circ('t_month')}, 6) AS t_month_scaled FROM snap"
+
+# --- full-width training and test sets (2.6) over the feature table ---------------------------------
+
+_FE = SCLEAN + ",\n" + _IMPUTED + ",\nfe AS (SELECT " + ", ".join(_BASE) + ", " + feat_sql(FEATURES) + ", " + ", ".join(Y_COLS) + " FROM im)"
+_CLAMPED = "CASE WHEN {0}seniority < 0 THEN 0 ELSE {0}seniority END"
+
+
+def _zs(seniority: str) -> str:
+    """Means and deviations over the training months, of the given form of seniority."""
+    cols = {"age": "age", "seniority": seniority, "income": "income"}
+    return "zs AS (SELECT " + ", ".join(f"avg({e}) AS m_{c}, stddev_samp({e}) AS s_{c}" for c, e in cols.items()) + \
+        f" FROM fe WHERE t <= {TRAIN_MONTH})"
+
+
+def _attr(c: str) -> str:
+    value = {"t": tscaled("a.t"), "t_month": circ("a.t_month")}.get(c, f"a.{c}")
+    if c in _Z:
+        value = f"(({_CLAMPED.format('a.') if c == 'seniority' else value}) - m_{c}) / s_{c}"
+    return f"round(CAST({value} AS DOUBLE), 6) AS a_{c}"
+
+
+_ATTRS = ", ".join(map(_attr, ATTR_COLS))
+_TR, _TE = TRAIN.replace("FROM snap", "FROM fe"), TEST.replace("FROM snap", "FROM fe")
+ORACLES["seq_trainset"] = "WITH " + ",\n".join((_FE, _zs(_CLAMPED.format("")), _TR)) + "\n" + summary_sql("tro", _ATTRS, ", zs")
+ORACLES["seq_trainset_buyers"] = ORACLES["seq_trainset"] + \
+    f" AND a.id IN (SELECT id FROM fe WHERE t <= {TRAIN_MONTH} GROUP BY id HAVING sum({ysum()}) > 0)"
+ORACLES["seq_testset"] = "WITH " + ",\n".join((_FE, _zs("seniority"), _TE)) + "\n" + summary_sql("teo", _ATTRS, ", zs")
+ORACLES["seq_testset_file"] = "WITH " + ",\n".join((_FE, _zs("seniority"), _TE)) + "\n" + summary_sql("teo", _ATTRS, ", zs", has_y=False)
+ORACLES["seq_testset_padded"] = "WITH " + ",\n".join((
+    _FE, _TE, f"grid AS (SELECT id, n_obs, {PAD_LEN} - (n_obs - 1) AS npad, unnest(range(1, {PAD_LEN + 1})) AS step FROM tec)")) + \
+    "\nSELECT g.id, CAST(g.step AS INTEGER) AS step, " + \
+    f"round(CASE WHEN g.step <= g.npad THEN -1.0 ELSE {tscaled('teo.t')} END, 6) AS c_1, " + \
+    f"round(CASE WHEN g.step <= g.npad THEN -1.0 ELSE {circ('teo.t_month')} END, 6) AS c_2, " + \
+    ", ".join(f"CASE WHEN g.step <= g.npad THEN -1.0 ELSE CAST(teo.{c} AS DOUBLE) END AS c_{i + 3}" for i, c in enumerate(Y_COLS)) + \
+    " FROM grid g LEFT JOIN teo ON teo.id = g.id AND teo.step = g.step - g.npad"
+ORACLES["imp_off"] = ORACLES["clean_select"]
