@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import SAMPLE_FRACTION, TOP_N_PER_DIM
+from ..constants import NUM_PRODUCTS, SAMPLE_FRACTION, TOP_N_PER_DIM
 from .ranking import first_in_groups
 
 
@@ -22,13 +22,16 @@ def stratified_sample(df: DataFrame, strata_cols, fraction: float = SAMPLE_FRACT
     return first_in_groups(df, strata_cols, sample_size("_n", fraction), id_col, seed=seed).drop("_n", "_k", "_rank")
 
 
-def label_counts(targets: DataFrame, fraction: float = SAMPLE_FRACTION, y_col: str = "y") -> DataFrame:
+def label_counts(targets: DataFrame, fraction: float = SAMPLE_FRACTION, y_col: str = "y",
+                 n_products: int = NUM_PRODUCTS) -> DataFrame:
     """Per product: positives in a sample stratified by that product's label, and in all rows."""
     long = targets.select("id", F.posexplode(y_col).alias("pos", "label")).select(
         "id", (F.col("pos") + 1).alias("k"), "label")
     sample = stratified_sample(long, ["k", "label"], fraction)
     s = sample.groupBy("k").agg(F.count("*").alias("n_sample"), F.count_if(F.col("label") == 1).alias("n_pos_sample"))
-    t = long.groupBy("k").agg(F.count_if(F.col("label") == 1).alias("n_pos_total"))
+    # totals: one wide aggregate, not 24 rows per customer
+    wide = targets.agg(*[F.count_if(F.get(y_col, i) == 1).alias(f"n_{i}") for i in range(n_products)])
+    t = wide.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("k"), F.col(f"n_{i}").alias("n_pos_total")) for i in range(n_products)])))
     return t.join(s, "k", "left").select("k", F.coalesce("n_sample", F.lit(0)).alias("n_sample"),
                                          F.coalesce("n_pos_sample", F.lit(0)).alias("n_pos_sample"), "n_pos_total")
 

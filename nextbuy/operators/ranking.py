@@ -26,6 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bucket lists of up to this many rows (about 100 bytes each) may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def order_key(id_col: str, seed: int | None = None) -> Column:
     """md5 of the id (seed None) or of "id:seed": a fixed pseudo-random order per seed."""
     key = F.col(id_col).cast("string")
@@ -63,11 +67,15 @@ def first_in_groups(df: DataFrame, group_cols, how_many: Column, id_col: str = "
                     prefix_len: int = 3, seed: int | None = None) -> DataFrame:
     """Rows whose position is <= ``how_many`` (an expression of the group size ``_n``).
 
-    Buckets that start past the cut are dropped before the ranking window,
-    so only about the selected share of the rows is shuffled for it.
+    Buckets that start past the cut are dropped before the ranking window. The
+    list of those that remain is written and counted; within ``BROADCAST_ROWS``
+    it is broadcast, so only about the selected share of the rows is shuffled.
     """
+    from ..sources.storage import store_rows
+
     d, offs = bucket_offsets(df, group_cols, id_col, prefix_len, seed)
-    offs = offs.withColumn("_k", how_many).filter(F.col("_off") < F.col("_k"))
-    j = d.join(offs, [*group_cols, "_b"])
+    offs = store_rows(offs.withColumn("_k", how_many).filter(F.col("_off") < F.col("_k")), "offsets")
+    small = offs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    j = d.join(F.broadcast(offs) if small else offs, [*group_cols, "_b"])
     r = _local_rank(j, group_cols, id_col)
     return r.filter(F.col("_rank") <= F.col("_k")).drop("_h", "_b", "_off")

@@ -153,7 +153,7 @@ class Inspection:
 def inspect_activations(acts: DataFrame, strata_col: str = "label", fraction: float = SAMPLE_FRACTION,
                         top_n: int = TOP_N_PER_DIM) -> Inspection:
     """``acts`` = (id, vec, label): stratified sample, its 2-D PCA, top-N examples per unit."""
-    sample = activations.stratified_sample(acts, strata_col, fraction).checkpoint()
+    sample = store_rows(activations.stratified_sample(acts, strata_col, fraction), "sample")
     return Inspection(sample, activations.pca_2d(sample), activations.top_n_per_dim(acts, "vec", top_n))
 
 
@@ -191,9 +191,10 @@ def inspect_model(spark: SparkSession, features_path: str, model_path: str, trai
     test = sequence.build_test(feats, target, train_month, test_month, attr_cols, scale_time_dim=scale_time,
                                include_time=include_time, max_len=max_len)
     test_acts = model.margins(score.feature_vectors(sequence.pad_histories(test, seq_len, width)))
-    long = train_acts.select("id", "vec", F.posexplode("y").alias("pos", "label")) \
-                     .select((F.col("pos") + 1).alias("k"), "id", "label", "vec")
-    sample = activations.stratified_sample(long, ["k", "label"], fraction).checkpoint()
+    long = train_acts.select("id", F.posexplode("y").alias("pos", "label")).select((F.col("pos") + 1).alias("k"), "id", "label")
+    # sampled by id first; the vectors join the sample only
+    sample = activations.stratified_sample(long, ["k", "label"], fraction).join(train_acts.select("id", "vec"), "id")
+    sample = store_rows(sample, "sample")
     # one projection per product, as the original plots one per product; a product
     # whose sample has fewer than 2 rows has no covariance and gets no projection
     sizes = {r["k"]: r["count"] for r in sample.groupBy("k").count().collect()}   # <= 24 rows

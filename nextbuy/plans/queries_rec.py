@@ -11,6 +11,7 @@ from ..constants import P_COLS, PRODUCT_LABELS, SAMPLE_FRACTION, TOP_N_PER_DIM,
 from ..operators import activations, batches, features, impute, metrics, recommend, score, sequence, trainlog
 from ..session import shared_output_dir
 from ..sources import csv_io, fixtures
+from ..sources.storage import store_rows
 from ..streaming.month_scan import run_month_scan
 from . import standin as S
 from .registry import query
@@ -175,7 +176,7 @@ def an_stratified_sample(spark, sf_dir):
 @query("an_label_counts")
 def an_label_counts(spark, sf_dir):
     """AN2: per product, positives in a 0.5 % sample stratified by that product, and overall (train targets)."""
-    targets = S.trainset(spark, sf_dir).select("id", "y").checkpoint()
+    targets = store_rows(S.trainset(spark, sf_dir).select("id", "y"), "targets")
     return activations.label_counts(targets, SAMPLE_FRACTION)
 
 
@@ -197,7 +198,7 @@ def an_pca_2d(spark, sf_dir):
 @query("batch_assign")
 def batch_assign(spark, sf_dir):
     """EV3: mini-batches of 256 inside each history-length bucket, remainder in the last batch."""
-    return batches.assign_batches(S.trainset(spark, sf_dir).select("id", "n_obs").checkpoint())
+    return batches.assign_batches(S.trainset(spark, sf_dir).select("id", "n_obs").transform(lambda d: store_rows(d, "lengths")))
 
 
 def _fit_and_score(spark, sf_dir):

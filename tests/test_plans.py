@@ -1,5 +1,7 @@
 """Scale properties of the physical plans (guards against regressions)."""
 
+import re
+
 from nextbuy.operators import activations, features, recommend, score
 from nextbuy.plans import standin as S
 from nextbuy.sources import fixtures
@@ -32,3 +34,13 @@ def test_snapshot_scan_prunes_columns(spark):
     p = plan(S.snap(spark, SF_SMALL))
     line = [ln for ln in p.splitlines() if "lineitem" in ln and "ReadSchema" in ln][0]
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in line
+
+
+def test_label_counts_shuffle_no_exploded_rows(spark):
+    rows = [(i, [int((i + k) % 3 == 0) for k in range(24)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, y array<int>")
+    p = plan(activations.label_counts(df, 0.05))
+    assert re.search(r"BroadcastHashJoin \[k#\d+, label", p) and not re.search(r"SortMergeJoin \[k#\d+L?, label", p)
+    got = {r.k: (r.n_sample, r.n_pos_sample, r.n_pos_total) for r in activations.label_counts(df, 0.05).collect()}
+    total = {k + 1: sum(y[k] for _, y in rows) for k in range(24)}
+    assert all(got[k][2] == n and got[k][1] == -(-n * 5 // 100) for k, n in total.items())
