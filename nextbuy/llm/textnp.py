@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in blocks of about this many bytes, which bounds a worker's memory.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WS = np.zeros(256, bool)
