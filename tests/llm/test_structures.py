@@ -88,7 +88,8 @@ def test_words_are_encoded_like_texts():
     odd = ["", " ", "It's we'LL ''s ..'s", "a\x85b c\x1cd", "ΣΑΣ İs é é ½7", "<|endoftext|> x <|", "日本語 テ", "q" * 3000]
     odd += ["".join(rnd.choice("ab'sT \n\t.!é×²0<|>ß\xa0\x85") for _ in range(rnd.randint(0, 50))) for _ in range(500)]
     want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
-    assert e(odd) == want
+    assert e.by_text(odd) == want and list(e(pa.array(odd))) == want
+    assert list(e(pa.array([None, "a"]))) == [b"", *e.by_text(["a"])]
 
 
 def test_range_hash_depends_on_bytes_alone():
