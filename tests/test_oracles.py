@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from nextbuy.constants import P_COLS
 from nextbuy.sources.tables import TABLES, table_path
 
 from .conftest import SF_SMALL
@@ -54,6 +55,16 @@ def test_entry_runs(spark):
     assert df.columns == ["n", "map"] and df.count() == 1
 
 
-def test_rows_only_queries_run(spark):
-    for key in sorted(set(E.queries()) - set(E.oracle_sql())):
-        assert E.queries()[key](spark, SF_SMALL).count() >= 0
+def test_queries_without_oracle_hold_their_properties(spark):
+    """The fitted queries: probabilities for every target customer, a MAP over them, uncorrelated projections."""
+    q = E.queries()
+    targets = {r.id for r in q["seq_testset"](spark, SF_SMALL).select("id").collect()}
+    scores = q["score_products"](spark, SF_SMALL).toPandas()
+    assert set(scores["id"]) == targets and len(scores) == len(targets)
+    p = scores[P_COLS].to_numpy()
+    assert ((p > 0) & (p < 1)).all() and (p.std(axis=0) > 0).any()
+    held_out = q["eval_holdout"](spark, SF_SMALL).first()
+    assert held_out["n"] == len(targets) and 0 <= held_out["map"] <= 1
+    pc = q["an_pca_2d"](spark, SF_SMALL).toPandas()[["pc1", "pc2"]].to_numpy()
+    cov = np.cov(pc.T)
+    assert cov[0, 0] >= cov[1, 1] > 0 and abs(cov[0, 1]) < 1e-4 * cov[0, 0]
