@@ -33,12 +33,11 @@ from .common import id_text, stored
 from .textnp import BLOCK, RangeHash, doc_blocks, utf8
 
 CLOSING_ID = 1
-_WORD_LIMIT = 1_500_000
+_WORD_LIMIT = 700_000
 _TEXT_WORD_LIMIT = 200_000
 _PART = 1 << 19
 _WHITE_SPACE = re.compile(r"[ \t-\r]+")
 _LONG_WORD = 10_000
-_BLOCK = 4 * BLOCK
 _LOWER_CASE = np.arange(256, dtype=np.uint8)
 _LOWER_CASE[65:91] += 32
 _KINDS = np.array([1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 0 if chr(b) in " \t\n\x0b\x0c\r" else 3 for b in range(256)], np.uint8)
@@ -49,12 +48,11 @@ _encoders: dict[str, WordEncoder] = {}
 class WordTable:
     """Ids by word hash: open addressing in numpy arrays, probed for many words at once."""
 
-    def __init__(self, bits: int = 22):
-        self.bits = bits
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+        self.keys, self.places = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
         self.pool, self.used, self.size = np.zeros(1 << 16, "<u4"), 0, 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -78,6 +76,14 @@ class WordTable:
         place = (self.used + np.cumsum(counts) - counts) << 16 | counts
         self.used += len(ids)
         self.size += len(h)
+        if 2 * self.size > len(self.keys):
+            known = self.keys != 0
+            h, place = np.concatenate([self.keys[known], h]), np.concatenate([self.places[known], place])
+            slots = 1 << int(2 * self.size).bit_length()
+            self.keys, self.places = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        self._put(h, place)
+
+    def _put(self, h: np.ndarray, place: np.ndarray) -> None:
         slot = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
@@ -119,14 +125,14 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """Each text's ids, little-endian unsigned 32-bit, without the closing id."""
         off, data = utf8(texts)
-        for i, j in doc_blocks(off, _BLOCK):
+        for i, j in doc_blocks(off):
             yield from self._block(texts, i, j, off[i:j + 1] - off[i], data[off[i]:off[j]])
 
     def _block(self, texts: pa.Array, i: int, j: int, off: np.ndarray, data: np.ndarray) -> list[bytes]:
         plain = np.ones(j - i, bool)
         plain[np.searchsorted(off, np.flatnonzero(_odd(data)), "right") - 1] = False
-        plain &= np.diff(off) <= _BLOCK
-        if len(data) > 2 * _BLOCK:
+        plain &= np.diff(off) <= 2 * BLOCK
+        if len(data) > 2 * BLOCK:
             data, off = data[:0], np.zeros(j - i + 1, np.int64)
             plain[:] = False
         low, kind = _lowered(data)
