@@ -17,7 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     linked = near.filter("v > u" if large else "true").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.unionByName(least.select("u", F.col("m").alias("v")))
-    return linked.filter("u <> v").distinct()
+    linked = linked.filter("u <> v")
+    return linked if large else linked.distinct()  # repeated edges do no harm in between
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,10 +30,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
-        centres = now.select(F.col("v").alias("u"), F.lit(2).alias("k"))
-        # a node that is a centre and a child, or a child of two centres, counts to more than 2
-        placed = now.select("u", F.lit(3).alias("k")).unionByName(centres.distinct())
-        if placed.groupBy("u").agg(F.sum("k").alias("k")).filter("k > 3").isEmpty():
+        placed = now.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("centre")).unionByName(
+            now.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("centre")))
+        # not yet a star: a child of two centres, or a centre that is a child
+        if placed.groupBy("x").agg(F.sum("child").alias("child"), F.max("centre").alias("centre")).filter("child + centre > 1").isEmpty():
             roots = now.select(F.col("v").alias("node")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
                 roots.select("node", F.col("node").alias("comp")))

@@ -44,7 +44,7 @@ _MANTISSA = 10
 #: For an empty register: the order in which the others are asked.
 _ASK = np.stack([np.random.default_rng(i).permutation(N_REGISTERS) for i in range(N_REGISTERS)])
 BROADCAST_ROWS = 500_000
-BLOCK_NODES = 256
+BLOCK_NODES = 1024
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +175,11 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the full sets of the wanted nodes, from their documents' texts."""
-    rows = nodes.select("node", *KEY).join(wanted, "node")
-    rows = F.broadcast(rows) if fits_broadcast(rows, BROADCAST_ROWS) else rows
+    """(node, shingles): the full sets of the wanted nodes (a stored list, repeats allowed), from their documents' texts."""
+    if fits_broadcast(wanted, BROADCAST_ROWS):  # then its nodes fit, too
+        rows = F.broadcast(nodes.select("node", *KEY).join(F.broadcast(wanted), "node", "left_semi"))
+    else:
+        rows = nodes.select("node", *KEY).join(wanted.distinct(), "node")
     texts = docs.select(*KEY, "text").join(rows, KEY).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +223,13 @@ def _star_round(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
     star = star.filter(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", "la", F.col("node").alias("b")).distinct()
     best = _estimated(star, nodes, percent).groupBy("b").agg(F.max(F.struct("equal", "a", "la")).alias("m"))
     best = stored(best.select(F.col("m.a").alias("a"), "b", F.col("m.la").alias("label")), "pairs")
-    sets = _sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, words)
+    sets = _sets_of(best.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, words)
     links = stored(_verified(best, sets, percent), "links")
     label = links.select(F.col("b").alias("node"), "label")
+    small = F.broadcast if fits_broadcast(label, BROADCAST_ROWS) else lambda d: d
     further = label.toDF("label", "next")  # the label's own node may have taken another one
-    label = label.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("new"))
-    members = members.join(label, "node", "left").select("band", "node", "n", F.coalesce("new", "label").alias("label"))
+    label = label.join(small(further), "label", "left").select("node", F.coalesce("next", "label").alias("new"))
+    members = members.join(small(label), "node", "left").select("band", "node", "n", F.coalesce("new", "label").alias("label"))
     return stored(members, "members"), links.select("a", "b")
 
 
@@ -377,9 +380,10 @@ def _decided(docs: DataFrame, words: int, percent: int, star_rounds: int) -> Dat
             members, new = _star_round(members, nodes, docs, words, percent, r)
             links = links.unionByName(new)
         found = stored(_in_blocks(members, nodes, percent), "near")
-        sets = _sets_of(found.select("node").distinct(), nodes, docs, words)
+        sets = _sets_of(found.select("node"), nodes, docs, words)
         links = links.unionByName(_links_across(found, sets, percent))
-    comps = components(links)
+    comps = stored(components(links), "components")
+    comps = F.broadcast(comps) if fits_broadcast(comps, BROADCAST_ROWS) else comps
     # per set, then per component: the row that stays
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     per_set = sketches.filter("n > 0").groupBy("s1", "s2").agg(F.min(place).alias("least"))

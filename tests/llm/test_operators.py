@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from nextbuy.llm import minhash
 from nextbuy.llm.components import components
 from nextbuy.llm.decontaminate import contamination, drop_contaminated
 from nextbuy.llm.exact_dedup import dedup_exact, keep_unique
@@ -145,6 +146,13 @@ def test_near_duplicates(docs, rows, words, rounds):
     assert all(r.doc_id == r.component_id for r in got if r.kept)
 
 
+def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 3)  # the larger groups are cut into many parts
+    got = near_duplicates(docs, words=2, percent=80, star_rounds=0).collect()
+    want = plain.near_components(rows, 2, 80)
+    assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == bag((i, *x) for (i, _), x in zip(rows, want, strict=True))
+
+
 def test_near_duplicates_stage(docs, no_docs):
     one = keep_one_of_near(docs, words=2)
     decided = near_duplicates(docs, words=2).filter("kept")
