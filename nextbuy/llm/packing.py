@@ -35,6 +35,7 @@ from .textnp import BLOCK, RangeHash, doc_blocks, utf8
 CLOSING_ID = 1
 _WORD_LIMIT = 700_000
 _TEXT_WORD_LIMIT = 200_000
+_POOL_LIMIT = 1 << 26
 _PART = 1 << 19
 _WHITE_SPACE = re.compile(r"[ \t-\r]+")
 _LONG_WORD = 10_000
@@ -56,7 +57,7 @@ class WordTable:
         self.pool, self.used, self.size = np.zeros(1 << 16, "<u4"), 0, 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Where each word's ids are (offset << 16 | count), -1 if it is not known."""
+        """Where each word's ids are (offset << 32 | count), -1 if it is not known."""
         slot = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
         out = np.full(len(h), -1, np.int64)
         left = np.arange(len(h))
@@ -73,7 +74,7 @@ class WordTable:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(self.pool), 2 * len(ids)), "<u4")])
         self.pool[self.used:self.used + len(ids)] = ids
-        place = (self.used + np.cumsum(counts) - counts) << 16 | counts
+        place = (self.used + np.cumsum(counts) - counts) << 32 | counts
         self.used += len(ids)
         self.size += len(h)
         if 2 * self.size > len(self.keys):
@@ -150,15 +151,15 @@ class WordEncoder:
         place = self.table.find(h)
         new = np.flatnonzero(place < 0)
         if len(new):
-            if self.table.size > _WORD_LIMIT:
+            if self.table.size > _WORD_LIMIT or self.table.used > _POOL_LIMIT:
                 self.table.clear()
                 new = np.arange(len(h))
             _, first = np.unique(h[new], return_index=True)
             self._learn_hashed(h, low.tobytes(), start, end, new[first])
             place = self.table.find(h)
-        count = place & 0xFFFF
+        count = place & 0xFFFFFFFF
         begin = np.cumsum(count) - count
-        ids = self.table.pool[np.repeat((place >> 16) - begin, count) + np.arange(int(count.sum()))]
+        ids = self.table.pool[np.repeat((place >> 32) - begin, count) + np.arange(int(count.sum()))]
         bounds = np.append(begin, len(ids))[np.searchsorted(doc, np.arange(j - i + 1))]
         out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for k in np.flatnonzero(~plain).tolist():
@@ -168,7 +169,7 @@ class WordEncoder:
     def _learn_hashed(self, h: np.ndarray, low: bytes, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> None:
         """Learn the words at the given places (of distinct hashes)."""
         size = end[at] - start[at]
-        for k in at[size > _LONG_WORD].tolist():  # too many ids for the table's count are not expected below this
+        for k in at[size > _LONG_WORD].tolist():
             ids = np.frombuffer(b"".join(self.by_text([low[start[k]:end[k]].decode()])), "<u4")
             self.table.add(h[[k]], np.array([len(ids)]), ids)
         at = at[size <= _LONG_WORD]

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nextbuy.llm import minhash
+from nextbuy.llm import minhash, packing
 from nextbuy.llm.decontaminate import MASKS, MISSES, SHORTEST, WINDOW
 from nextbuy.llm.fuse import FuseFilter
 from nextbuy.llm.packing import BestFit, WordEncoder, tokenizer_path
@@ -92,6 +92,24 @@ def test_words_are_encoded_like_texts():
     assert list(e(pa.array([None, "a"]))) == [b"", *e.by_text(["a"])]
 
 
+def test_long_words_keep_all_ids():
+    """Words of 65,536 ids or more, beside others in the same block and met again."""
+    e = WordEncoder(tokenizer_path())
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "a few other words", "x" * 1_000_000, "." * 300_000, "a few more words"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert max(map(len, want)) > 4 * 65_536
+    assert list(e(pa.array(texts))) == want and list(e(pa.array(texts[::-1]))) == want[::-1]
+
+
+def test_full_pool_is_learnt_anew(monkeypatch):
+    monkeypatch.setattr(packing, "_POOL_LIMIT", 3)
+    e = WordEncoder(tokenizer_path())
+    texts = ["several words and more", "and several others", "more words"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [next(iter(e(pa.array([t])))) for t in texts] == want
+
+
 def test_range_hash_depends_on_bytes_alone():
     d = np.frombuffer(b"abcXabcYab", np.uint8)
     h = RangeHash(d)(np.array([0, 4, 8]), np.array([3, 7, 10]))
