@@ -47,7 +47,7 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """From the end of the host up to ``?``, ``#`` or the end; empty without ``://``."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?>.*?://)[^/?#]*+(/[^?#]*)", 1)  # atomic: never on to a later ://
 
 
 def candidate_keys(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]) -> Column:

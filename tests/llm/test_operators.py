@@ -275,6 +275,15 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in url_verdicts(d, []).collect()} == {"allow"}
 
 
+def test_url_path_follows_the_first_host(spark):
+    urls = ["http://a.com?u=http://net/es/x", "http://example.com?r=http://b.org/en/1", "http://example.com#http://b.org/en/1",
+            "http://a.net/es/1?u=http://example.com/en/", "a://b://c/d", "http://" + "a" * 200_000 + "?u=http://net/es/x"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_verdicts(d).collect()}
+    assert got == {0: ("a.com", "", None, "allow"), 1: ("example.com", "", None, "allow"), 2: ("example.com", "", None, "allow"),
+                   3: ("a.net", "/es/1", "net/es/", "block"), 4: ("b:", "//c/d", None, "allow"), 5: ("a" * 200_000, "", None, "allow")}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf}/documents.parquet")
