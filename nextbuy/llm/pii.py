@@ -10,7 +10,10 @@ are replaced by invented ones of the same type:
   entity, however written, in whatever document, gets the same surrogate, written in
   that mention's format (digits for digits, letters of the same script and
   case, the same separators). Cards keep their issuer and a valid check digit, IP
-  octets their length, invented names the gender of the form of address.
+  octets their length, invented names the gender of the form of address. Names are found behind a
+  form of address; all further capitalised mentions of their words in that document count as mentions
+  of the person (with the type that the word had first there). Initials get a letter each; there are
+  too few for them to be distinct.
 * *Distinct.* All entities of the corpus are checked: where two entities of a type would
   get one surrogate, or a surrogate equals another entity that really
   occurs, all but one take the next attempt, until there are no collisions. Few do; they are
@@ -18,7 +21,8 @@ are replaced by invented ones of the same type:
 
 Everything is DataFrame expressions: texts are scanned for the entity table
 and once more for the replacement, where a text is split at its entities and put
-together again with the surrogates. Texts are exchanged only if the
+together again with the surrogates; a document with names is split at their further
+mentions too, by a pattern of its own. Texts are exchanged only if the
 collisions are too many to be broadcast.
 """
 
@@ -37,7 +41,15 @@ _SSN = r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
 _CARD = r"(?<!\p{N})(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\p{N})"
 _PHONE = (r"(?<![\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
           r"|\d{3}[.-]\d{3}[.-]\d{4})(?!\p{N})")
-_PERSON = r"(?<!\p{L})(?:" + "|".join((*FEMALE, *MALE, *NEUTRAL)) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
+#: Letters from a capital on, with apostrophes inside, but without a contracted word at the end (Smith's).
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?!(?i:s|d|ll|re|ve)(?!\p{L}))(?=\p{L}))++"
+_NAME_PART = _NAME + r"|\p{Lu}"
+_NAME_WORD = rf"(?:\p{{Lu}}\.-?)*+{_NAME}(?:-{_NAME})*+"
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+_FIRST_NAME = rf"(?:{_NAME_WORD}|{_INITIALS}|\p{{Lu}}(?![\p{{L}}\p{{M}}]))"
+_TITLE = "(?:" + "|".join((*FEMALE, *MALE, *NEUTRAL)) + ")"
+_TITLES = rf"(?:{_TITLE}\.? ){{1,4}}"
+_PERSON = rf"(?<!\p{{L}}){_TITLES}{_FIRST_NAME}(?: (?:{_NAME_WORD}|(?:{_INITIALS}|\p{{Lu}})(?= \p{{Lu}})))*+"
 PATTERN = "|".join((_EMAIL, _SECRET, _IP, _SSN, _CARD, _PHONE, _PERSON))
 _ISSUERS = r"^(4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(011|5))"
 #: Lists of up to this many documents with colliding entities may be broadcast.
@@ -72,20 +84,29 @@ def entity_type(m: Column) -> Column:
             .otherwise("phone"))
 
 
-def _names(m: Column) -> Column:
-    """The words after the form of address."""
-    return F.slice(F.split(m, " "), 2, 2)
+def _full_name(m: Column) -> Column:
+    """What follows the forms of address."""
+    return F.regexp_replace(m, f"^{_TITLES}(?={_FIRST_NAME})", "")
+
+
+def _names(s: Column) -> Column:
+    """The names and initials in a full name; parts with a hyphen between them count one by one."""
+    return F.regexp_extract_all(s, F.lit(_NAME_PART), F.lit(0))
+
+
+def _name_key(w: Column) -> Column:
+    return F.translate(F.lower(w), "’", "'")
 
 
 def units(m: Column) -> Column:
     """What gets a surrogate in a match: array of (type, canonical). A name's words count one by one."""
     kind = entity_type(m)
-    title = F.element_at(F.split(m, " "), 1)
-    given = F.when(title.rlike("^(" + "|".join(FEMALE) + r")\.?$"), "given_f").when(
-        title.rlike("^(" + "|".join(MALE) + r")\.?$"), "given_m").otherwise("given")
-    words = _names(m)
-    person = F.transform(words, lambda w, i: F.struct(F.when((i == 0) & (F.size(words) == 2), given).otherwise("surname").alias("type"),
-                                                      F.lower(w).alias("canonical")))
+    titled = lambda titles: m.rlike(rf"^(?:{_TITLE}\.? ){{0,3}}(?:{'|'.join(titles)})\.? ")
+    given = F.when(titled(FEMALE), "given_f").when(titled(MALE), "given_m").otherwise("given")
+    once = F.array(F.struct(F.split(_full_name(m), " ").alias("words"), given.alias("given")))  # not anew for each word
+    person = F.flatten(F.flatten(F.transform(once, lambda x: F.transform(x.words, lambda w, i: F.transform(_names(w), lambda p: F.struct(
+        F.when(F.char_length(p) == 1, "initial").when(i < F.size(x.words) - 1, x.given).otherwise("surname").alias("type"),
+        _name_key(p).alias("canonical")))))))
     canonical = F.when(kind.isin("email", "secret"), F.lower(m)).when(kind == "ip", m).otherwise(_digits(m))
     none = F.array().cast("array<struct<type:string,canonical:string>>")
     return F.when(kind.isNull(), none).when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("type"), canonical.alias("canonical"))))
@@ -133,7 +154,7 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     latin = invented("bdfgklmnprstvz", "aeiou", {"given_f": "na", "given_m": "nor", "given": "lin", "surname": "dson"})
     cyrillic = invented("бвгдзклмнпрст", "аеиоу", {"given_f": "на", "given_m": "слав", "given": "ль", "surname": "ов"})
     name = F.when(canonical.rlike(r"^\p{IsCyrillic}"), cyrillic).otherwise(latin)
-    return (F.when(kind == "email", email).when(kind == "secret", hexes).when(kind == "ip", ip).when(kind == "card", card)
+    return (F.when(kind == "initial", alike(canonical, 0)).when(kind == "email", email).when(kind == "secret", hexes).when(kind == "ip", ip).when(kind == "card", card)
             .when(kind == "ssn", numbers(0)).when(kind == "phone", numbers(1)).otherwise(name))
 
 
@@ -152,16 +173,39 @@ def _written_like(mention: Column, letters: Column) -> Column:
     return F.aggregate(_chars(mention), start, step, lambda acc: acc.out)
 
 
-def _replaced(m: Column, attempts: Column, key: str) -> Column:
-    """The text that takes a match's place. ``attempts``: map from "type|canonical" to attempt."""
-    own = F.transform(units(m), lambda u: F.struct(u.type.alias("type"), surrogate(
+def _persons(matches: Column) -> Column:
+    """The distinct names in a document's matches, in order: array of (type, canonical, written); no initials."""
+    named = F.filter(matches, lambda m: entity_type(m) == "person")
+    words = F.flatten(F.transform(named, lambda m: F.zip_with(units(m), _names(_full_name(m)), lambda u, w: F.struct(
+        u.type.alias("type"), u.canonical.alias("canonical"), w.alias("written")))))
+    return F.array_distinct(F.filter(words, lambda u: u.type != "initial"))
+
+
+def _pattern(names: Column) -> Column:
+    """``PATTERN``, and as the last choice each whole word with a capital that is one of the names."""
+    written = F.array_distinct(F.transform(names, lambda u: F.regexp_replace(F.lower(u.written), "['’]", "['’]")))
+    # lower-casing may change a letter's length (İ): the name as it is written counts too
+    forms = F.array_distinct(F.concat(written, F.transform(names, lambda u: F.regexp_replace(u.written, "['’]", "['’]"))))
+    word = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}\p{N}])(?=\p{Lu})(?iu:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    return F.when(F.size(names) == 0, F.lit(PATTERN)).otherwise(word)
+
+
+def _replaced(m: Column, attempts: Column, names: Column, key: str) -> Column:
+    """The text that takes a match's place. ``attempts``: map from "type|canonical" to attempt; ``names``: of the document."""
+    further = (entity_type(m) == "person") & ~F.contains(m, F.lit(" "))
+    known = F.transform(F.slice(F.filter(names, lambda u: u.canonical == _name_key(m)), 1, 1), lambda u: F.struct(
+        u.type.alias("type"), u.canonical.alias("canonical")))
+    own = F.transform(F.when(further, known).otherwise(units(m)), lambda u: F.struct(u.type.alias("type"), surrogate(
         u.type, u.canonical, F.coalesce(F.element_at(attempts, F.concat_ws("|", u.type, u.canonical)), F.lit(0)), key).alias("s")))
 
     def write(own: Column) -> Column:
         first = F.element_at(own, 1)
-        words = F.zip_with(_names(m), own, lambda w, u: F.when((w == F.upper(w)) & (F.char_length(w) > 1), F.upper(u.s)).otherwise(F.initcap(u.s)))
-        named = F.concat_ws(" ", F.concat(F.array(F.element_at(F.split(m, " "), 1)), words))
-        return (F.when(F.size(own) == 0, m).when(first.type.isin("given", "given_f", "given_m", "surname"), named)
+        name = _full_name(m)
+        words = F.zip_with(_names(name), own, lambda w, u: F.when((w == F.upper(w)) & (F.char_length(w) > 1), F.upper(u.s)).otherwise(F.initcap(u.s)))
+        between = F.split(name, _NAME_PART, -1)
+        named = F.concat(F.substring(m, F.lit(1), F.char_length(m) - F.char_length(name)), F.array_join(
+            F.zip_with(between, F.concat(words, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
+        return (F.when(F.size(own) == 0, m).when(first.type.isin("initial", "given", "given_f", "given_m", "surname"), named)
                 .when(first.type == "ip", first.s).otherwise(_written_like(m, first.s)))
 
     return F.element_at(F.transform(F.array(own), write), 1)
@@ -194,7 +238,7 @@ def replace_pii(docs: DataFrame, key: str = "change-this-key", id_col: str = "do
     matches = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     own = docs.select(*KEY, F.explode(F.array_distinct(matches)).alias("m")).select(*KEY, F.inline(units(F.col("m")))).distinct()
     own = stored(own, "entities")
-    again = collisions(own.select("type", "canonical").distinct(), key)
+    again = collisions(own.select("type", "canonical").filter("type != 'initial'").distinct(), key)
     name = F.concat_ws("|", "type", "canonical")
     per_doc = own.join(again, ["type", "canonical"]).groupBy(*KEY).agg(
         F.map_from_entries(F.collect_set(F.struct(name.alias("name"), "attempt"))).alias("attempts"))  # a document's own
@@ -202,7 +246,10 @@ def replace_pii(docs: DataFrame, key: str = "change-this-key", id_col: str = "do
     per_doc = F.broadcast(per_doc) if fits_broadcast(per_doc, BROADCAST_ROWS) else per_doc
     rows = docs.join(per_doc, KEY, "left").select(
         "doc_id", "text", matches.alias("matches"), F.coalesce("attempts", F.create_map().cast("map<string,int>")).alias("attempts"))
+    rows = rows.withColumn("names", _persons(F.col("matches")))
+    rows = rows.withColumn("pattern", _pattern(F.col("names")))
+    rows = rows.withColumn("matches", F.when(F.size("names") == 0, F.col("matches")).otherwise(F.regexp_extract_all("text", "pattern", F.lit(0))))
     kinds = F.filter(F.transform("matches", entity_type), lambda t: t.isNotNull())
-    new = F.concat(F.transform("matches", lambda m: _replaced(m, F.col("attempts"), key)), F.array(F.lit("")))
-    whole = F.array_join(F.zip_with(F.split("text", PATTERN, -1), new, lambda a, b: F.concat(a, b)), "")
+    new = F.concat(F.transform("matches", lambda m: _replaced(m, F.col("attempts"), F.col("names"), key)), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(F.split("text", F.col("pattern"), -1), new, lambda a, b: F.concat(a, b)), "")
     return rows.select("doc_id", F.when(F.size("matches") == 0, F.col("text")).otherwise(whole).alias("text"), kinds.alias("found"))

@@ -240,6 +240,30 @@ def test_pii_is_replaced_in_kind(spark, no_docs):
     assert replace_pii(d, key="other").collect() != got and replace_pii(no_docs).count() == 0
 
 
+NAMES = [
+    (1, "Mrs. Jane Smith wrote. Then Smith said SMITH's, Smithson no; Jane left (Jane Smith) smith."),
+    (2, "Mr O'Brien, Mr. J. Smith, Dr Smith-Jones, Mrs. Anna Maria Smith, Mr. John Q. Smith; O’Brien's, Jones, Maria, Anna, John."),
+    (3, "Herr Prof. Dr. Müller sah MÜLLER. Mr. J.-P. Durand, Mr. John R Smith, Mr A.Smith"), (4, "Smith and Jane without an address"),
+    (5, "г-н Иванов: Иванов, ИВАНОВ. Mr. " + "Many " * 20_000 + "names"), (6, "Mr. Smith's car; Dr X. Smith.Jones@mail.example.com"),
+]
+
+
+def test_pii_takes_whole_names_and_their_further_mentions(spark):
+    got = {r.doc_id: r for r in replace_pii(spark.createDataFrame(NAMES, "doc_id long, text string"), key="k").collect()}
+    of = {i: r.text for i, r in got.items()}
+    jane, smith = re.match(r"Mrs\. (\w+) (\w+) wrote", of[1]).groups()
+    assert of[1] == f"Mrs. {jane} {smith} wrote. Then {smith} said {smith.upper()}'s, Smithson no; {jane} left ({jane} {smith}) smith."
+    assert jane.endswith("na") and smith.endswith("dson") and got[1].found == ["person"] * 6
+    w = r"(\w{7,})"
+    brien, j, jones, anna, maria, john, q, *later = re.fullmatch(
+        rf"Mr {w}, Mr\. (\w)\. {smith}, Dr {smith}-{w}, Mrs\. {w} {w} {smith}, Mr\. {w} (\w)\. {smith}; {w}'s, {w}, {w}, {w}, {w}\.", of[2]).groups()
+    assert later == [brien, jones, maria, anna, john] and anna.endswith("na") and john.endswith("nor") and j.isupper() and q.isupper()
+    m = re.fullmatch(rf"Herr Prof\. Dr\. {w} sah {w}\. Mr\. \w\.-\w\. {w}, Mr\. {john} \w {smith}, Mr \w\.{smith}", of[3])
+    assert m and m[1].upper() == m[2] and not re.search("Müller|MÜLLER|Durand", of[3])
+    assert of[4] == NAMES[3][1] and not re.search("(?i)иванов[ ,.:]|Many", of[5]) and len(of[5].split()) == len(NAMES[4][1].split())
+    assert of[6].startswith(f"Mr. {smith}'s car; Dr ") and "Smith" not in of[6] and "@" in of[6]
+
+
 def test_pii_surrogates_are_distinct(spark):
     """Short addresses leave few surrogates, so the first attempts collide."""
     real = [f"{a}.{b}.{c}.{d}" for a in range(1, 8) for b in range(6) for c in range(6) for d in range(6)]
