@@ -16,7 +16,8 @@ are replaced by invented ones of the same type:
   too few for them to be distinct.
 * *Distinct.* All entities of the corpus are checked: where two entities of a type would
   get one surrogate, or a surrogate equals another entity that really
-  occurs, all but one take the next attempt, until there are no collisions. Few do; they are
+  occurs, all but one take the next attempt, until there are no collisions. Names and e-mail
+  addresses get two more letters every four attempts, so their number is not limited. Few do; they are
   looked up by document, all others follow from the key alone.
 
 Everything is DataFrame expressions: texts are scanned for the entity table
@@ -52,6 +53,9 @@ _TITLES = rf"(?:{_TITLE}\.? ){{1,4}}"
 _PERSON = rf"(?<!\p{{L}}){_TITLES}{_FIRST_NAME}(?: (?:{_NAME_WORD}|(?:{_INITIALS}|\p{{Lu}})(?= \p{{Lu}})))*+"
 PATTERN = "|".join((_EMAIL, _SECRET, _IP, _SSN, _CARD, _PHONE, _PERSON))
 _ISSUERS = r"^(4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(011|5))"
+#: (consonants, vowels, ends) of invented names.
+LATIN = ("bdfgklmnprstvz", "aeiou", {"given_f": "na", "given_m": "nor", "given": "lin", "surname": "dson"})
+CYRILLIC = ("бвгдзклмнпрст", "аеиоу", {"given_f": "на", "given_m": "слав", "given": "ль", "surname": "ов"})
 #: Lists of up to this many documents with colliding entities may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -143,24 +147,28 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     host_end = F.char_length(F.regexp_replace(F.element_at(F.split(canonical, r"\."), -1), r"[^\p{L}\p{N}]", ""))
     letters = F.filter(_chars(canonical), lambda c: c.rlike(r"[\p{L}\p{N}]"))
     email = join(F.transform(letters, lambda c, i: F.when(i >= F.size(letters) - host_end, c).otherwise(alike(c, i))))
+    more = 2 * F.floor(attempt / 4).cast("int")  # a small space is used up: each four attempts take longer forms
+    longer = join(F.transform(F.sequence(F.lit(1), more), lambda i: pick("abcdefghijklmnopqrstuvwxyz", i + F.lit(1 << 20))))
+    email = F.when(attempt >= 4, F.concat(longer, email)).otherwise(email)
 
     def invented(consonants: str, vowels: str, ends: dict[str, str]) -> Column:
         stem = F.concat(*[pick(consonants if i % 2 == 0 else vowels, i) for i in range(6)])
+        grown = join(F.transform(F.sequence(F.lit(6), more + 5), lambda i: F.when(i % 2 == 0, pick(consonants, i)).otherwise(pick(vowels, i))))
+        stem = F.when(attempt >= 4, F.concat(stem, grown)).otherwise(stem)
         end = F.lit("")
         for k, v in ends.items():
             end = F.when(kind == k, v).otherwise(end)
         return F.concat(stem, end)
 
-    latin = invented("bdfgklmnprstvz", "aeiou", {"given_f": "na", "given_m": "nor", "given": "lin", "surname": "dson"})
-    cyrillic = invented("бвгдзклмнпрст", "аеиоу", {"given_f": "на", "given_m": "слав", "given": "ль", "surname": "ов"})
-    name = F.when(canonical.rlike(r"^\p{IsCyrillic}"), cyrillic).otherwise(latin)
+    name = F.when(canonical.rlike(r"^\p{IsCyrillic}"), invented(*CYRILLIC)).otherwise(invented(*LATIN))
     return (F.when(kind == "initial", alike(canonical, 0)).when(kind == "email", email).when(kind == "secret", hexes).when(kind == "ip", ip).when(kind == "card", card)
             .when(kind == "ssn", numbers(0)).when(kind == "phone", numbers(1)).otherwise(name))
 
 
 def _written_like(mention: Column, letters: Column) -> Column:
-    """``letters`` put in the places of the mention's letters and digits, with their case."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
+    """``letters`` put in the places of the mention's letters and digits, with their case; what they have more comes first."""
+    more = F.char_length(letters) - F.char_length(F.regexp_replace(F.lower(mention), r"[^\p{L}\p{N}]", ""))
+    start = F.struct(F.lit("").alias("out"), F.greatest(more, F.lit(0)).alias("k"))
 
     def step(acc: Column, c: Column) -> Column:
         own = F.substring(letters, acc.k + 1, F.lit(1))
@@ -170,7 +178,7 @@ def _written_like(mention: Column, letters: Column) -> Column:
 
     loud = (mention == F.upper(mention)) & (mention != F.lower(mention))
     letters = F.when(loud, F.upper(letters)).otherwise(letters)
-    return F.aggregate(_chars(mention), start, step, lambda acc: acc.out)
+    return F.concat(F.substring(letters, F.lit(1), F.greatest(more, F.lit(0))), F.aggregate(_chars(mention), start, step, lambda acc: acc.out))
 
 
 def _persons(matches: Column) -> Column:

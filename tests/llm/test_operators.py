@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nextbuy.llm import minhash
+from nextbuy.llm import minhash, pii
 from nextbuy.llm.components import components
 from nextbuy.llm.decontaminate import contamination, drop_contaminated
 from nextbuy.llm.exact_dedup import dedup_exact, keep_unique
@@ -272,6 +272,18 @@ def test_pii_surrogates_are_distinct(spark):
     assert len(set(new)) == len(real) and not set(new) & set(real)
 
 
+def test_pii_surrogates_grow_when_a_space_is_used_up(spark, monkeypatch):
+    """More names than the first forms can give, and all addresses of the shortest form."""
+    monkeypatch.setattr(pii, "LATIN", ("bd", "ae", pii.LATIN[2]))
+    names = ["Mr X" + "".join(chr(97 + n // 10**k % 10) for k in range(3)) for n in range(300)]
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    for real in (names, mails):
+        d = spark.createDataFrame(list(enumerate(real)), "doc_id long, text string").coalesce(2)
+        new = [r.text for r in replace_pii(d, key="k").collect()]
+        assert len(set(new)) == len(real) and not set(new) & set(real)
+        assert all(re.fullmatch(r"Mr [BD][a-z]+dson|[a-z]+@[a-z]\.com", t) for t in new)
+
+
 URLS = ["http://example.com/en/1", "https://www.EXAMPLE.com/en/x?q=http://a.net/es/", "http://a.b.net/es/5", "http://net/fr/", "http://net/de/",
         "http://notexample.com/en/", "http://x.com", "http://x.com?/en/", "ftp://y.com#/", "http:///en/", None, "", "no url", "http://example.com/en",
         "http://example.com:80/en/", "://m.example.com/en/", "http://é.net/es/\n"]
