@@ -56,6 +56,17 @@ _ISSUERS = r"^(4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(011|5))"
 #: (consonants, vowels, ends) of invented names.
 LATIN = ("bdfgklmnprstvz", "aeiou", {"given_f": "na", "given_m": "nor", "given": "lin", "surname": "dson"})
 CYRILLIC = ("бвгдзклмнпрст", "аеиоу", {"given_f": "на", "given_m": "слав", "given": "ль", "surname": "ов"})
+GREEK = ("βγδκλμνπρστφ", "αεηιου", {"given_f": "να", "given_m": "νος", "given": "λιν", "surname": "ιδης"})
+ARMENIAN = ("բգդզլկմնպստր", "աեիու", {"given_f": "նա", "given_m": "նոր", "given": "լին", "surname": "յան"})
+#: Letters that take the place of a letter in an e-mail address, by script or block.
+SCRIPTS = {
+    "IsCyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "IsGreek": "αβγδεζηθικλμνξοπρστυφχψω", "IsArmenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ",
+    "IsGeorgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "IsHebrew": "אבגדהוזחטיכלמנסעפצקרשת", "IsArabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "IsDevanagari": "कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "IsBengali": "কখগঘচছজঝটঠডঢণতথদধনপফবভমযরলশষসহ", "IsThai": "กขคงจชซญดตถทธนบปผพภมยรลวสหอ",
+    "IsHiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "IsKatakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "IsHangul": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후", "IsHan": "一二三四五六七八九十大小山川水火木金土日月田中上下左右東西南北春夏秋冬天地人心手文字明林森花草石雨雪風空海",
+}
 #: Lists of up to this many documents with colliding entities may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -142,8 +153,14 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
         .when(short, draw(i, 156) + 100).otherwise(draw(i, 256))).cast("string")), ".")
     hexes = join(F.transform(F.filter(_chars(canonical), lambda c: c.rlike(r"[\p{L}\p{N}]")),
                              lambda c, i: F.when(canonical.rlike("^[0-9a-f]+$"), pick("0123456789abcdef", i)).otherwise(pick("0123456789abcdefghijklmnopqrstuvwxyz", i))))
-    alike = lambda c, i: (F.when(c.rlike("[0-9]"), pick("0123456789", i)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", i))
-                          .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя", i)).when(c.rlike(r"\p{L}"), pick("àáâäçèéêëíîïñóôöùúûü", i)).otherwise(c))
+
+    def alike(c: Column, i: Column | int) -> Column:
+        out = F.when(c.rlike("[0-9]"), pick("0123456789", i)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", i))
+        other = F.when(c.rlike(r"\p{IsLatin}"), pick("àáâäçèéêëíîïñóôöùúûü", i))
+        for script, own in SCRIPTS.items():
+            other = other.when(c.rlike(rf"\p{{{script}}}"), pick(own, i))
+        return out.when(c.rlike(r"\p{L}"), other.otherwise(pick("àáâäçèéêëíîïñóôöùúûü", i))).otherwise(c)
+
     host_end = F.char_length(F.regexp_replace(F.element_at(F.split(canonical, r"\."), -1), r"[^\p{L}\p{N}]", ""))
     letters = F.filter(_chars(canonical), lambda c: c.rlike(r"[\p{L}\p{N}]"))
     email = join(F.transform(letters, lambda c, i: F.when(i >= F.size(letters) - host_end, c).otherwise(alike(c, i))))
@@ -160,7 +177,8 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
             end = F.when(kind == k, v).otherwise(end)
         return F.concat(stem, end)
 
-    name = F.when(canonical.rlike(r"^\p{IsCyrillic}"), invented(*CYRILLIC)).otherwise(invented(*LATIN))
+    name = (F.when(canonical.rlike(r"^\p{IsLatin}"), invented(*LATIN)).when(canonical.rlike(r"^\p{IsCyrillic}"), invented(*CYRILLIC))
+            .when(canonical.rlike(r"^\p{IsGreek}"), invented(*GREEK)).when(canonical.rlike(r"^\p{IsArmenian}"), invented(*ARMENIAN)).otherwise(invented(*LATIN)))
     return (F.when(kind == "initial", alike(canonical, 0)).when(kind == "email", email).when(kind == "secret", hexes).when(kind == "ip", ip).when(kind == "card", card)
             .when(kind == "ssn", numbers(0)).when(kind == "phone", numbers(1)).otherwise(name))
 

@@ -2,6 +2,7 @@
 
 import re
 import struct
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -284,6 +285,20 @@ def test_pii_surrogates_grow_when_a_space_is_used_up(spark, monkeypatch):
         assert all(re.fullmatch(r"Mr [BD][a-z]+dson|[a-z]+@[a-z]\.com", t) for t in new)
 
 
+def test_pii_surrogates_keep_the_script(spark):
+    texts = {"GREEK": "Dr Παπαδόπουλος, νίκος@παράδειγμα.com", "ARMENIAN": "Dr Պետրոսյան, պետրոս@mail.com", "HEBREW": "דוד@mail.com", "ARABIC": "محمد@mail.com",
+             "CJK": "山田@mail.com", "HANGUL": "김철수@mail.com", "HIRAGANA": "さくら@mail.com", "KATAKANA": "サクラ@mail.com", "THAI": "สมชาย@mail.com",
+             "DEVANAGARI": "रमन@mail.com", "CYRILLIC": "Dr Иванов, иван@mail.com", "LATIN": "Dr Müller, müller@mail.com", "GEORGIAN": "გიორგი@mail.com"}
+    d = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id string, text string")
+    for r in replace_pii(d, key="k").collect():
+        real = re.sub("^Dr |mail.com|com$", "", texts[r.doc_id])
+        letters = lambda t: [c for c in t if c.isalpha()]
+        new = re.sub("^Dr ", "", r.text)
+        name, _, local = new.rpartition(", ")
+        assert all(unicodedata.name(c).startswith(r.doc_id) for c in letters(name + local.split("@")[0])), r.text
+        assert not any(w in r.text for w in re.findall(r"\w+", real))
+
+
 URLS = ["http://example.com/en/1", "https://www.EXAMPLE.com/en/x?q=http://a.net/es/", "http://a.b.net/es/5", "http://net/fr/", "http://net/de/",
         "http://notexample.com/en/", "http://x.com", "http://x.com?/en/", "ftp://y.com#/", "http:///en/", None, "", "no url", "http://example.com/en",
         "http://example.com:80/en/", "://m.example.com/en/", "http://é.net/es/\n"]
