@@ -8,7 +8,7 @@ merge tree:
 
 * a batch is aggregated to one row per key and merge-anti-joined with every
   run; the keys that no run has become a new run of level 0;
-* keys that some run has are *hits*; they wait beside the runs with their
+* the batch's other keys are *hits*, each taken once; they wait beside the runs with their
   counts until the next compaction;
 * ``fan_in`` runs of a level, with the hits so far, are merged into one run of
   the next level.
@@ -63,8 +63,9 @@ class LineRuns:
             self.levels[0].append(self._write(batch.repartition(self.buckets, *HASH)))
             return
         own = self.spark.table(self._write(batch.repartition(self.buckets, *HASH)))
-        self.levels[0].append(self._write(reduce(lambda b, run: b.join(run, HASH, "left_anti"), runs, own)))
-        self.hits += [own.join(run, HASH, "left_semi") for run in runs]  # a key is in one run at most
+        new = self._write(reduce(lambda b, run: b.join(run, HASH, "left_anti"), runs, own))
+        self.levels[0].append(new)
+        self.hits.append(own.join(self.spark.table(new), HASH, "left_anti"))  # once each: after a compaction several runs may have a key
         level = 0
         while len(self.levels[level]) >= self.fan_in:
             merged = self._write(self._merge([self.spark.table(n) for n in self.levels[level]] + self.hits))

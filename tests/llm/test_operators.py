@@ -54,6 +54,17 @@ def test_line_dedup_empty_and_long(spark, no_docs):
     assert (r.n_lines, r.n_dropped) == (30_001, 0)
 
 
+def test_line_dedup_counts_once_after_compactions(spark):
+    rows = [(i, f"line {i % 12} that is long enough\nanother line {i % 17} of some length") for i in range(48)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = bag((i, *x) for (i, _), x in zip(rows, plain.lines(rows, min_docs=4), strict=True))
+    assert 0 < sum(n * x[2] for x, n in want.items()) < 96
+    for min_docs, batches in ((4, 9), (5, 9), (3, 9)):
+        want = bag((i, *x) for (i, _), x in zip(rows, plain.lines(rows, min_docs=min_docs), strict=True))
+        got = dedup_lines(d, min_docs=min_docs, n_batches=batches, buckets=2).collect()
+        assert bag((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == want
+
+
 def test_exact_dedup(docs, rows):
     groups = defaultdict(list)
     for i, t in rows:
