@@ -17,7 +17,9 @@ in substituted tokens still agrees with its source under some mask:
 
 The masks find every such window: whichever two tokens of 14 (or one of 8 or more)
 are substituted, some mask fits beside them (a test tries all). Items of fewer
-than eight tokens are no evidence of copying and are not searched.
+than eight tokens have an exact path: a document is contaminated by such an item when
+its tokens are all tokens of one of the document's lines, or of the whole document.
+Within a longer line they are no evidence of copying.
 
 Test items are few beside the corpus, but nothing relies on it: their hashes
 and the hits are broadcast only when proven to be within ``BROADCAST_ROWS``;
@@ -70,11 +72,30 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, BROADCAST_ROWS) else df
 
 
-def searched_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, item_id, h): the items long enough to be searched; items repeated with the same id and text are one."""
+def searched_items(items: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+    """(item, item_id, h): the items long enough for the masks, or the short ones; items repeated with the same id and text are one."""
     rows = id_text(items, id_col, text_col).select(F.col("doc_id").alias("item_id"), "text")
     rows = rows.withColumn("item", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("~null")), "text")).dropDuplicates(["item"])
-    return rows.select("item", "item_id", token_hashes(F.col("text")).alias("h")).filter(F.size("h") >= SHORTEST)
+    rows = rows.select("item", "item_id", token_hashes(F.col("text")).alias("h"))
+    return rows.filter(F.size("h").between(1, SHORTEST - 1) if short else F.size("h") >= SHORTEST)
+
+
+def find_short(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(k1, k2, item, item_id, agree) of keyed documents with a line, or as a whole, equal in tokens to a short item; None without such items."""
+    items = stored(items, "short-items")
+    if items.isEmpty():
+        return None
+    lines = F.transform(F.split("text", r"[\n\r]+", -1), token_hashes)
+    passages = F.array_distinct(F.filter(F.concat(F.array(token_hashes(F.col("text"))), lines), lambda h: F.size(h).between(1, SHORTEST - 1)))
+    found = docs.select(*KEY, F.explode(passages).alias("h")).join(_small(items), "h")
+    return found.select(*KEY, "item", "item_id", F.size("h").alias("agree"))
+
+
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, item, item_id, agree) of items of any length."""
+    found = find_overlaps(docs, searched_items(items, id_col, text_col)).select(*KEY, "item", "item_id", "agree")
+    short = find_short(docs, searched_items(items, id_col, text_col, short=True))
+    return found if short is None else found.unionByName(short)
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -116,7 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     overlaps; repeated rows get the same result each. Only ids and texts are read.
     """
     docs = keyed(docs, id_col, text_col)
-    found = find_overlaps(docs, searched_items(items, item_id_col, item_text_col))
+    found = _found(docs, items, item_id_col, item_text_col)
     per_doc = found.groupBy(*KEY).agg(F.count_distinct("item").alias("n_items"), F.max("agree").alias("max_agree"), F.min("item_id").alias("first_item"))
     out = docs.select(*KEY, "doc_id").join(_small(stored(per_doc, "contaminated")), KEY, "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -127,6 +148,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                       item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without a verified overlap with a test item."""
     rows, keys = with_row_key(docs, id_col, text_col)
-    found = find_overlaps(keyed(docs, id_col, text_col), searched_items(items, item_id_col, item_text_col))
+    found = _found(keyed(docs, id_col, text_col), items, item_id_col, item_text_col)
     found = stored(found.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1])).distinct(), "contaminated")
     return rows.join(_small(found), keys, "left_anti").select(*docs.columns)

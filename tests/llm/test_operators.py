@@ -196,6 +196,19 @@ def test_contamination(spark, docs, rows, no_docs):
     assert contamination(docs, table.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contamination_by_short_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "Yes"), (3, "日本の首都はどこですか。"), (4, "..."), (5, "two\nlines here"), (None, "a null id")]
+    texts = ["what is the CAPITAL of France", "Intro\r\n- What is the capital of France?\r\nParis", "He said: what is the capital of France? Yes indeed",
+             "日本の首都はどこですか", "...", "Two lines\nhere", "", None, "a\nnull id", "A null id!\nyes"]
+    d = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = bag((r.doc_id, r.contaminated, r.n_items, r.max_agree, r.first_item) for r in contamination(d, table).collect())
+    hit = {0: (True, 1, 6, 1), 1: (True, 1, 6, 1), 3: (True, 1, 1, 3), 5: (True, 1, 3, 5), 8: (True, 1, 3, None), 9: (True, 2, 3, 2)}
+    want = bag((i, *hit.get(i, (False, 0, 0, None))) for i in [*range(10), 0])
+    assert got == want
+    assert bag(r.doc_id for r in drop_contaminated(d, table).collect()) == bag([2, 4, 6, 7])
+
+
 def test_quality(spark, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
