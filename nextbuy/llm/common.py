@@ -79,8 +79,8 @@ def crc32_text(c: Column) -> Column:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` is proven to hold at most ``max_rows`` rows (reads no more than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` holds at most ``max_rows`` rows, counted by all tasks (of a stored table: from its footers)."""
+    return df.count() <= max_rows
 
 
 def fresh(df: DataFrame, base: str) -> str:

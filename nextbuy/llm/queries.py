@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .clustering import cluster_vectors
 from .common import sha256_hex
 from .decontaminate import contamination
 from .exact_dedup import dedup_exact
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack
@@ -21,6 +23,7 @@ from .sharding import shard_by_bytes
 from .sql import ORACLE_SQL
 from .suffix_dedup import remove_repeats
 from .url_filter import TASK_RULES, url_verdicts
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,9 +83,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read_table(spark, sf_dir, "pages"), TASK_RULES)
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 finite entries in 40 clusters, five rounds, exact integers."""
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, dims=64, tag="2")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finite vectors on their 32 leading whitened components."""
+    return whiten(read_table(spark, sf_dir, "embeddings"), n_components=32, scale=64)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_quality, op4_line_dedup, op5_exact_dedup, op6_packing, op7_decontamination, op8_sharding,
-                           op9_minhash, op10_url_filter)
+                           op9_minhash, op10_url_filter, op11_clustering, op12_whitening, op13_licenses)
 }
 LLM_QUERIES["pipeline"] = pipeline
 LLM_ORACLES: dict[str, str] = {k: v for k, v in ORACLE_SQL.items() if k in LLM_QUERIES}
