@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_text, stored
-from .textnp import BLOCK, RangeHash, doc_blocks, utf8
+from .textnp import BLOCK, doc_blocks, token_hashes, utf8
 
 CLOSING_ID = 1
 _WORD_LIMIT = 700_000
@@ -147,7 +147,7 @@ class WordEncoder:
         doc = np.searchsorted(off, start, "right") - 1
         real = plain[doc]
         start, end, doc = start[real], end[real], doc[real]
-        h = np.maximum(RangeHash(low)(start, end), np.uint64(1))
+        h = np.maximum(token_hashes(low, start, end), np.uint64(1))
         place = self.table.find(h)
         new = np.flatnonzero(place < 0)
         if len(new):

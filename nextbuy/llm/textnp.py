@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """64-bit polynomial hashes of any byte ranges of one buffer."""
+    """64-bit polynomial hashes of any short byte ranges of one buffer (long ones collide by their pattern: see ``token_hashes``)."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _power(len(data) + 1)
@@ -67,6 +68,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Longer tokens are hashed byte by byte. Sums modulo 2**64 collide by pattern (Thue-Morse words, whatever the base), but
+#: not within so few bytes: differences of at most 255 cannot make up 64 factors of two there.
+SHORT = 48
+
+
+def token_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
+    out = RangeHash(data)(start, end)
+    long = np.flatnonzero(end - start > SHORT)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        own = [blake2b(view[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(own), "<u8")
+    return out
+
+
 def tokens(data: np.ndarray, off: np.ndarray, classes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of every token: a run of bytes of one class within one document; class 0 separates.
 
@@ -84,8 +101,7 @@ def tokens(data: np.ndarray, off: np.ndarray, classes: np.ndarray, lower: bool)
     end = np.append(start[1:], n)
     real = kind[start] != 0
     start, end = start[real], end[real]
-    hashes = RangeHash(_LOWER[data] if lower else data)(start, end)
-    return hashes, np.searchsorted(off, start, "right") - 1
+    return token_hashes(_LOWER[data] if lower else data, start, end), np.searchsorted(off, start, "right") - 1
 
 
 #: Token classes: words are runs of anything but ASCII white space.
