@@ -2,7 +2,7 @@
 
   python -m nextbuy features RAW_CSV OUT_DIR [--test] [--noimpute]
   python -m nextbuy train FEATURES [--testset TEST_FEATURES] [-m TRAIN_MONTH] [-t TEST_MONTH]
-                          [-f MODEL_DIR [--load]] [-n MAX_ITER] [--pred-out PRED_DIR]
+                          [-f MODEL_DIR [--load]] [-n MAX_ITER] [--validate] [--pred-out PRED_DIR]
   python -m nextbuy recommend PRED_DIR SUBMIT_DIR [-d CLEANED] [-m MONTH] [--limit K]
   python -m nextbuy inspect ACTIVATIONS [-n TOP_N] [-s FRACTION] [--out DIR]
   python -m nextbuy inspect -f MODEL_DIR --features FEATURES [-m TRAIN_MONTH] [-t TEST_MONTH] [-n] [-s]
@@ -16,6 +16,7 @@ from __future__ import annotations
 import argparse
 
 from .constants import BASE_YEAR, LAST_FILE_MONTH, SAMPLE_FRACTION, TOP_N_PER_DIM
+from .operators import training, trainlog
 from .plans import flows
 from .session import get_spark
 
@@ -45,6 +46,7 @@ def main(argv=None, spark=None) -> None:
     t.add_argument("-n", "--max_iter", type=int, default=20)
     t.add_argument("--seq-len", type=int, default=None, help="steps to pad to (default: the longest possible history)")
     t.add_argument("--pred-out", default=None)
+    t.add_argument("--validate", action="store_true", help="watch the last training month and keep the best epoch's weights")
 
     r = sub.add_parser("recommend", help="ranked lists of new products")
     r.add_argument("pred")
@@ -75,8 +77,10 @@ def main(argv=None, spark=None) -> None:
     elif a.cmd == "train":
         res = flows.train_and_score(spark, a.features, a.train_month, a.test_month, a.testset, a.last_file_month,
                                     seq_len=a.seq_len, max_iter=a.max_iter, pred_out=a.pred_out,
-                                    model_path=a.model, load_model=a.load)
+                                    model_path=a.model, load_model=a.load, validate=a.validate)
         res.train_lengths.show(truncate=False)
+        if res.log is not None:
+            trainlog.epoch_report(res.log, ["loss", training.VAL_LOSS, training.VAL_MAP]).orderBy("epoch").show(100, truncate=False)
         if res.map7_new is not None:
             print("MAP@7 on new products:", res.map7_new.first().asDict())
             res.losses.orderBy("n_obs").show(50, truncate=False)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (ATTR_COLS, BASE_YEAR, LAST_FILE_MONTH, NUM_PRODUCTS, P_COLS,
                          SAMPLE_FRACTION, TOP_K, TOP_N_PER_DIM)
-from ..operators import activations, features, impute, metrics, recommend, score, sequence
+from ..operators import activations, features, impute, joint, metrics, recommend, sequence, training
 from ..operators.clean import clean
 from ..sources import csv_io
 from ..sources.storage import read_stored, store_rows, write_bucketed
@@ -74,6 +74,7 @@ class ScoreResult:
     map7_new: DataFrame | None      # (n, map) when the target month has labels
     losses: DataFrame | None
     train_lengths: DataFrame | None = None   # (status, n_customers): kept / too short / too long
+    log: DataFrame | None = None    # (epoch, metric, value) of a validated fit
 
 
 def train_and_score(spark: SparkSession, features_path: str, train_month: int = LAST_FILE_MONTH,
@@ -82,7 +83,7 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
                     include_time: bool = True, seq_len: int | None = None, max_len: int | None = None,
                     remove_non_buyers: bool = False, max_iter: int = 20, reg_param: float = 0.01,
                     pred_out: str | None = None, model_path: str | None = None, load_model: bool = False,
-                    check_keys: bool = False) -> ScoreResult:
+                    check_keys: bool = False, validate: bool = False) -> ScoreResult:
     """Train on months <= train_month, score test_month.
 
     A month inside the training file is a held-out evaluation (MAP@7 on new
@@ -90,38 +91,46 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
     ``pred_out``, writes the headerless predictions file. ``model_path``
     saves the fitted models there, or with ``load_model`` reuses saved ones.
     ``check_keys`` verifies that (id, t) is unique (one extra aggregate).
+    ``validate``: the fit watches the last training month as its validation set (fitted on the months
+    before it), logs it on epochs 2 and 4 of 5 and keeps the weights with the least validation loss.
     """
     feats = read_stored(spark, features_path)
     if check_keys:
         sequence.require_unique_keys(feats)
     held_out = test_month <= last_file_month
     width = (2 if include_time else 0) + NUM_PRODUCTS
-    loaded = score.ProductScorer.load(model_path) if load_model and model_path else None
+    loaded = joint.JointScorer.load(spark, model_path) if load_model and model_path else None
     # by default the longest possible history, or what a saved model was fitted on
-    seq_len = seq_len or (loaded.seq_len(len(attr_cols), width) if loaded else max(train_month, test_month - 1))
+    seq_len = seq_len or (loaded.seq_len if loaded else max(train_month, test_month - 1))
     # a held-out month is read from the same table in one scan (target=None)
     target = None if held_out else sequence.select_target_rows(
         feats, read_stored(spark, test_features_path) if test_features_path else None, test_month, last_file_month)
     test = sequence.build_test(feats, target, train_month, test_month, attr_cols, scale_time_dim=scale_time,
                                include_time=include_time, max_len=max_len)
-    test_v = store_rows(score.feature_vectors(sequence.pad_histories(test, seq_len, width)), "test-vectors")
+    log = None
     if loaded:
         model = loaded
     else:
-        train = sequence.build_train(feats, train_month, attr_cols, remove_non_buyers=remove_non_buyers,
+        last = train_month - 1 if validate else train_month
+        train = sequence.build_train(feats, last, attr_cols, remove_non_buyers=remove_non_buyers,
                                      scale_time_dim=scale_time, include_time=include_time, max_len=max_len)
-        train_v = score.feature_vectors(sequence.pad_histories(train, seq_len, width))
-        model = score.ProductScorer(max_iter=max_iter, reg_param=reg_param).fit(train_v)
-        if model_path:
-            model.save(model_path)
-    scored = store_rows(model.predict(test_v), "scored")
+        held = sequence.build_test(feats, None, last, train_month, attr_cols, scale_time_dim=scale_time, include_time=include_time,
+                                   max_len=max_len) if validate else None
+        if validate:
+            run = training.train_with_validation(train, held, seq_len, width, max_iter + 1, model_path, reg_param)
+            model, log = run.scorer, run.log(spark)
+        else:
+            model = joint.JointScorer(max_iter=max_iter, reg_param=reg_param).fit(train, seq_len, width)
+            if model_path:
+                model.save(spark, model_path)
+    scored = store_rows(model.predict(test), "scored")
     lengths = sequence.length_report(sequence.month_filter(feats, train_month), 2, max_len)
     if held_out:
-        return ScoreResult(scored, metrics.map_at_k_new(scored), metrics.losses(scored), lengths)
+        return ScoreResult(scored, metrics.map_at_k_new(scored), metrics.losses(scored), lengths, log)
     if pred_out:
         pred = scored.select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)])
         csv_io.write_predictions(pred, pred_out)
-    return ScoreResult(scored, None, None, lengths)
+    return ScoreResult(scored, None, None, lengths, log)
 
 
 @dataclass
@@ -167,7 +176,7 @@ class ModelInspection:
 def inspect_model(spark: SparkSession, features_path: str, model_path: str, train_month: int = LAST_FILE_MONTH - 1,
                   test_month: int = LAST_FILE_MONTH, last_file_month: int = LAST_FILE_MONTH,
                   test_features_path: str | None = None, attr_cols=ATTR_COLS, scale_time: bool = True,
-                  include_time: bool = True, seq_len: int | None = None, max_len: int | None = None,
+                  include_time: bool = True, max_len: int | None = None,
                   fraction: float = SAMPLE_FRACTION, top_n: int = TOP_N_PER_DIM) -> ModelInspection:
     """Inspect a saved scorer through its 24 margins ("activations").
 
@@ -178,19 +187,16 @@ def inspect_model(spark: SparkSession, features_path: str, model_path: str, trai
     default), so the models see the inputs they were fitted on.
     """
     feats = read_stored(spark, features_path)
-    width = (2 if include_time else 0) + NUM_PRODUCTS
-    model = score.ProductScorer.load(model_path)
-    seq_len = seq_len or model.seq_len(len(attr_cols), width)
+    model = joint.JointScorer.load(spark, model_path)
     train = sequence.build_train(feats, train_month, attr_cols, scale_time_dim=scale_time,
                                  include_time=include_time, max_len=max_len)
-    train_acts = model.margins(score.feature_vectors(sequence.pad_histories(train, seq_len, width)))
-    train_acts = store_rows(train_acts.select("id", "y", "vec"), "margins")
+    train_acts = store_rows(model.margins(train).select("id", "y", "vec"), "margins")
     held_out = test_month <= last_file_month
     target = None if held_out else sequence.select_target_rows(
         feats, read_stored(spark, test_features_path) if test_features_path else None, test_month, last_file_month)
     test = sequence.build_test(feats, target, train_month, test_month, attr_cols, scale_time_dim=scale_time,
                                include_time=include_time, max_len=max_len)
-    test_acts = model.margins(score.feature_vectors(sequence.pad_histories(test, seq_len, width)))
+    test_acts = model.margins(test)
     long = train_acts.select("id", F.posexplode("y").alias("pos", "label")).select((F.col("pos") + 1).alias("k"), "id", "label")
     # sampled by id first; the vectors join the sample only
     sample = activations.stratified_sample(long, ["k", "label"], fraction).join(train_acts.select("id", "vec"), "id")

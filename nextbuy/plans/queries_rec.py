@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..constants import P_COLS, PRODUCT_LABELS, SAMPLE_FRACTION, TOP_N_PER_DIM, Y_COLS
-from ..operators import activations, batches, features, impute, metrics, recommend, score, sequence, trainlog
+from ..constants import ATTR_COLS, P_COLS, PRODUCT_LABELS, SAMPLE_FRACTION, TOP_N_PER_DIM, Y_COLS
+from ..operators import activations, batches, features, impute, joint, metrics, recommend, score, sequence, training, trainlog
 from ..session import shared_output_dir
 from ..sources import csv_io, fixtures
 from ..sources.storage import store_rows
@@ -203,15 +203,13 @@ def batch_assign(spark, sf_dir):
 
 def _fit_and_score(spark, sf_dir):
     feats = S.features_once(spark, sf_dir)
-    train = sequence.pad_histories(S.full_trainset(spark, sf_dir, feats), S.PAD_LEN, 26)
-    test = sequence.pad_histories(S.full_testset(spark, sf_dir, feats), S.PAD_LEN, 26)
-    model = score.ProductScorer(parallelism=8).fit(score.feature_vectors(train))
-    return model.predict(score.feature_vectors(test))
+    model = joint.JointScorer().fit(S.full_trainset(spark, sf_dir, feats), S.PAD_LEN, 26)
+    return model.predict(S.full_testset(spark, sf_dir, feats))
 
 
 @query("score_products")
 def score_products(spark, sf_dir):
-    """EV1/EV2: 24 logistic regressions fit on all attributes and training histories, scores for the test month."""
+    """EV1/EV2: 24 logistic regressions fit together on all attributes and training histories, scores for the test month."""
     p = _fit_and_score(spark, sf_dir)
     return p.select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)])
 
@@ -220,3 +218,42 @@ def score_products(spark, sf_dir):
 def eval_holdout(spark, sf_dir):
     """EV19: train on months <= 78, score month 79, MAP@7 on new products."""
     return metrics.map_at_k_new(_fit_and_score(spark, sf_dir))
+
+
+def _fixed_scores(spark, sf_dir):
+    """Scores of the test month by fixed weights: a rule of product and input number (see S.fixed_weight)."""
+    return store_rows(S.fixed_scorer().predict(S.full_testset(spark, sf_dir)), "fixed-scores")
+
+
+@query("score_fixed_weights")
+def score_fixed_weights(spark, sf_dir):
+    """EV1: scores by a scorer with given weights over all attributes and padded histories of the test month."""
+    return _fixed_scores(spark, sf_dir).select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)])
+
+
+@query("eval_fixed_weights")
+def eval_fixed_weights(spark, sf_dir):
+    """EV1/EV19: mean loss and MAP@7 on new products of the test month, scored by given weights."""
+    scored = _fixed_scores(spark, sf_dir)
+    n, loss, map_new = training.validate(scored)
+    return spark.createDataFrame([(n, loss, map_new)], "n long, loss double, map_new double")
+
+
+def _validated_run(spark, sf_dir):
+    feats = S.features_once(spark, sf_dir)
+    train = sequence.build_train(feats, S.TRAIN_MONTH - 1, attr_cols=ATTR_COLS, scale_time_dim=True)
+    held = sequence.build_test(feats, None, S.TRAIN_MONTH - 1, S.TRAIN_MONTH, attr_cols=ATTR_COLS, scale_time_dim=True)
+    return training.train_with_validation(train, held, S.PAD_LEN, 26, epochs=20, path=_scratch(spark, "weights"))
+
+
+@query("log_validated_fit")
+def log_validated_fit(spark, sf_dir):
+    """EV16/EV17: log of a fit on months <= 77 validated on month 78: the improvements of the validation
+    loss, on epochs 2 and 4 of 5 only, the kept one flagged."""
+    return trainlog.periodic_improvements(_validated_run(spark, sf_dir).log(spark), metric=training.VAL_LOSS)
+
+
+@query("log_validated_report")
+def log_validated_report(spark, sf_dir):
+    """EV17/EV18: training loss, validation loss and MAP@7 on new products of each epoch of a validated fit."""
+    return trainlog.epoch_report(_validated_run(spark, sf_dir).log(spark), ["loss", training.VAL_LOSS, training.VAL_MAP])

@@ -53,7 +53,7 @@ def join_counts_to_rows(spark, sf_dir):
 
 @query("seq_length_buckets")
 def seq_length_buckets(spark, sf_dir):
-    """SQ10/SQ12: customers kept in the training length buckets (2..17 months)."""
+    """SQ10/SQ12: customers kept in the training length buckets (2 months or more)."""
     return S.trainset(spark, sf_dir).select("id", "n_obs")
 
 

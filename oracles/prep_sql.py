@@ -5,7 +5,7 @@ from __future__ import annotations
 from nextbuy.constants import (ATTR_COLS, COMMUNITIES, EU_COUNTRIES, MEAN_FILL_COLS, MODE_FILL_COLS, PRODUCT_LABELS,
                                PROVINCE_COMMUNITY, PROVINCE_POP, Y_COLS)
 
-from .duckdb_sql import BASE_YEAR, PAD_LEN, SNAP, TEST, TEST_MONTH, TRAIN, TRAIN_MONTH, circ, summary_sql, tscaled, with_, ysum
+from .duckdb_sql import BASE_YEAR, PAD_LEN, SNAP, TEST, TEST_MONTH, TRAIN, TRAIN_MONTH, ap_ctes, circ, summary_sql, tscaled, with_, ysum
 
 ORACLES: dict[str, str] = {}
 
@@ -247,3 +247,35 @@ ORACLES["seq_testset_padded"] = "WITH " + ",\n".join((
     ", ".join(f"CASE WHEN g.step <= g.npad THEN -1.0 ELSE CAST(teo.{c} AS DOUBLE) END AS c_{i + 3}" for i, c in enumerate(Y_COLS)) + \
     " FROM grid g LEFT JOIN teo ON teo.id = g.id AND teo.step = g.step - g.npad"
 ORACLES["imp_off"] = ORACLES["clean_select"]
+
+# --- scores by fixed weights (2.7) -------------------------------------------------------------------
+
+
+def _value(c: str) -> str:
+    """An attribute of the target row as the vector holds it."""
+    value = {"t": tscaled("a.t"), "t_month": circ("a.t_month"), "seniority": _CLAMPED.format("a.")}.get(c, f"a.{c}")
+    return f"({value} - m_{c}) / s_{c}" if c in _Z else value
+
+
+_VECTOR = "[" + ", ".join(f"coalesce(CAST({_value(c)} AS DOUBLE), 0)" for c in ATTR_COLS) + "]"
+_CHANNELS = ", ".join([tscaled("teo.t"), circ("teo.t_month"), *[f"CAST(teo.{c} AS DOUBLE)" for c in Y_COLS]])
+_WEIGHT = "((7 * k + 13 * (i + 1)) % 25 - 12) / 200.0::DOUBLE"
+_FIXED = ",\n".join((
+    _FE, _zs("seniority"), _TE,
+    f"attr AS (SELECT a.id, unnest(range({len(ATTR_COLS)})) AS i, unnest({_VECTOR}) AS v FROM teo a, zs WHERE a.step = a.n_obs)",
+    f"grid AS (SELECT id, n_obs, {PAD_LEN} - (n_obs - 1) AS npad, unnest(range(1, {PAD_LEN + 1})) AS step FROM tec)",
+    f"""hist AS (SELECT g.id, {len(ATTR_COLS)} + (g.step - 1) * 26 + unnest(range(26)) AS i,
+  unnest(CASE WHEN g.step <= g.npad THEN list_transform(range(26), lambda z: CAST(-1.0 AS DOUBLE)) ELSE [{_CHANNELS}] END) AS v
+  FROM grid g LEFT JOIN teo ON teo.id = g.id AND teo.step = g.step - g.npad)""",
+    "cells AS (SELECT * FROM attr UNION ALL SELECT * FROM hist)",
+    f"""fixed AS (SELECT id, k + 1 AS k, 1 / (1 + exp(-(sum(v * {_WEIGHT}) + {_WEIGHT.replace('i + 1', '0')}))) AS p
+  FROM cells, (SELECT unnest(range(24)) AS k) GROUP BY id, k)"""))
+ORACLES["score_fixed_weights"] = "WITH " + _FIXED + "\nSELECT id, " + \
+    ", ".join(f"round(max(p) FILTER (k = {i}), 6) AS p_{i}" for i in range(1, 25)) + " FROM fixed GROUP BY id"
+ORACLES["eval_fixed_weights"] = "WITH " + _FIXED + f""",
+lng AS (SELECT fixed.id, fixed.k, [{", ".join("a." + c for c in Y_COLS)}][fixed.k] AS y, [{", ".join("b." + c for c in Y_COLS)}][fixed.k] AS yl, fixed.p
+  FROM fixed JOIN teo a ON a.id = fixed.id AND a.step = a.n_obs JOIN teo b ON b.id = fixed.id AND b.step = b.n_obs - 1),
+nw AS (SELECT id, k, greatest(0, least(1, y - yl)) AS y, (1 - yl) * p AS p FROM lng),
+{ap_ctes("nw", "n_")},
+ls AS (SELECT id, avg(-(y * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))) AS loss FROM lng GROUP BY id)
+SELECT count(*) AS n, round(avg(loss), 6) AS loss, round((SELECT avg(ap) FROM n_ap), 6) AS map_new FROM ls"""

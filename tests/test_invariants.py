@@ -14,12 +14,13 @@ def test_histories_one_row_per_customer(spark):
     h = S.trainset(spark, SF_MEDIUM)
     assert h.count() == h.select("id").distinct().count()
     assert h.filter(F.size("x") != F.col("n_obs") - 1).count() == 0
-    assert h.filter(~F.col("n_obs").between(2, 17)).count() == 0
+    assert h.filter(~F.col("n_obs").between(2, S.TRAIN_MONTH)).count() == 0
+    assert h.filter(F.col("t_max") > S.TRAIN_MONTH).count() == 0
 
 
 def test_padded_size(spark):
-    h = sequence.pad_histories(S.trainset(spark, SF_MEDIUM, scale_time=True), 17, 26)
-    assert h.filter((F.size("x") != 17) | F.exists("x", lambda s: F.size(s) != 26)).count() == 0
+    h = sequence.pad_histories(S.trainset(spark, SF_MEDIUM, scale_time=True), S.PAD_LEN, 26)
+    assert h.filter((F.size("x") != S.PAD_LEN) | F.exists("x", lambda s: F.size(s) != 26)).count() == 0
 
 
 def test_ap_bounds_and_cross_form(spark):
