@@ -89,19 +89,28 @@ def prepared(templates: DataFrame) -> DataFrame:
         F.when(short, grams).otherwise(F.ceil(grams / 4)).cast("int").alias("votes"))
 
 
-def _grams(words: Column, k: int) -> Column:
-    """Rolling hashes of k words: an element for each position, null where fewer than k words are left."""
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    out = one
-    for i in range(1, k):
-        ahead = F.slice(one, F.lit(i + 1), F.greatest(F.size(one) - i, F.lit(0)))
-        out = F.zip_with(out, ahead, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return out
+def _paired(a: str, b: str, shift: int) -> Column:
+    """At each position i a hash of a[i] and b[i + shift]; null where either is missing."""
+    ahead = F.slice(b, F.lit(shift + 1), F.greatest(F.size(b) - shift, F.lit(0)))
+    return F.zip_with(a, ahead, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(F.lit(shift), x, y)))
 
 
 def _positions(rows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """``keep`` columns with (k, gram, pos) of every rolling k-gram of ``words`` for each k of ``sizes``."""
-    rows = rows.select(*keep, F.size("words").alias("_n"), F.posexplode(F.concat(*[_grams(F.col("words"), k) for k in sizes])).alias("_at", "gram"))
+    """``keep`` columns with (k, gram, pos) of every rolling k-gram of ``words`` for each k of ``sizes``.
+
+    A gram's hash is made of the hashes of its two parts, the first of a power of two words; each is computed once.
+    """
+    wanted, todo = {1}, list(sizes)
+    while todo:
+        if (k := todo.pop()) not in wanted:
+            half = 1 << (k - 1).bit_length() - 1
+            wanted.add(k)
+            todo += [half, k - half]
+    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("g1"))
+    for k in sorted(wanted - {1}):
+        half = 1 << (k - 1).bit_length() - 1
+        rows = rows.select("*", _paired(f"g{half}", f"g{k - half}", half).alias(f"g{k}"))
+    rows = rows.select(*keep, F.size("g1").alias("_n"), F.posexplode(F.concat(*[F.col(f"g{k}") for k in sizes])).alias("_at", "gram"))
     rows = rows.filter(F.col("gram").isNotNull())
     which = F.floor(F.col("_at") / F.col("_n")).cast("int")
     return rows.select(*keep, F.element_at(F.array(*[F.lit(k) for k in sizes]), which + 1).alias("k"), "gram", (F.col("_at") % F.col("_n")).alias("pos"))
