@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ATTR_COLS, MAX_SEQ_LEN, TOP_K, Y_COLS
 from ..operators import metrics, sequence
+from ..operators.history_store import HistoryStore, rolling_sets
 from . import standin as S
 from .registry import explode_steps, query, y_columns
 
@@ -208,3 +211,34 @@ def seq_drop_long(spark, sf_dir):
     """SQ10 option: training customers left when histories of more than 17 months are dropped on request."""
     h = sequence.build_train(S.snap(spark, sf_dir), S.TRAIN_MONTH, attr_cols=(), max_len=MAX_SEQ_LEN)
     return h.select("id", "n_obs")
+
+
+# --- histories that grow and roll --------------------------------------------------------------------
+
+def _grown_store(spark, sf_dir, first: int, last: int):
+    feats = S.features_once(spark, sf_dir)
+    store = HistoryStore.build(feats.filter(F.col("t") <= first), "histories", ATTR_COLS)
+    for month in range(first + 1, last + 1):
+        store = store.append(feats.filter(F.col("t") == month))
+    return store
+
+
+@query("seq_incremental_train")
+def seq_incremental_train(spark, sf_dir):
+    """SQ23: the training set from stored histories up to month 75 with months 76 to 78 appended one by one."""
+    return _summary(_grown_store(spark, sf_dir, S.TRAIN_MONTH - 3, S.TRAIN_MONTH).training(spark))
+
+
+@query("seq_incremental_test")
+def seq_incremental_test(spark, sf_dir):
+    """SQ24: the test set of month 79 from stored histories up to month 77 with months 78 and 79 appended."""
+    return _summary(_grown_store(spark, sf_dir, S.TRAIN_MONTH - 1, S.TEST_MONTH).testing(spark, S.TRAIN_MONTH))
+
+
+@query("seq_rolling_sets")
+def seq_rolling_sets(spark, sf_dir):
+    """SQ23/SQ24/EV19: training and test sets of two (train month, test month) pairs cut from one stored scan."""
+    sets = rolling_sets(S.features_once(spark, sf_dir), [(S.TRAIN_MONTH - 6, S.TEST_MONTH - 6), (S.TRAIN_MONTH, S.TEST_MONTH)])
+    parts = [_summary(h).select(F.lit(t).alias("test_month"), F.lit(part).alias("part"), "*")
+             for (_, t), pair in sets.items() for part, h in zip(("train", "test"), pair, strict=True)]
+    return reduce(DataFrame.unionByName, parts)

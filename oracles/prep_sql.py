@@ -5,7 +5,7 @@ from __future__ import annotations
 from nextbuy.constants import (ATTR_COLS, COMMUNITIES, EU_COUNTRIES, MEAN_FILL_COLS, MODE_FILL_COLS, PRODUCT_LABELS,
                                PROVINCE_COMMUNITY, PROVINCE_POP, Y_COLS)
 
-from .duckdb_sql import BASE_YEAR, PAD_LEN, SNAP, TEST, TEST_MONTH, TRAIN, TRAIN_MONTH, ap_ctes, circ, summary_sql, tscaled, with_, ysum
+from .duckdb_sql import BASE_YEAR, JULY, PAD_LEN, SNAP, TEST, TEST_MONTH, TRAIN, TRAIN_MONTH, ap_ctes, circ, summary_sql, tscaled, with_, ysum
 
 ORACLES: dict[str, str] = {}
 
@@ -248,6 +248,28 @@ ORACLES["seq_testset_padded"] = "WITH " + ",\n".join((
     " FROM grid g LEFT JOIN teo ON teo.id = g.id AND teo.step = g.step - g.npad"
 ORACLES["imp_off"] = ORACLES["clean_select"]
 
+ORACLES["seq_incremental_train"] = ORACLES["seq_trainset"]
+ORACLES["seq_incremental_test"] = ORACLES["seq_testset"]
+
+
+def _earlier(sql: str, by: int = 6) -> str:
+    """An oracle for the months that lie ``by`` (half a year) before the usual ones."""
+    months = JULY[1:-1].split(", ")
+    sql = sql.replace(JULY, "[" + ", ".join(months[by:] + months[:by]) + "]")
+    for month in (TEST_MONTH, TEST_MONTH - 1):
+        for form in (f"t = {month}", f"t <= {month}", f"CAST({month} AS DOUBLE)"):
+            sql = sql.replace(form, form.replace(str(month), f"@{month - by}@"))
+    return sql.replace("@", "")
+
+
+def _part(key: str, month: int, part: str, sql: str) -> str:
+    return f"SELECT {month} AS test_month, '{part}' AS part, {key}.* FROM ({sql}) {key}"
+
+
+ORACLES["seq_rolling_sets"] = "\nUNION ALL\n".join(
+    _part(f"r{i}", m, part, sql) for i, (m, part, sql) in enumerate((m, part, turn(ORACLES[key])) for m, turn in (
+        (TEST_MONTH - 6, _earlier), (TEST_MONTH, str)) for part, key in (("train", "seq_trainset"), ("test", "seq_testset"))))
+
 # --- scores by fixed weights (2.7) -------------------------------------------------------------------
 
 
