@@ -56,17 +56,44 @@ def binary_map(c, mapping: dict | None = None) -> Column:
 NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+#: Integers are parsed as decimals with room for all 64-bit values, never through floating point.
+_EXACT = "decimal(38,18)"
+
+
+def try_integer(c, to: str = "bigint") -> Column:
+    """Text to an exact integer: ``9007199254740993``, ``1.0``, ``1.375586e+06``; a fraction, a value out of range or bad text -> null."""
+    text = F.trim(_c(c).cast("string"))
+    d = F.when(text.rlike(NUMBER), text.try_cast(_EXACT))
+    # digits beyond the decimal's scale would be rounded away: only zeros may stand there
+    exact = ~text.rlike(r"[.][0-9]{18}[0-9]*[1-9]") & (d == F.floor(d))
+    return F.when(exact, d.try_cast(to))
+
+
 def try_number(c, to: str = "double") -> Column:
     """Text to number; what is not a finite decimal number (``NaN``, ``1d``, ``Infinity``) -> null.
 
-    Integer targets parse as double first so that ``"1.0"`` reads as 1.
+    Integer targets are exact (see ``try_integer``): ``"1.0"`` reads as 1, ``"1.7"`` as null.
     """
-    c = _c(c)
-    d = F.when(c.cast("string").rlike(NUMBER), F.trim(c.cast("string")).try_cast("double"))
+    if to in ("tinyint", "smallint", "int", "bigint"):
+        return try_integer(c, to)
+    text = F.trim(_c(c).cast("string"))
+    d = F.when(text.rlike(NUMBER), text.try_cast("double"))
     d = F.when(F.abs(d) < float("inf"), d)
     return d if to == "double" else d.try_cast(to)
 
 
+def why_not_number(c, to: str) -> Column:
+    """Why a text is not read as a number of the type: ``not a number``, ``not an integer`` or ``out of range``; null if it is read, or blank."""
+    text = F.trim(_c(c).cast("string"))
+    whole = to in ("tinyint", "smallint", "int", "bigint")
+    wide = text.try_cast(_EXACT)
+    reason = F.when(~text.rlike(NUMBER), "not a number")
+    if whole:
+        fraction = text.rlike(r"[.][0-9]{18}[0-9]*[1-9]") | (wide != F.floor(wide))
+        reason = reason.when(wide.isNull(), "out of range").when(fraction, "not an integer")
+    return F.when((text != "") & try_number(c, to).isNull(), reason.otherwise("out of range"))
+
+
 def sentinel(c, value, replacement) -> Column:
     c = _c(c)
     return F.when(c == value, F.lit(replacement)).otherwise(c)

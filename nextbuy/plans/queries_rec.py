@@ -69,6 +69,32 @@ def io_read_raw(spark, sf_dir):
     return csv_io.read_raw(spark, path)
 
 
+def _damaged(spark, sf_dir):
+    """Raw snapshot rows in a CSV with ids above 2**53 and, by rule, fractions, bad text and values out of range."""
+    path = _scratch(spark, "damaged")
+    raw = S.raw_snapshots(spark, sf_dir)
+    who = F.col("ncodpers")
+    text = {c: F.col(c).cast("string") for c in raw.columns}
+    text["ncodpers"] = F.when(who % 101 == 0, "nobody").otherwise((who + F.lit((1 << 53) + 1)).cast("string"))
+    text["indrel"] = F.when(who % 97 == 0, F.concat(F.col("indrel").cast("string"), F.lit(".7"))).otherwise(F.concat(F.col("indrel").cast("string"), F.lit(".0")))
+    text["cod_prov"] = F.when(who % 89 == 0, "1e12").when(who % 83 == 0, " ").otherwise(F.col("cod_prov").cast("string"))
+    csv_io.write_csv(raw.select(*[text[c].alias(c) for c in raw.columns]), path)
+    return csv_io.read_raw_checked(spark, path)
+
+
+@query("io_read_checked")
+def io_read_checked(spark, sf_dir):
+    """IO1: a damaged raw file read with exact ids, bad fields null and kept as text beside the typed row."""
+    rescued = F.array_join(F.array_sort(F.transform(F.map_entries("_rescued"), lambda e: F.concat_ws("=", e.key, e.value))), ";")
+    return _damaged(spark, sf_dir).rows.select("ncodpers", "fecha_dato", "indrel", "cod_prov", rescued.alias("rescued"))
+
+
+@query("io_rejects")
+def io_rejects(spark, sf_dir):
+    """IO1: what was rejected in a damaged raw file, by field, text and reason."""
+    return _damaged(spark, sf_dir).rejects.groupBy("field", "value", "reason").agg(F.count("*").alias("n"))
+
+
 @query("io_write_features")
 def io_write_features(spark, sf_dir):
     """IO2/IO6: feature table written as CSV and read back with its schema."""

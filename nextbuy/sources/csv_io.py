@@ -7,12 +7,14 @@ scan, which replaces the original chunked reading.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..constants import P_COLS, PRODUCT_LABELS, RAW_ATTR_COLS
-from ..functions.clean import try_number
+from ..functions.clean import try_number, why_not_number
 
 _INT_COLS = {"indrel", "tipodom", "cod_prov"}
 
@@ -38,7 +40,7 @@ def _text_columns(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", False).option("nullValue", "NA").csv(path)
 
 
-def _typed(text: DataFrame, schema: StructType) -> DataFrame:
+def _typed(text: DataFrame, schema: StructType, keep: tuple = ()) -> DataFrame:
     """The schema's columns by name, numbers converted with a guard (bad text -> null); a missing column is an error."""
     missing = [f.name for f in schema.fields if f.name not in text.columns]
     if missing:
@@ -51,17 +53,81 @@ def _typed(text: DataFrame, schema: StructType) -> DataFrame:
         elif not isinstance(f.dataType, StringType):
             c = c.try_cast(f.dataType)
         cols.append(c.alias(f.name))
-    return text.select(*cols)
+    return text.select(*cols, *keep)
 
 
 def read_raw(spark: SparkSession, path: str, with_products: bool = True) -> DataFrame:
     """Raw snapshot CSV: columns found by header name, in any order; empty fields and ``NA`` are null, ``' NA'`` stays text.
 
-    Integer codes and flags may be written with blanks or as ``1.0``.
+    Integer codes, flags and ids may be written with blanks, as ``1.0`` or as ``1.375586e+06``; they are read exactly, and a fraction is null.
     """
     return _typed(_text_columns(spark, path), raw_schema(with_products))
 
 
+_NUMBERS = (IntegerType, LongType, DoubleType)
+#: Extra columns of checked reading.
+RESCUED, _FILE, _LINE = "_rescued", "_file", "_line"
+
+
+@dataclass
+class CheckedTable:
+    """``rows``: the schema's columns and ``_rescued`` (field -> text, of the fields that could not be read; null without any).
+    ``rejects``: (file, field, value, reason) of each such field, and of each line with too few or too many fields (field null, value the line)."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+    def counts(self) -> DataFrame:
+        """(file, field, reason, n): how many values were rejected."""
+        return self.rejects.groupBy("file", "field", "reason").agg(F.count("*").alias("n"))
+
+
+def _why(f: StructField) -> Column:
+    """Why a text field is rejected, or null."""
+    kind = f.dataType.simpleString()
+    if isinstance(f.dataType, _NUMBERS):
+        return why_not_number(f.name, kind)
+    if isinstance(f.dataType, StringType):
+        return F.lit(None).cast("string")
+    bad = F.col(f.name).isNotNull() & (F.trim(f.name) != "") & F.col(f.name).try_cast(f.dataType).isNull()
+    return F.when(bad, F.lit(f"not a {kind}"))
+
+
+def read_checked(spark: SparkSession, path: str, schema: StructType, header: bool = True, null_value: str = "NA") -> CheckedTable:
+    """A CSV file or folder with bad fields set apart instead of lost.
+
+    Every line gives one typed row; a field that is no value of its type is null there, kept as text in
+    ``_rescued``, and listed with its file and reason in the rejects. Blank fields and ``null_value`` are plain nulls. A line with
+    another number of fields than the header (without a header: than the schema) gives a row of what could be read
+    and one reject. A column of the schema that the header lacks is an error. Both tables read the file; nothing is cached.
+    """
+    names = spark.read.option("header", True).csv(path).columns if header else [f.name for f in schema.fields]
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"columns missing in the file: {missing}")
+    text = StructType([*[StructField(n, StringType(), True) for n in names], StructField(_LINE, StringType(), True)])
+    lines = (spark.read.schema(text).option("header", header).option("enforceSchema", False).option("nullValue", null_value)
+             .option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", _LINE).csv(path).withColumn(_FILE, F.col("_metadata.file_path")))
+    reject = lambda field, value, why: F.struct(F.lit(field).cast("string").alias("field"), value.alias("value"), why.alias("reason"))
+    found = [reject(f.name, F.col(f.name), _why(f)) for f in schema.fields if not isinstance(f.dataType, StringType)]
+    found.append(reject(None, F.col(_LINE), F.when(F.col(_LINE).isNotNull(), F.lit("wrong number of fields"))))
+    bad = F.filter(F.array(*found), lambda r: r.reason.isNotNull())
+    fields = F.filter(bad, lambda r: r.field.isNotNull())
+    rescued = F.when(F.size(fields) > 0, F.map_from_entries(F.transform(fields, lambda r: F.struct(r.field, r.value))))
+    typed = _typed(lines.withColumn(RESCUED, rescued), StructType([*schema.fields]), keep=(RESCUED,))
+    return CheckedTable(typed, lines.select(F.col(_FILE).alias("file"), F.explode(bad).alias("r")).select("file", "r.field", "r.value", "r.reason"))
+
+
+def read_raw_checked(spark: SparkSession, path: str, with_products: bool = True) -> CheckedTable:
+    """``read_raw`` with bad fields set apart (see ``read_checked``)."""
+    return read_checked(spark, path, raw_schema(with_products))
+
+
+def read_predictions_checked(spark: SparkSession, path: str) -> CheckedTable:
+    """``read_predictions`` with bad fields, ids included, set apart instead of an error."""
+    return read_checked(spark, path, PRED_SCHEMA, header=False)
+
+
 def _writer(df: DataFrame, mode: str, header: bool):
     # Spark trims blanks when writing CSV by default; raw text such as " NA" must survive.
     return (df.write.mode(mode).option("header", header)

@@ -28,6 +28,18 @@ ORACLES["io_month_scan"] = with_(SNAP) + f"SELECT id, {ylist()} FROM snap WHERE
 ORACLES["io_month_stream"] = ORACLES["io_month_scan"]
 ORACLES["io_read_raw"] = PREP["clean_select"].split("\nSELECT * FROM sc")[0].replace(
     ",\nsc AS (", ",\nunused AS (") + "\nSELECT * FROM rawsnaps"
+_RAW = ORACLES["io_read_raw"].rsplit("\nSELECT * FROM rawsnaps", 1)[0]
+_DAMAGED = _RAW + """,
+dmg AS (SELECT fecha_dato, ncodpers % 101 = 0 AS x, ncodpers % 97 = 0 AS y, ncodpers % 89 = 0 AS z, ncodpers % 83 = 0 AS b, ncodpers AS who, indrel, cod_prov FROM rawsnaps)
+"""
+ORACLES["io_read_checked"] = _DAMAGED + """SELECT CASE WHEN NOT x THEN who + 9007199254740993 END AS ncodpers, fecha_dato, CASE WHEN NOT y THEN indrel END AS indrel,
+  CASE WHEN NOT z AND NOT b THEN cod_prov END AS cod_prov,
+  CASE WHEN z OR x OR (y AND indrel IS NOT NULL) THEN concat_ws(';', CASE WHEN z THEN 'cod_prov=1e12' END,
+    CASE WHEN y THEN 'indrel=' || indrel || '.7' END, CASE WHEN x THEN 'ncodpers=nobody' END) END AS rescued FROM dmg"""
+ORACLES["io_rejects"] = _DAMAGED + """SELECT field, value, reason, count(*) AS n FROM (
+  SELECT 'ncodpers' AS field, 'nobody' AS value, 'not a number' AS reason FROM dmg WHERE x UNION ALL
+  SELECT 'indrel', indrel || '.7', 'not an integer' FROM dmg WHERE y AND indrel IS NOT NULL UNION ALL
+  SELECT 'cod_prov', '1e12', 'out of range' FROM dmg WHERE z) GROUP BY ALL"""
 ORACLES["io_write_features"] = PREP["feat_table"]
 ORACLES["io_read_pred"] = with_(SNAP, PRED) + "SELECT id, " + ", ".join(f"round({p}, 6) AS {p}" for p in P_COLS) + " FROM pred"
 
