@@ -9,17 +9,13 @@ from ..constants import NUM_PRODUCTS, SAMPLE_FRACTION, TOP_N_PER_DIM
 from .ranking import first_in_groups
 
 
-def sample_size(n_col: str, fraction: float):
-    return F.ceil(F.col(n_col).cast("double") * F.lit(float(fraction)))
-
-
 def stratified_sample(df: DataFrame, strata_cols, fraction: float = SAMPLE_FRACTION, id_col: str = "id",
-                      seed: int | None = None) -> DataFrame:
-    """Deterministic stratified sample: ceil(n_s * fraction) rows of every stratum,
-    taken in md5(id) order, or md5("id:seed") with a seed (an exact, skew-safe
-    top-k per stratum)."""
+                      seed: int | None = None, within=()) -> DataFrame:
+    """Deterministic stratified sample: ceil(n * fraction) of all n rows (of each ``within``, strata columns of their own),
+    shared out among the strata in proportion, largest remainders first. A stratum's rows are
+    taken in md5(id) order, or md5("id:seed") with a seed (an exact, skew-safe top-k per stratum)."""
     strata_cols = [strata_cols] if isinstance(strata_cols, str) else list(strata_cols)
-    return first_in_groups(df, strata_cols, sample_size("_n", fraction), id_col, seed=seed).drop("_n", "_k", "_rank")
+    return first_in_groups(df, strata_cols, float(fraction), id_col, seed=seed, within=tuple(within)).drop("_n", "_k", "_rank")
 
 
 def label_counts(targets: DataFrame, fraction: float = SAMPLE_FRACTION, y_col: str = "y",
@@ -27,7 +23,7 @@ def label_counts(targets: DataFrame, fraction: float = SAMPLE_FRACTION, y_col: s
     """Per product: positives in a sample stratified by that product's label, and in all rows."""
     long = targets.select("id", F.posexplode(y_col).alias("pos", "label")).select(
         "id", (F.col("pos") + 1).alias("k"), "label")
-    sample = stratified_sample(long, ["k", "label"], fraction)
+    sample = stratified_sample(long, ["k", "label"], fraction, within=["k"])
     s = sample.groupBy("k").agg(F.count("*").alias("n_sample"), F.count_if(F.col("label") == 1).alias("n_pos_sample"))
     # totals: one wide aggregate, not 24 rows per customer
     wide = targets.agg(*[F.count_if(F.get(y_col, i) == 1).alias(f"n_{i}") for i in range(n_products)])

@@ -22,6 +22,8 @@ table when it is expensive to derive.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,32 @@ def rank_in_groups(df: DataFrame, group_cols, id_col: str = "id", prefix_len: in
     return _local_rank(j, group_cols, id_col).drop("_h", "_b", "_off")
 
 
-def first_in_groups(df: DataFrame, group_cols, how_many: Column, id_col: str = "id",
-                    prefix_len: int = 3, seed: int | None = None) -> DataFrame:
-    """Rows whose position is <= ``how_many`` (an expression of the group size ``_n``).
+def shares(sizes: DataFrame, group_cols, fraction: float, within=(), seed: int | None = None) -> DataFrame:
+    """(group_cols, _k): how many rows of each group to take so that those of each ``within`` come to ceil(n * fraction) in all.
+
+    Largest remainders: every group gets the whole part of its proportional share, the rows that are left go to
+    the largest remainders; equal remainders in the order of md5("group:values[:seed]"). ``sizes``: (group_cols, _n).
+    """
+    part = Window.partitionBy(*within)
+    total = F.sum("_n").over(part)
+    want = F.ceil(total.cast("double") * F.lit(float(fraction))).cast("decimal(38,0)")
+    rows = sizes.withColumns({"_want": want, "_total": total.cast("decimal(38,0)")})
+    quota = F.col("_n").cast("decimal(18,0)") * F.col("_want").cast("decimal(18,0)")
+    rows = rows.withColumns({"_whole": F.floor(quota / F.col("_total")).cast("long"), "_quota": quota})
+    # the division is rounded: settle the whole part exactly
+    over = F.col("_quota") - F.col("_whole") * F.col("_total")
+    rows = rows.withColumn("_whole", F.when(over < 0, F.col("_whole") - 1).when(over >= F.col("_total"), F.col("_whole") + 1).otherwise(F.col("_whole")))
+    rows = rows.withColumn("_rest", F.col("_quota") - F.col("_whole") * F.col("_total"))
+    tie = F.concat_ws(":", *[F.col(c).cast("string") for c in group_cols], *([F.lit(str(seed))] if seed is not None else []))
+    place = F.row_number().over(part.orderBy(F.col("_rest").desc(), F.md5(tie), *group_cols))
+    left = F.col("_want") - F.sum("_whole").over(part)
+    return rows.withColumn("_k", (F.col("_whole") + (place <= left).cast("int")).cast("long")).select(*group_cols, "_k")
+
+
+def first_in_groups(df: DataFrame, group_cols, how_many: Column | float, id_col: str = "id",
+                    prefix_len: int = 3, seed: int | None = None, within=()) -> DataFrame:
+    """Rows whose position is <= ``how_many``: an expression of the group size ``_n``, or a share of all rows of
+    each ``within``, dealt to the groups by ``shares``.
 
     Buckets that start past the cut are dropped before the ranking window. The
     list of those that remain is written and counted; within ``BROADCAST_ROWS``
@@ -74,8 +99,18 @@ def first_in_groups(df: DataFrame, group_cols, how_many: Column, id_col: str = "
     from ..sources.storage import store_rows
 
     d, offs = bucket_offsets(df, group_cols, id_col, prefix_len, seed)
-    offs = store_rows(offs.withColumn("_k", how_many).filter(F.col("_off") < F.col("_k")), "offsets")
+    if isinstance(how_many, Column):
+        offs = offs.withColumn("_k", how_many)
+    else:
+        offs = store_rows(offs, "sizes")
+        own = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)]
+        take = shares(offs.select(*group_cols, "_n").distinct(), group_cols, how_many, within, seed).select(*own, "_k")
+        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)]  # a null is a group, too
+        offs = offs.join(take, reduce(lambda a, b: a & b, same)).drop(*[f"_g{i}" for i in range(len(group_cols))])
+    offs = store_rows(offs.filter(F.col("_off") < F.col("_k")), "offsets")
     small = offs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    j = d.join(F.broadcast(offs) if small else offs, [*group_cols, "_b"])
+    own = offs.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate([*group_cols, "_b"])], "_off", "_n", "_k")
+    same = reduce(lambda a, b: a & b, [d[c].eqNullSafe(own[f"_g{i}"]) for i, c in enumerate([*group_cols, "_b"])])
+    j = d.join(F.broadcast(own) if small else own, same).drop(*[f"_g{i}" for i in range(len(group_cols) + 1)])
     r = _local_rank(j, group_cols, id_col)
     return r.filter(F.col("_rank") <= F.col("_k")).drop("_h", "_b", "_off")

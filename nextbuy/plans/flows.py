@@ -199,7 +199,7 @@ def inspect_model(spark: SparkSession, features_path: str, model_path: str, trai
     test_acts = model.margins(test)
     long = train_acts.select("id", F.posexplode("y").alias("pos", "label")).select((F.col("pos") + 1).alias("k"), "id", "label")
     # sampled by id first; the vectors join the sample only
-    sample = activations.stratified_sample(long, ["k", "label"], fraction).join(train_acts.select("id", "vec"), "id")
+    sample = activations.stratified_sample(long, ["k", "label"], fraction, within=["k"]).join(train_acts.select("id", "vec"), "id")
     sample = store_rows(sample, "sample")
     # one projection per product, as the original plots one per product; a product
     # whose sample has fewer than 2 rows has no covariance and gets no projection

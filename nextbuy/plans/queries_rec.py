@@ -121,6 +121,14 @@ def io_write_submission(spark, sf_dir):
     return csv_io.read_submission(spark, path)
 
 
+@query("io_submission_file")
+def io_submission_file(spark, sf_dir):
+    """IO8: recommendation lists written as one file with one header and no final line end, by all tasks, read back."""
+    path = f"{_scratch(spark, 'submission-file')}/submission.csv"
+    csv_io.write_submission_file(recommend.format_lists(_ranked(spark, sf_dir)), path, rows_per_part=1_000)
+    return csv_io.read_submission(spark, path)
+
+
 # --- 2.8 recommendations --------------------------------------------------------------------------
 
 @query("rec_join_owned")

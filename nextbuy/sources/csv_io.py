@@ -161,6 +161,18 @@ def write_submission(lists: DataFrame, path: str, mode: str = "overwrite") -> No
     _writer(lists.select("ncodpers", "added_products"), mode, True).option("lineSep", "\r\n").csv(path)
 
 
+def write_submission_file(lists: DataFrame, path: str, rows_per_part: int = 200_000) -> int:
+    """The submission as one file (IO8): one header, CRLF between lines, none after the last, customers in order.
+
+    Written by all tasks at once (see ``single_file``); labels hold no commas or quotes, so fields are not quoted.
+    Returns the file's bytes.
+    """
+    from .single_file import write_single_file
+
+    line = F.concat(F.col("ncodpers").cast("string"), F.lit(","), F.coalesce("added_products", F.lit("")))
+    return write_single_file(lists.select("ncodpers", "added_products"), line, ["ncodpers"], path, "ncodpers,added_products", "\r\n", rows_per_part)
+
+
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(SUBMISSION_SCHEMA).option("header", True).option("lineSep", "\r\n").csv(path)
     return df.withColumn("added_products", F.coalesce("added_products", F.lit("")))

@@ -61,6 +61,7 @@ ORACLES["rec_format"] = with_(*REC) + \
     f"SELECT j.id AS ncodpers, coalesce(string_agg({LABELS}[r.k], ' ' ORDER BY r.pos), '') AS added_products " \
     "FROM j LEFT JOIN rnk r ON r.id = j.id GROUP BY j.id"
 ORACLES["io_write_submission"] = ORACLES["rec_format"]
+ORACLES["io_submission_file"] = ORACLES["rec_format"]
 
 # --- training logs ------------------------------------------------------------------------------
 
@@ -90,16 +91,27 @@ ORACLES["log_best_last"] = with_(TLOG) + \
 
 # --- activations ---------------------------------------------------------------------------------
 
-ORACLES["an_stratified_sample"] = \
-    "SELECT id, label FROM (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label " \
-    "ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) " \
-    "WHERE rn <= ceil(CAST(n AS DOUBLE) * CAST(0.005 AS DOUBLE))"
+
+
+def _shares(src: str, group: str) -> str:
+    """CTEs st (stratum sizes), sh (whole parts of the shares, remainders) and tk (rows to take): ceil(n * 0.005) rows of each group in all."""
+    by = f"PARTITION BY {group}" if group else ""
+    cols = f"{group}, label" if group else "label"
+    spell = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in cols.split(", "))
+    return f"""st AS (SELECT {cols}, count(*) AS n FROM {src} GROUP BY {cols}),
+sh AS (SELECT *, CAST(ceil(CAST(sum(n) OVER ({by}) AS DOUBLE) * CAST(0.005 AS DOUBLE)) AS HUGEINT) AS want, sum(n) OVER ({by}) AS total FROM st),
+sq AS (SELECT *, n * want // total AS whole, n * want % total AS rest FROM sh),
+tk AS (SELECT {cols}, whole + CASE WHEN row_number() OVER ({by} ORDER BY rest DESC, md5({spell})) <= want - sum(whole) OVER ({by}) THEN 1 ELSE 0 END AS take FROM sq)"""
+
+
+ORACLES["an_stratified_sample"] = "WITH e AS (SELECT vec_id AS id, label FROM embeddings),\n" + _shares("e", "") + \
+    "\nSELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR)), id) AS rn FROM e) " \
+    "JOIN tk USING (label) WHERE rn <= take"
 ORACLES["an_label_counts"] = with_(
     SNAP, TRAIN,
     f"tgt AS (SELECT id, unnest(range(1, 25)) AS k, unnest([{ylist()}]) AS label FROM tro WHERE step = n_obs)",
-    "rk AS (SELECT *, row_number() OVER (PARTITION BY k, label ORDER BY md5(CAST(id AS VARCHAR)), id) AS rn, "
-    "count(*) OVER (PARTITION BY k, label) AS n FROM tgt)",
-    "smp AS (SELECT * FROM rk WHERE rn <= ceil(CAST(n AS DOUBLE) * CAST(0.005 AS DOUBLE)))") + \
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY k, label ORDER BY md5(CAST(id AS VARCHAR)), id) AS rn FROM tgt)",
+    _shares("tgt", "k"), "smp AS (SELECT k, label FROM rk JOIN tk USING (k, label) WHERE rn <= take)") + \
     "SELECT CAST(t.k AS INTEGER) AS k, CAST(coalesce(s.n_sample, 0) AS BIGINT) AS n_sample, " \
     "CAST(coalesce(s.n_pos_sample, 0) AS BIGINT) AS n_pos_sample, CAST(t.n_pos_total AS BIGINT) AS n_pos_total " \
     "FROM (SELECT k, count_if(label = 1) AS n_pos_total FROM tgt GROUP BY k) t " \
