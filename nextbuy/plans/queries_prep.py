@@ -8,6 +8,7 @@ from ..constants import MEAN_FILL_COLS, MODE_FILL_COLS, PRODUCT_LABELS, Y_COLS,
 from ..functions import clean as C
 from ..functions.scale import circular_month, time_fraction
 from ..operators import clean, features, impute, scale
+from ..sources.tables import read_table
 from . import standin as S
 from .registry import query
 
@@ -120,6 +121,16 @@ def impute_mode(spark, sf_dir):
     return impute.impute(df, mean_cols=()).select("id", "t", *MODE_FILL_COLS)
 
 
+@query("impute_mode_wide")
+def impute_mode_wide(spark, sf_dir):
+    """IM1: exact modes of columns with many distinct values (part, day, price, customer) over all lineitems and orders."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.to_date("l_shipdate").alias("l_shipdate"), "l_extendedprice", "l_returnflag")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice")
+    modes = {**impute.exact_modes(li, li.columns), **impute.exact_modes(orders, orders.columns)}
+    kinds = {f.name: f.dataType for d in (li, orders) for f in d.schema.fields}
+    return spark.range(1).select(*[F.lit(v).cast("string" if c.endswith("date") else kinds[c]).alias(c) for c, v in modes.items()])
+
+
 @query("impute_mean")
 def impute_mean(spark, sf_dir):
     """IM2/IM3: age, seniority and income gaps filled with the column mean."""

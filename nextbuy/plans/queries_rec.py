@@ -11,6 +11,7 @@ from ..constants import ATTR_COLS, P_COLS, PRODUCT_LABELS, SAMPLE_FRACTION, TOP_
 from ..operators import activations, batches, features, impute, joint, metrics, recommend, score, sequence, training, trainlog
 from ..session import shared_output_dir
 from ..sources import csv_io, fixtures
+from ..sources.manifest import build_manifest
 from ..sources.storage import store_rows
 from ..streaming.month_scan import run_month_scan
 from . import standin as S
@@ -43,6 +44,18 @@ def io_month_scan(spark, sf_dir):
     return csv_io.month_scan(spark, path, S.TRAIN_MONTH).select("id", *Y_COLS)
 
 
+@query("io_month_scan_manifest")
+def io_month_scan_manifest(spark, sf_dir):
+    """IO3/RE1: month 78 of an unpartitioned folder of CSV files: a month manifest is built over the files
+    up to month 60, refreshed when the later files have come, and only files that hold month 78 are read."""
+    path = _scratch(spark, "unpartitioned")
+    rows = S.snap(spark, sf_dir)
+    csv_io.write_csv(rows.filter("t <= 60").repartitionByRange(8, "t"), path)
+    manifest = build_manifest(spark, path, schema=rows.schema)
+    csv_io.write_csv(rows.filter("t > 60").repartitionByRange(8, "t"), path, mode="append")
+    return manifest.refreshed(spark).scan(spark, S.TRAIN_MONTH).select("id", *Y_COLS)
+
+
 @query("io_month_stream")
 def io_month_stream(spark, sf_dir):
     """IO3 (incremental): month-78 rows of a stored snapshot folder, scanned as a file stream

@@ -158,6 +158,12 @@ ORACLES["impute_mode"] = "WITH " + SCLEAN + "\nSELECT id, t, " + \
 ORACLES["impute_mean"] = "WITH " + SCLEAN + "\nSELECT id, t, " + \
     ", ".join(f"round(coalesce({c}, (SELECT avg({c}) FROM sc)), 6) AS {c}" for c in MEAN_FILL_COLS) + " FROM sc"
 
+_WIDE = {"lineitem": {"l_orderkey": "l_orderkey", "l_partkey": "l_partkey", "l_shipdate": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)", "l_extendedprice": "l_extendedprice",
+                      "l_returnflag": "l_returnflag"},
+         "orders": {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderdate": "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)", "o_totalprice": "o_totalprice"}}
+ORACLES["impute_mode_wide"] = "SELECT " + ", ".join(
+    f"(SELECT {e} FROM {t} WHERE {e} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS {c}" for t, cols in _WIDE.items() for c, e in cols.items())
+
 _EU = ", ".join(f"'{c}'" for c in EU_COUNTRIES)
 _COMMUNITY = "(CASE province " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in PROVINCE_COMMUNITY.items()) + " END)"
 _POP = "(CASE province " + " ".join(f"WHEN {k} THEN CAST({v} AS DOUBLE)" for k, v in PROVINCE_POP.items()) + " END)"

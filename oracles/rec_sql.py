@@ -25,6 +25,7 @@ REC = [SNAP, PRED, OWN, JOINED, LONG, CAND, RANKED]
 # --- sources and sinks ---------------------------------------------------------------------------
 
 ORACLES["io_month_scan"] = with_(SNAP) + f"SELECT id, {ylist()} FROM snap WHERE t = {TRAIN_MONTH}"
+ORACLES["io_month_scan_manifest"] = ORACLES["io_month_scan"]
 ORACLES["io_month_stream"] = ORACLES["io_month_scan"]
 ORACLES["io_read_raw"] = PREP["clean_select"].split("\nSELECT * FROM sc")[0].replace(
     ",\nsc AS (", ",\nunused AS (") + "\nSELECT * FROM rawsnaps"
