@@ -47,14 +47,31 @@ def top_n_per_dim(df: DataFrame, vec_col: str = "vec", n: int = TOP_N_PER_DIM, i
                       id_col, F.col("value").cast("double").alias("value"))
 
 
-def pca_2d(sample: DataFrame, vec_col: str = "vec", k: int = 2) -> DataFrame:
-    """Project vectors on their first two principal components (distributed covariance)."""
+def _fitted_pca(sample: DataFrame, vec_col: str, k: int):
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     v = sample.withColumn("_v", array_to_vector(F.col(vec_col).cast("array<double>")))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(v)
+    return v, PCA(k=k, inputCol="_v", outputCol="_pc").fit(v)
+
+
+def pca_2d(sample: DataFrame, vec_col: str = "vec", k: int = 2) -> DataFrame:
+    """Project vectors on their first two principal components (distributed covariance).
+
+    A component's largest loading (the first of equally large ones) is positive, so its sign does not depend on the solver.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    v, model = _fitted_pca(sample, vec_col, k)
+    loadings = model.pc.toArray().T  # k rows, as many columns as a vector has entries
+    signs = [-1.0 if max(row, key=abs) < 0 else 1.0 for row in loadings.tolist()]
     out = model.transform(v).withColumn("_pc", vector_to_array("_pc"))
     keep = [c for c in sample.columns if c != vec_col]
-    return out.select(*keep, *[F.get("_pc", i).alias(f"pc{i + 1}") for i in range(k)])
+    return out.select(*keep, *[(F.get("_pc", i) * F.lit(signs[i])).alias(f"pc{i + 1}") for i in range(k)])
+
 
+def pca_explained(sample: DataFrame, vec_col: str = "vec", k: int = 2) -> DataFrame:
+    """(component, explained): the share of the vectors' variance along each component."""
+    _, model = _fitted_pca(sample, vec_col, k)
+    shares = [(i + 1, float(x)) for i, x in enumerate(model.explainedVariance.toArray())]
+    return sample.sparkSession.createDataFrame(shares, "component int, explained double")

@@ -151,6 +151,41 @@ class HistoryStore:
         h = shaped(own, month - 1, merged_stats(self.moments, min(train_month, month - 1), clamped=False), self.attr_cols, scale_time, include_time)
         return length_filter(h, min_len)
 
+    def scoring(self, target: DataFrame, train_month: int, scale_time: bool = True, include_time: bool = True, min_len: int = 2) -> DataFrame:
+        """Test histories of the customers of ``target``, rows of one later month, as ``sequence.build_test`` gives them.
+
+        ``target`` may lack products (y is then null). Stored rows are not exchanged.
+        """
+        spark = target.sparkSession
+        months = [r.t for r in target.select("t").distinct().limit(2).collect()]
+        if not months:
+            return shaped(self.rows(spark).limit(0), 2, {}, self.attr_cols, scale_time, include_time)
+        if len(months) > 1 or (self.last_month is not None and months[0] <= self.last_month):
+            raise ValueError(f"the rows to score are of months {months}; one month after {self.last_month} is wanted")
+        month, has_y = months[0], all(c in target.columns for c in self.ys)
+        own = _step(self.ys) if has_y else F.struct(F.col("t").cast("int").alias("t"), F.col("t_month").cast("int").alias("t_month"),
+                                                    F.lit(None).cast("array<int>").alias("y"))
+        new = target.select("id", own.alias("step"), _attrs(self.attr_cols, target.columns).alias("latest")).repartition(self.buckets, "id")
+        both = new.join(self.rows(spark).select("id", "steps"), "id", "left")
+        rows = both.select("id", F.concat(F.coalesce("steps", F.slice(F.array("step"), 1, 0)), F.array("step")).alias("steps"), F.col("latest").alias("last"))
+        stats = merged_stats(self.moments, min(train_month, month - 1), clamped=False)
+        return length_filter(shaped(rows, month - 1, stats, self.attr_cols, scale_time, include_time), min_len)
+
+    def state(self) -> dict:
+        """What ``reopen`` needs besides the table's files."""
+        return {"table": self.table, "buckets": self.buckets, "attr_cols": list(self.attr_cols), "ys": list(self.ys),
+                "moments": [list(m) for m in self.moments], "name": self.name, "root": self.root}
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, state: dict) -> HistoryStore:
+        """A store from its state: the table is registered anew over its files, bucketing included."""
+        store = cls(state["table"], state["buckets"], tuple(state["attr_cols"]), tuple(state["ys"]), tuple(tuple(m) for m in state["moments"]), state["name"], state["root"])
+        if not spark.catalog.tableExists(store.table):
+            place = f"{store.root}/{store.table}"
+            ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema.fields)
+            spark.sql(f"CREATE TABLE {store.table} ({ddl}) USING parquet CLUSTERED BY (id) SORTED BY (id) INTO {store.buckets} BUCKETS LOCATION '{place}'")
+        return store
+
     def drop(self, spark: SparkSession) -> None:
         """Forget this version's table (its files stay below the store's folder)."""
         spark.sql(f"DROP TABLE IF EXISTS {self.table}")

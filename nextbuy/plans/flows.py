@@ -22,6 +22,7 @@ from ..constants import (ATTR_COLS, BASE_YEAR, LAST_FILE_MONTH, NUM_PRODUCTS, P_
                          SAMPLE_FRACTION, TOP_K, TOP_N_PER_DIM)
 from ..operators import activations, features, impute, joint, metrics, recommend, sequence, training
 from ..operators.clean import clean
+from ..operators.history_store import rolling_sets
 from ..sources import csv_io
 from ..sources.storage import read_stored, store_rows, write_bucketed
 
@@ -133,6 +134,21 @@ def train_and_score(spark: SparkSession, features_path: str, train_month: int =
     return ScoreResult(scored, None, None, lengths, log)
 
 
+def rolling_evaluation(spark: SparkSession, features_path: str, pairs: list[tuple[int, int]], attr_cols=ATTR_COLS, scale_time: bool = True,
+                       include_time: bool = True, seq_len: int | None = None, max_iter: int = 20, reg_param: float = 0.01) -> DataFrame:
+    """(train_month, test_month, n, loss, map_new): a fit and a held-out evaluation for each pair of months.
+
+    All sets are cut from one stored scan of the feature table (see ``history_store.rolling_sets``); each pair gives
+    what ``train_and_score`` gives for it alone. A pair without customers to score has no loss and no MAP.
+    """
+    sets = rolling_sets(read_stored(spark, features_path), pairs, attr_cols, scale_time=scale_time, include_time=include_time)
+    width, rows = (2 if include_time else 0) + NUM_PRODUCTS, []
+    for (train_month, test_month), (train, test) in sets.items():
+        model = joint.JointScorer(max_iter, reg_param).fit(train, seq_len or max(train_month, test_month - 1), width)
+        rows.append((train_month, test_month, *training.validate(model.predict(test))))
+    return spark.createDataFrame(rows, "train_month int, test_month int, n long, loss double, map_new double")
+
+
 @dataclass
 class Recommendations:
     lists: DataFrame

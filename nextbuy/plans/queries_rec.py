@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..constants import ATTR_COLS, P_COLS, PRODUCT_LABELS, SAMPLE_FRACTION, TOP_N_PER_DIM, Y_COLS
 from ..operators import activations, batches, features, impute, joint, metrics, recommend, score, sequence, training, trainlog
+from ..operators.artifact import fit_artifact, load_artifact
 from ..session import shared_output_dir
 from ..sources import csv_io, fixtures
 from ..sources.manifest import build_manifest
 from ..sources.storage import store_rows
 from ..streaming.month_scan import run_month_scan
+from . import flows
 from . import standin as S
 from .registry import query
 
@@ -240,6 +242,12 @@ def an_pca_2d(spark, sf_dir):
     return activations.pca_2d(sample)
 
 
+@query("an_pca_explained")
+def an_pca_explained(spark, sf_dir):
+    """AN4: the share of the variance of all activations along their first two components."""
+    return activations.pca_explained(fixtures.activations(spark, sf_dir))
+
+
 # --- 2.7 batches and scoring ---------------------------------------------------------------------
 
 @query("batch_assign")
@@ -304,3 +312,22 @@ def log_validated_fit(spark, sf_dir):
 def log_validated_report(spark, sf_dir):
     """EV17/EV18: training loss, validation loss and MAP@7 on new products of each epoch of a validated fit."""
     return trainlog.epoch_report(_validated_run(spark, sf_dir).log(spark), ["loss", training.VAL_LOSS, training.VAL_MAP])
+
+
+@query("score_from_artifact")
+def score_from_artifact(spark, sf_dir):
+    """FE5/IM1/SC1/EV1: month 79 scored from a saved artifact (fills, categories, statistics and histories of
+    months <= 78, given weights) without the training table."""
+    path = _scratch(spark, "artifact")
+    cleaned = S.snapshots_clean_once(spark, sf_dir)
+    fit_artifact(cleaned, S.TRAIN_MONTH, path, scorer=S.fixed_scorer(), fit=False)
+    scored = load_artifact(spark, path).score(S.target_rows(cleaned).drop(*Y_COLS))
+    return scored.select("id", *[F.get("p", i).alias(c) for i, c in enumerate(P_COLS)])
+
+
+@query("eval_rolling")
+def eval_rolling(spark, sf_dir):
+    """EV19: fits on months <= 72, 75 and 78 evaluated on the month after each, all cut from one stored scan."""
+    path = _scratch(spark, "features")
+    S.features_once(spark, sf_dir).write.parquet(path)
+    return flows.rolling_evaluation(spark, path, [(m, m + 1) for m in (S.TRAIN_MONTH - 6, S.TRAIN_MONTH - 3, S.TRAIN_MONTH)], seq_len=S.PAD_LEN)

@@ -307,3 +307,8 @@ nw AS (SELECT id, k, greatest(0, least(1, y - yl)) AS y, (1 - yl) * p AS p FROM
 {ap_ctes("nw", "n_")},
 ls AS (SELECT id, avg(-(y * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))) AS loss FROM lng GROUP BY id)
 SELECT count(*) AS n, round(avg(loss), 6) AS loss, round((SELECT avg(ap) FROM n_ap), 6) AS map_new FROM ls"""
+# fills learnt on the training months only
+_LATE = ORACLES["score_fixed_weights"].replace("FROM sc WHERE ", f"FROM sc WHERE t <= {TRAIN_MONTH} AND ")
+for _c in MEAN_FILL_COLS:
+    _LATE = _LATE.replace(f"avg({_c}) FROM sc)", f"avg({_c}) FROM sc WHERE t <= {TRAIN_MONTH})")
+ORACLES["score_from_artifact"] = _LATE

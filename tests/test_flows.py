@@ -34,6 +34,20 @@ def test_flows_end_to_end(spark, tmp_path):
                                      last_file_month=79, model_path=model_dir, load_model=True)
     assert abs(reloaded.map7_new.first()["map"] - m["map"]) < 1e-12
 
+    watched = flows.train_and_score(spark, tr.features_path, train_month=78, test_month=79, last_file_month=79, max_iter=5, validate=True,
+                                    model_path=str(tmp_path / "watched"))
+    assert {r.epoch for r in watched.log.filter("metric = 'val_loss'").collect()} == {2, 4}
+    assert watched.map7_new.first()["n"] == m["n"]
+
+    rolled = flows.rolling_evaluation(spark, tr.features_path, [(70, 71), (78, 79)], max_iter=5)
+    assert [(r.train_month, r.test_month) for r in rolled.collect()] == [(70, 71), (78, 79)]
+    one = rolled.filter("test_month = 79").first()  # as the single run
+    assert one["n"] == m["n"] and abs(one["map_new"] - m["map"]) < 1e-9
+    assert abs(one["loss"] - held_out.losses.filter("n_obs is null").first()["bce"]) < 1e-6
+
+    seen = flows.inspect_model(spark, tr.features_path, model_dir, train_month=78, test_month=79, last_file_month=79, fraction=0.2, top_n=3)
+    assert seen.label_counts.count() == 24 and seen.top_per_unit.count() == 24 * 3
+
     pred_path = str(tmp_path / "pred")
     flows.train_and_score(spark, tr.features_path, train_month=79, test_month=80, test_features_path=te.features_path,
                           last_file_month=79, max_iter=5, pred_out=pred_path)
