@@ -113,24 +113,37 @@ def fit(rows: DataFrame, bits: int = 18, scale: float = 40.0, shards: int = 6, e
     """Fit on rows of (doc_id, text, label); no rows: all weights 0 (every score 0.5)."""
     size = 1 << bits
 
+    def learnt(examples: list) -> pd.DataFrame:
+        model = Ftrl(size, alpha, beta, l1, l2)
+        for _ in range(epochs):
+            for e in examples:
+                model.learn(*e)
+        return pd.DataFrame({"n": [len(examples)], "w": [model.weights().astype(np.float32).tobytes()]})
+
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        examples = []
+        shard, examples = None, []
         for pdf in batches:
             off, data = utf8(pa.array(pdf["text"], pa.large_string()))
-            for i, label in enumerate(pdf["label"].tolist()):
+            for i, (own, label) in enumerate(zip(pdf["shard"].tolist(), pdf["label"].tolist(), strict=True)):
+                if own != shard and examples:
+                    yield learnt(examples)
+                    examples = []
+                shard = own
                 feature, _ = ngrams(data[off[i]:off[i + 1]], np.array([0, off[i + 1] - off[i]]), bits)
                 at, count = np.unique(feature, return_counts=True)
                 examples.append((np.append(at, size), np.append(scale * count / max(1, len(feature)), 1.0), int(label)))
         if examples:
-            model = Ftrl(size, alpha, beta, l1, l2)
-            for _ in range(epochs):
-                for e in examples:
-                    model.learn(*e)
-            yield pd.DataFrame({"n": [len(examples)], "w": [model.weights().astype(np.float32).tobytes()]})
+            yield learnt(examples)
 
     order = F.xxhash64("doc_id", "text")
-    dealt = rows.withColumn("order", order).repartition(shards, "order").sortWithinPartitions("order").select("text", "label")
+    # the shards are fixed by the rows, however many partitions hold them; their names are numbers that go to different tasks
+    numbers = rows.sparkSession.range(100 * shards).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("task"))
+    names = sorted(r.id for r in numbers.groupBy("task").agg(F.min("id").alias("id")).collect())
+    dealt = rows.withColumn("order", order)
+    dealt = dealt.withColumn("shard", F.get(F.lit(names), F.pmod(F.xxhash64(F.lit(5), order), F.lit(len(names))).cast("int")).cast("long"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("shard", "text", "label")
     got = dealt.mapInPandas(learn, "n long, w binary").collect()  # at most ``shards`` vectors of fixed size
+    got.sort(key=lambda r: (r.n, r.w))  # one order of summing
     total = sum(r.n for r in got)
     weights = sum((np.frombuffer(r.w, np.float32).astype(np.float64) * (r.n / total) for r in got), np.zeros(size + 1))
     return QualityModel(weights, bits, scale)
