@@ -14,8 +14,9 @@
 4. *Verify.* Candidates are confirmed on their full sets.
 
 Groups need only be connected, so pairs within a band are not listed. In a few
-star rounds each node that is still alone is tested against the most
-similar centre of its bands (one centre a band and round), and takes that centre's label.
+star rounds each node is tested against the most similar centre of its bands that has another
+label (one centre a band and round); of the nodes of one label only the most similar one is tested
+against a centre's label, and labels that turn out to be linked become one.
 Then, in each band that still holds several labels, the nodes outside the
 largest one are compared with all nodes of the band, in blocks of bounded
 size, so no link is lost: what passes the estimate in a block is verified there, and only
@@ -161,7 +162,7 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of (a, la, b) rows those that pass the estimate, with the number of agreeing registers (``equal``)."""
+    """Of (a, la, b, lb) rows those that pass the estimate, with the number of agreeing registers (``equal``)."""
     own = nodes.select("node", "n", "regs")
     rows = pairs.join(own.toDF("a", "na", "ra"), "a").join(own.toDF("b", "nb", "rb"), "b")
 
@@ -169,9 +170,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for pdf in batches:
             equal = (_matrix(pdf["ra"], len(pdf)) == _matrix(pdf["rb"], len(pdf))).sum(1)
             ok = similar_enough(equal, pdf["na"].to_numpy(), pdf["nb"].to_numpy(), percent)
-            yield pd.DataFrame({"a": pdf["a"], "la": pdf["la"], "b": pdf["b"], "equal": equal})[ok]
+            yield pd.DataFrame({"a": pdf["a"], "la": pdf["la"], "b": pdf["b"], "lb": pdf["lb"], "equal": equal})[ok]
 
-    return rows.mapInPandas(run, "a long, la long, b long, equal long")
+    return rows.select("a", "la", "b", "lb", "na", "nb", "ra", "rb").mapInPandas(run, "a long, la long, b long, lb long, equal long")
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -204,32 +205,34 @@ def _linked(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b, label) rows whose nodes' full sets are similar enough."""
+    """The (a, la, b, lb) rows whose nodes' full sets are similar enough."""
     rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [_linked(x, y, percent) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
-            yield pdf.loc[ok, ["a", "b", "label"]]
+            yield pdf.loc[ok, ["a", "la", "b", "lb"]]
 
-    return rows.select("a", "b", "label", "sa", "sb").mapInPandas(run, "a long, b long, label long")
+    return rows.select("a", "la", "b", "lb", "sa", "sb").mapInPandas(run, "a long, la long, b long, lb long")
 
 
 def _star_round(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, number: int) -> tuple[DataFrame, DataFrame]:
     """(members with new labels, verified links). A band's centre is its node with the least hash in this round."""
     least = F.min(F.struct(F.xxhash64(F.lit(number), "node").alias("o"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")))
     centre = members.groupBy("band").agg(least.alias("c")).select("band", "c.a", "c.na", F.col("c.la").alias("la"))
-    star = members.filter("label = node").join(centre, "band").filter("la <> label")
-    star = star.filter(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", "la", F.col("node").alias("b")).distinct()
-    best = _estimated(star, nodes, percent).groupBy("b").agg(F.max(F.struct("equal", "a", "la")).alias("m"))
-    best = stored(best.select(F.col("m.a").alias("a"), "b", F.col("m.la").alias("label")), "pairs")
+    star = members.join(centre, "band").filter("la <> label")
+    star = star.filter(100 * F.least("n", "na") >= percent * F.greatest("n", "na")).select("a", "la", F.col("node").alias("b"), F.col("label").alias("lb")).distinct()
+    best = _estimated(star, nodes, percent).groupBy("b", "lb").agg(F.max(F.struct("equal", "a", "la")).alias("m"))
+    best = best.groupBy("lb", F.col("m.la").alias("la")).agg(F.max(F.struct("m.equal", "m.a", "b")).alias("m"))
+    best = stored(best.select(F.col("m.a").alias("a"), "la", F.col("m.b").alias("b"), "lb"), "pairs")
     sets = _sets_of(best.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, words)
     links = stored(_verified(best, sets, percent), "links")
-    label = links.select(F.col("b").alias("node"), "label")
-    small = F.broadcast if fits_broadcast(label, BROADCAST_ROWS) else lambda d: d
-    further = label.toDF("label", "next")  # the label's own node may have taken another one
-    label = label.join(small(further), "label", "left").select("node", F.coalesce("next", "label").alias("new"))
-    members = members.join(small(label), "node", "left").select("band", "node", "n", F.coalesce("new", "label").alias("label"))
+    # each label takes the least one that it is linked with, and then that one's
+    both = links.select("la", "lb").unionByName(links.select(F.col("lb").alias("la"), F.col("la").alias("lb")))
+    least = stored(both.groupBy(F.col("la").alias("label")).agg(F.min("lb").alias("m")).select("label", F.least("label", "m").alias("least")), "labels")
+    small = F.broadcast if fits_broadcast(least, BROADCAST_ROWS) else lambda d: d
+    moved = least.join(small(least.toDF("least", "next")), "least", "left").select("label", F.coalesce("next", "least").alias("new"))
+    members = members.join(small(moved), "label", "left").select("band", "node", "n", F.coalesce("new", "label").alias("label"))
     return stored(members, "members"), links.select("a", "b")
 
 
@@ -285,10 +288,12 @@ def _in_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         if not near:
             return None
         x, y = (np.concatenate(v) for v in zip(*near, strict=True))
-        lists = pd.DataFrame({"x": x, "y": node[y]}).groupby("x")["y"].agg(list)
-        rest = np.setdiff1d(y, lists.index.to_numpy())
-        at = np.concatenate([lists.index.to_numpy(), rest])
-        return pd.DataFrame({"block": block[at], "node": node[at], "label": label[at], "near": [*lists, *[[]] * len(rest)]})
+        order = np.argsort(x, kind="stable")
+        own, first = np.unique(x[order], return_index=True)
+        lists = np.split(node[y[order]], first[1:])  # arrays, not lists of objects
+        rest = np.setdiff1d(y, own)
+        at = np.concatenate([own, rest])
+        return pd.DataFrame({"block": block[at], "node": node[at], "label": label[at], "near": [*lists, *[node[:0]] * len(rest)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in _whole_blocks(batches):
