@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nextbuy.llm import minhash, pii
+from nextbuy.llm import minhash, pii, sharding
 from nextbuy.llm.components import components
 from nextbuy.llm.decontaminate import contamination, drop_contaminated
 from nextbuy.llm.exact_dedup import dedup_exact, keep_unique
@@ -144,6 +144,35 @@ def test_sharding_cuts_a_group_of_copies(spark):
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 10 + 40
 
 
+def test_splitters_against_a_sort(spark):
+    """The shards' bytes are those of the best cuts of the sorted rows, up to the tolerance; the driver refines splitters only."""
+    d = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 400).cast("int")).alias("text"))
+    seen = []
+    real = sharding._histogram
+
+    def counted(rows, depth, prefixes):
+        seen.append(len(prefixes or []))
+        return real(rows, depth, prefixes)
+
+    sharding._histogram = counted
+    try:
+        for n_shards, leaf_rows in ((7, 50), (40, 7), (1, 50)):
+            got = shard_by_bytes(d, n_shards=n_shards, leaf_rows=leaf_rows, tolerance=0.001).collect()
+            per = defaultdict(list)
+            for r in got:
+                per[r.shard].append(r)
+            total, largest = sum(r.size for r in got), max(r.size for r in got)
+            below = 0
+            for i in range(n_shards - 1):
+                below += sum(r.size for r in per[i])
+                assert abs(below - total * (i + 1) / n_shards) <= max(largest, 0.001 * total / n_shards) / 2 + largest / 2
+            assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in per.values()) and set(per) <= set(range(n_shards))
+            assert max(seen) <= max(n_shards - 1, 0)
+            seen.clear()
+    finally:
+        sharding._histogram = real
+
+
 def test_sharding_empty(no_docs):
     assert shard_by_bytes(no_docs).count() == 0
 
