@@ -50,11 +50,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?>.*?://)[^/?#]*+(/[^?#]*)", 1)  # atomic: never on to a later ://
 
 
-def candidate_keys(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
+def rule_rows(rules: DataFrame) -> DataFrame:
+    """(verdict, host, path) of the usable rules: host A-Z lower-cased, neither host nor path empty or null."""
+    rows = rules.select("verdict", ascii_lower(F.col("host").cast("string")).alias("host"), F.col("path").cast("string").alias("path"))
+    return rows.filter(F.col("verdict").isin("allow", "block") & (F.col("host") != "") & (F.col("path") != "")).distinct()
+
+
+def rule_shapes(rules: DataFrame) -> tuple[list[int], list[int]]:
+    """The label counts of the rules' hosts and the lengths of their paths: what a URL's candidate keys are cut by."""
+    r = rules.agg(F.array_sort(F.collect_set(F.size(F.split("host", r"\.")))).alias("depths"), F.array_sort(F.collect_set(F.char_length("path"))).alias("lengths")).first()
+    return list(r.depths), list(r.lengths)
+
+
+def candidate_keys(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
     """The keys (host suffix + path prefix) under which a rule that fits can be listed, longest first."""
-    rules = list(rules)
-    depths = sorted({h.count(".") + 1 for _, h, _ in rules})
-    lengths = sorted({len(p) for _, _, p in rules})
     keys = [F.concat(F.substring_index(host, ".", -d), F.substring(path, 1, n)) for d in depths for n in lengths]
     listed = F.array_distinct(F.array(*keys))
     usable = F.when((host == "") | (path == ""), F.array().cast("array<string>")).otherwise(listed)
@@ -132,27 +141,30 @@ class BloomCascade:
         return out
 
 
-def url_verdicts(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = TASK_RULES, default: str = "allow",
+def url_verdicts(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]] = TASK_RULES, default: str = "allow",
                  id_col: str = "page_id", url_col: str = "url", **cascade) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page.
 
+    ``rules``: a table with columns verdict, host and path, of any size up to what a level may hold, or a list of such rows.
     Null URLs, and URLs without ``://``, have an empty host and path; no rule
     fits an empty host or path, so they get ``default`` with a null rule.
     Repeated rows give repeated results; other input columns are not read. A
     key listed with both verdicts is blocked. No rules, or no pages: every
     page gets ``default``, or no rows.
     """
-    rules = [(v, h.lower(), p) for v, h, p in rules if h and p]
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    rules = stored(rule_rows(rules), "rules")
     urls = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
-    if not rules:
+    depths, lengths = rule_shapes(rules)
+    if not depths:
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keys = candidate_keys(F.col("host"), F.col("path"), rules)
+    keys = candidate_keys(F.col("host"), F.col("path"), depths, lengths)
     universe = stored(urls.select(F.explode(keys).alias("key")).distinct(), "keys")
     is_listed = {}
     for n, verdict in enumerate(("block", "allow")):
-        own = sorted({h + p for v, h, p in rules if v == verdict})
-        listed = spark.range(1).select(F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("key"))
+        listed = rules.filter(F.col("verdict") == verdict).select(F.concat("host", "path").alias("key")).distinct()
         is_listed[verdict] = BloomCascade.build(listed, universe, seed=n + 1, **cascade).lists
     # keys are sorted by length: the first listed one is the longest rule that fits
     blocked = lambda k: is_listed["block"](k)

@@ -379,6 +379,19 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in url_verdicts(d, []).collect()} == {"allow"}
 
 
+def test_url_rules_from_a_table(spark):
+    rules = [("block", f"Site{i}.Example.net", f"/p{i % 3}/") for i in range(3000)] + [("allow", "example.net", "/"), ("block", None, "/"), ("block", "x", ""), ("other", "net", "/")]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string").withColumn("key", F.lit(1)).repartition(4)
+    urls = [f"http://site{i}.example.net/p{i % 2}/x" for i in range(0, 6000, 7)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_verdicts(d, table, default="block").collect()}
+    listed = {(h.lower(), p) for v, h, p in rules if v == "block" and h and p}
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        own = [p for h, p in listed if h == host and f"/{path}".startswith(p)]
+        assert got[i] == ((host + own[0], "block") if own else ("example.net/", "allow"))
+
+
 def test_url_path_follows_the_first_host(spark):
     urls = ["http://a.com?u=http://net/es/x", "http://example.com?r=http://b.org/en/1", "http://example.com#http://b.org/en/1",
             "http://a.net/es/1?u=http://example.com/en/", "a://b://c/d", "http://" + "a" * 200_000 + "?u=http://net/es/x"]
