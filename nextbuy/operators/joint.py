@@ -35,6 +35,8 @@ from .metrics import require_labels
 #: Sums of more tasks than this are added in a tree before they reach the driver.
 DIRECT_TASKS = 64
 MEMORY = 10
+#: Blocks of up to this many cells (32 MB) are multiplied as matrices.
+DENSE_CELLS = 1 << 22
 _INPUT = ("attrs", "x")
 
 
@@ -61,9 +63,19 @@ class _Block:
     def __init__(self, idx: np.ndarray, val: np.ndarray, size: np.ndarray):
         self.idx, self.val, self.size = idx, val, size
         self.row = np.repeat(np.arange(len(size)), size)
+        self.dense = None
+
+    def _filled(self, n_inputs: int) -> np.ndarray | None:
+        """The rows as a matrix, while that is small: its products take less time than those of the entries."""
+        if self.dense is None and len(self.size) * n_inputs <= DENSE_CELLS:
+            self.dense = np.zeros((len(self.size), n_inputs))
+            self.dense[self.row, self.idx] = self.val
+        return self.dense
 
     def margins(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rows x products; ``w`` is inputs x products."""
+        if (x := self._filled(len(w))) is not None:
+            return x @ w + b
         out = np.zeros((len(self.size), w.shape[1]))
         full = np.flatnonzero(self.size)
         if len(full):
@@ -73,6 +85,8 @@ class _Block:
 
     def back(self, r: np.ndarray, n_inputs: int) -> np.ndarray:
         """Products x inputs: the sum over rows of residual times input."""
+        if (x := self._filled(n_inputs)) is not None:
+            return r.T @ x
         return np.stack([np.bincount(self.idx, self.val * r[self.row, k], n_inputs) for k in range(r.shape[1])])
 
 

@@ -66,6 +66,20 @@ def test_equal_to_separate_fits(histories, monkeypatch, direct_tasks):
             assert one.intercept == model.intercepts[k] == (np.inf if k == 22 else -np.inf)
 
 
+def test_products_of_a_block(monkeypatch):
+    """As matrices and entry by entry, rows without entries included."""
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(7, 12)) * (rnd.random((7, 12)) < 0.4)
+    x[[0, 3, 6]] = 0
+    row, idx = np.nonzero(x)
+    w, b, r = rnd.normal(size=(12, 4)), rnd.normal(size=4), rnd.normal(size=(7, 4))
+    for cells in (1 << 22, 0):
+        monkeypatch.setattr(joint, "DENSE_CELLS", cells)
+        block = joint._Block(idx, x[row, idx], np.bincount(row, minlength=7))
+        assert np.allclose(block.margins(w, b), x @ w + b) and np.allclose(block.back(r, 12), r.T @ x)
+        assert (block.dense is None) == (cells == 0)
+
+
 def test_scores(histories, spark, tmp_path):
     model = JointScorer(max_iter=6).fit(histories, SEQ, WIDTH)
     want = dense(histories)
