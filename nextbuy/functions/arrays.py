@@ -17,6 +17,11 @@ def as_array(cols) -> Column:
     return F.array(*[_c(c) for c in cols])
 
 
+def bind(value, body) -> Column:
+    """``body`` of a value that is evaluated once (inside another lambda, an expression is evaluated once an element)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def topk_indices(scores, k: int = TOP_K) -> Column:
     """0-based indices of the k largest scores; equal scores -> lower index first.
 
@@ -29,8 +34,7 @@ def topk_indices(scores, k: int = TOP_K) -> Column:
 
 def hits_at(y_true, indices) -> Column:
     """1 where the ranked index is a true label, else 0."""
-    y = _c(y_true)
-    return F.transform(_c(indices), lambda i: F.when(F.get(y, i) > 0, 1).otherwise(0))
+    return bind(_c(y_true), lambda y: F.transform(_c(indices), lambda i: F.when(F.get(y, i) > 0, 1).otherwise(0)))
 
 
 def count_true(y_true) -> Column:
@@ -39,17 +43,17 @@ def count_true(y_true) -> Column:
 
 def precision_on_hits(hits) -> Column:
     """Running hit count at each rank, zeroed on misses, divided by the rank."""
-    h = _c(hits)
-    return F.transform(h, lambda x, j: x * F.aggregate(F.slice(h, 1, j + 1), F.lit(0), lambda a, b: a + b)
-                       / (j + 1).cast("double"))
+    return bind(_c(hits), lambda h: F.transform(h, lambda x, j: x * F.aggregate(F.slice(h, 1, j + 1), F.lit(0), lambda a, b: a + b)
+                                                / (j + 1).cast("double")))
 
 
 def ap_at_k(y_true, scores, k: int = TOP_K) -> Column:
     """Average precision at k; 0 when nothing is true."""
-    prec = precision_on_hits(hits_at(y_true, topk_indices(scores, k)))
-    n = count_true(y_true)
-    total = F.aggregate(prec, F.lit(0.0), lambda a, b: a + b)
-    return F.when(n == 0, F.lit(0.0)).otherwise(total / F.least(n, F.lit(k)).cast("double"))
+    def of(y: Column) -> Column:
+        total = F.aggregate(precision_on_hits(hits_at(y, topk_indices(scores, k))), F.lit(0.0), lambda a, b: a + b)
+        return bind(count_true(y), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(total / F.least(n, F.lit(k)).cast("double")))
+
+    return bind(_c(y_true), of)
 
 
 def new_labels(y_true, y_last) -> Column:
@@ -67,7 +71,7 @@ def _clip(p: Column, eps: float) -> Column:
 
 
 def _mean(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda a, b: a + b) / F.size(arr).cast("double")
+    return bind(arr, lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v).cast("double"))
 
 
 def bce_terms(target, output, eps: float = LOSS_EPS) -> Column:
@@ -86,10 +90,11 @@ def mean_squared_error(y_true, y_pred) -> Column:
 
 def categorical_crossentropy(y_true, y_pred, eps: float = LOSS_EPS) -> Column:
     """-sum(y * ln(clip(p / sum(p)))); scores that are all zero have shares of zero."""
-    p = _c(y_pred)
-    s = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
-    return -F.aggregate(F.zip_with(_c(y_true), p, lambda y, q: y * F.ln(_clip(F.coalesce(F.try_divide(q, s), F.lit(0.0)), eps))),
-                        F.lit(0.0), lambda a, b: a + b)
+    def of(p: Column) -> Column:
+        logs = lambda s: F.zip_with(_c(y_true), p, lambda y, q: y * F.ln(_clip(F.coalesce(F.try_divide(q, s), F.lit(0.0)), eps)))
+        return -F.aggregate(bind(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), logs), F.lit(0.0), lambda a, b: a + b)
+
+    return bind(_c(y_pred), of)
 
 
 def bce_true_only(y_true, y_pred, eps: float = LOSS_EPS) -> Column:

@@ -56,7 +56,9 @@ def binary_map(c, mapping: dict | None = None) -> Column:
 NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-#: Integers are parsed as decimals with room for all 64-bit values, never through floating point.
+#: Digits that surely fit 64 bits: parsed at once.
+_DIGITS = r"^[+-]?[0-9]{1,18}$"
+#: Other integers are parsed as decimals with room for all 64-bit values, never through floating point.
 _EXACT = "decimal(38,18)"
 
 
@@ -66,7 +68,7 @@ def try_integer(c, to: str = "bigint") -> Column:
     d = F.when(text.rlike(NUMBER), text.try_cast(_EXACT))
     # digits beyond the decimal's scale would be rounded away: only zeros may stand there
     exact = ~text.rlike(r"[.][0-9]{18}[0-9]*[1-9]") & (d == F.floor(d))
-    return F.when(exact, d.try_cast(to))
+    return F.when(text.rlike(_DIGITS), text.try_cast("bigint").try_cast(to)).when(exact, d.try_cast(to))
 
 
 def try_number(c, to: str = "double") -> Column:

@@ -21,6 +21,9 @@ DEFAULT_CONF = {
 }
 
 
+# HotSpot never compiles a method of more than 8,000 bytes, and large ones late: a stage that would be generated as such
+# a method (the cleaning of 48 columns is) runs its expressions in split functions instead.
+HUGE_METHOD = {"spark.sql.codegen.hugeMethodLimit": "4000"}
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -30,7 +33,7 @@ def get_spark(master: str | None = None, app_name: str = "nextbuy",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    conf = {**DEFAULT_CONF, **HUGE_METHOD}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
@@ -62,9 +65,11 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> d
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Settings the results depend on, for a session created elsewhere:
-    UTC session time (month boundaries of timestamps), a checkpoint folder and
+    UTC session time (month boundaries of timestamps), generated code that gets compiled, a checkpoint folder and
     the package's place for Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for k, v in HUGE_METHOD.items():
+        spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     share_package(spark)
     return spark
