@@ -8,8 +8,9 @@ The inputs are those of 24 separate regularised logistic regressions over
 * one pass over the data gives the losses and gradients of all products: tasks sum over
   their blocks of rows, the sums are added in a tree, and the driver sees matrices of
   products x inputs only;
-* the passes share one copy of the data, blocks of about 1,000 customers in Parquet
-  below the shared folder, so nothing is cached and a lost executor re-reads its files.
+* the passes share one copy of the data, blocks of 128 customers with histories of about one
+  length in Parquet below the shared folder, so nothing is cached and a lost executor re-reads its
+  files; a block names the inputs it uses, and is multiplied by those only.
 
 The objective is that of Spark ML's ``LogisticRegression`` (mean log loss, L2 penalty on
 standardised coefficients, free intercept). Inputs are standardised and centred inside
@@ -37,31 +38,61 @@ DIRECT_TASKS = 64
 MEMORY = 10
 #: Blocks of up to this many cells (32 MB) are multiplied as matrices.
 DENSE_CELLS = 1 << 22
+#: Rows of a stored block.
+GROUP_ROWS = 128
 _INPUT = ("attrs", "x")
 
 
+def _cells(attrs: pa.Array, x: pa.Array, seq_len: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(idx, val, size) of history rows: the entries of the padded vectors that are not 0 after the shift, row by row.
+
+    A missing value counts as 0.0 (before the shift); a row without ``attrs``, ``x`` or one of its steps has no entries.
+    """
+    a, n_attrs = _lists(attrs)
+    steps, n_steps = x.flatten(), np.diff(np.asarray(x.offsets))
+    if len(n_steps) and n_steps.max() > seq_len:
+        raise ValueError(f"a history has more steps than seq_len: {n_steps.max()}")
+    v, n_cells = _lists(steps)
+    ends = np.append(0, np.cumsum(n_cells))[np.append(0, np.cumsum(n_steps))]
+    n_cells, rows = np.diff(ends), np.arange(len(n_steps))
+    row = np.concatenate([np.repeat(rows, n_attrs), np.repeat(rows, n_cells)])
+    within = np.concatenate([np.arange(len(a)) - np.repeat(np.cumsum(n_attrs) - n_attrs, n_attrs), np.arange(len(v)) - np.repeat(ends[:-1], n_cells)])
+    within[len(a):] += np.repeat(n_attrs + (seq_len - n_steps) * width, n_cells)
+    val = np.concatenate([a, v - PAD_VALUE])
+    keep = val != 0
+    if attrs.null_count or x.null_count or steps.null_count:
+        bad = np.asarray(attrs.is_null()) | np.asarray(x.is_null())
+        bad[np.repeat(rows, n_steps)[np.asarray(steps.is_null())]] = True
+        keep &= ~bad[row]
+    order = np.flatnonzero(keep)
+    order = order[np.argsort(row[order], kind="stable")]
+    return within[order].astype(np.int32), val[order], np.bincount(row[order], minlength=len(rows))
+
+
 def sparse_rows(h: DataFrame, seq_len: int, width: int) -> DataFrame:
     """Replaces ``attrs`` and ``x`` by ``idx`` and ``val``: the entries of the padded vector that are not 0 after the shift.
 
     A missing value counts as 0.0 (before the shift). A history of more than ``seq_len`` steps is an error.
     """
-    n = F.size("x")
-    n = F.when(n > seq_len, F.raise_error(F.concat(F.lit("a history has more steps than seq_len: "), n.cast("string"))).cast("int")).otherwise(n)
-    offset = F.size("attrs") + (F.lit(seq_len) - n) * width
-    cell = lambda i, v: F.struct(i.cast("int").alias("i"), v.alias("v"))
-    attrs = F.transform("attrs", lambda v, i: cell(i, F.coalesce(v, F.lit(0.0))))
-    steps = F.transform(F.flatten("x"), lambda v, i: cell(offset + i, F.coalesce(v, F.lit(0.0)) - F.lit(float(PAD_VALUE))))
-    cells = F.filter(F.concat(attrs, steps), lambda c: c.v != 0)
-    rest = [c for c in h.columns if c not in _INPUT]
-    rows = h.select(*rest, cells.alias("_cells"))
-    return rows.select(*rest, F.col("_cells.i").alias("idx"), F.col("_cells.v").alias("val"))
+    share_package(h.sparkSession)
+    rest = [f for f in h.schema.fields if f.name not in _INPUT]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, val, size = _cells(batch.column(0), batch.column(1), seq_len, width)
+            ends = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (idx, val)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *lists], [*(f.name for f in rest), "idx", "val"])
+
+    schema = T.StructType([*rest, T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("val", T.ArrayType(T.DoubleType()))])
+    return h.select(*_INPUT, *(f.name for f in rest)).mapInArrow(run, schema)
 
 
 class _Block:
-    """Rows of one batch: entries one row after the other."""
+    """Rows of one batch: entries one row after the other. ``cols``: the inputs that ``idx`` numbers (default: all)."""
 
-    def __init__(self, idx: np.ndarray, val: np.ndarray, size: np.ndarray):
-        self.idx, self.val, self.size = idx, val, size
+    def __init__(self, idx: np.ndarray, val: np.ndarray, size: np.ndarray, cols: np.ndarray | None = None):
+        self.idx, self.val, self.size, self.cols = idx, val, size, cols
         self.row = np.repeat(np.arange(len(size)), size)
         self.dense = None
 
@@ -74,6 +105,7 @@ class _Block:
 
     def margins(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rows x products; ``w`` is inputs x products."""
+        w = w if self.cols is None else w[self.cols]
         if (x := self._filled(len(w))) is not None:
             return x @ w + b
         out = np.zeros((len(self.size), w.shape[1]))
@@ -83,35 +115,71 @@ class _Block:
             out[full] = np.add.reduceat(w[self.idx] * self.val[:, None], first, axis=0)
         return out + b
 
-    def back(self, r: np.ndarray, n_inputs: int) -> np.ndarray:
-        """Products x inputs: the sum over rows of residual times input."""
-        if (x := self._filled(n_inputs)) is not None:
-            return r.T @ x
-        return np.stack([np.bincount(self.idx, self.val * r[self.row, k], n_inputs) for k in range(r.shape[1])])
+    def back(self, r: np.ndarray, n_inputs: int, out: np.ndarray | None = None) -> np.ndarray:
+        """Products x inputs: the sum over rows of residual times input, added to ``out``."""
+        out = np.zeros((r.shape[1], n_inputs)) if out is None else out
+        n = n_inputs if self.cols is None else len(self.cols)
+        if (x := self._filled(n)) is not None:
+            part = r.T @ x
+        else:
+            part = np.stack([np.bincount(self.idx, self.val * r[self.row, k], n) for k in range(r.shape[1])])
+        out[:, slice(None) if self.cols is None else self.cols] += part
+        return out
+
+    @property
+    def inputs(self) -> np.ndarray:
+        """The input of each entry."""
+        return self.idx if self.cols is None else self.cols[self.idx]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, sizes) of a list column."""
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(np.asarray(column.offsets))
+    """(values, sizes) of a list column; a missing number counts as 0."""
+    values = column.flatten()
+    if values.null_count:
+        values = values.fill_null(0)
+    return values.to_numpy(zero_copy_only=False), np.diff(np.asarray(column.offsets))
+
+
+def _groups(idx: np.ndarray, val: np.ndarray, size: np.ndarray, y: np.ndarray, rows_a_group: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(size, cols, idx, val, y) of ``rows_a_group`` rows each, rows of about as many entries together.
+
+    ``cols`` are the inputs that the group uses: short histories leave out the inputs of the months before them.
+    """
+    order = np.argsort(size, kind="stable")
+    first = np.cumsum(size) - size
+    for i in range(0, len(size), rows_a_group):
+        rows = order[i:i + rows_a_group]
+        n = size[rows]
+        at = np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cols, own = np.unique(idx[at], return_inverse=True)
+        yield n.astype("<i4"), cols.astype("<i4"), own.astype(_narrow(len(cols))), val[at].astype("<f8"), y[rows].astype(np.uint8)
+
+
+def _narrow(n: int) -> str:
+    """The type of numbers below ``n`` in stored blocks."""
+    return "<u2" if n <= 1 << 16 else "<i4"
 
 
-def pack_blocks(rows: DataFrame) -> DataFrame:
-    """(size, idx, val, y) with a batch of sparse rows in each row, stored once."""
+def pack_blocks(h: DataFrame, seq_len: int, width: int) -> DataFrame:
+    """(size, cols, idx, val, y) with a group of sparse history rows in each row, stored once."""
+    rows_a_group = GROUP_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                (idx, size), (val, _), (y, _) = (_lists(batch.column(i)) for i in range(3))
-                parts = [size.astype("<i4"), idx.astype("<i4"), val.astype("<f8"), y.astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["size", "idx", "val", "y"])
+                y, _ = _lists(batch.column(2))
+                groups = _groups(*_cells(batch.column(0), batch.column(1), seq_len, width), y.reshape(batch.num_rows, -1), rows_a_group)
+                parts = zip(*([p.tobytes() for p in g] for g in groups), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in parts], ["size", "cols", "idx", "val", "y"])
 
-    rows = require_labels(rows.filter(F.col("y").isNotNull()))
-    return store_rows(rows.select("idx", "val", "y").mapInArrow(run, "size binary, idx binary, val binary, y binary"), "blocks")
+    rows = require_labels(h.filter(F.col("y").isNotNull()))
+    return store_rows(rows.select(*_INPUT, "y").mapInArrow(run, "size binary, cols binary, idx binary, val binary, y binary"), "blocks")
 
 
 def _blocks(batch: pa.RecordBatch, n_products: int) -> Iterator[tuple[_Block, np.ndarray]]:
-    for size, idx, val, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        yield (_Block(np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f8"), np.frombuffer(size, "<i4")),
+    for size, cols, idx, val, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        cols = np.frombuffer(cols, "<i4")
+        yield (_Block(np.frombuffer(idx, _narrow(len(cols))), np.frombuffer(val, "<f8"), np.frombuffer(size, "<i4"), cols),
                np.frombuffer(y, np.uint8).reshape(-1, n_products).astype(np.float64))
 
 
@@ -165,7 +233,7 @@ class JointScorer:
         share_package(train.sparkSession)
         self.seq_len, self.width = seq_len, width
         n_attrs = (train.select(F.size("attrs").alias("n")).first() or [0])[0]
-        blocks = pack_blocks(sparse_rows(train, seq_len, width))
+        blocks = pack_blocks(train, seq_len, width)
         n_tasks = len(blocks.inputFiles())
         d, k = n_attrs + seq_len * width, self.n_products
         self._history = slice(n_attrs, d)
@@ -173,7 +241,7 @@ class JointScorer:
         def moments(batch: pa.RecordBatch) -> np.ndarray:
             out = np.zeros(2 * d + k + 1)
             for b, y in _blocks(batch, k):
-                out += np.concatenate([np.bincount(b.idx, b.val, d), np.bincount(b.idx, b.val**2, d), y.sum(0), [len(y)]])
+                out += np.concatenate([np.bincount(b.inputs, b.val, d), np.bincount(b.inputs, b.val**2, d), y.sum(0), [len(y)]])
             return out
 
         total = tree_sum(blocks, moments, 2 * d + k + 1, n_tasks)
@@ -202,7 +270,7 @@ class JointScorer:
                     loss += (np.log1p(e) + np.maximum(z, 0) - y * z).sum(0)
                     r = np.where(z >= 0, 1, e) / (1 + e) - y
                     rest += r.sum(0)
-                    grad += block.back(r, d)
+                    block.back(r, d, grad)
                 return np.concatenate([loss, rest, grad.ravel()])
 
             out = tree_sum(blocks, part, m * (d + 2), n_tasks) / n
@@ -248,15 +316,15 @@ class JointScorer:
     def _scored(self, h: DataFrame, name: str, probability: bool) -> DataFrame:
         share_package(h.sparkSession)
         n_attrs = self.coefficients.shape[1] - self.seq_len * self.width
-        rows = sparse_rows(h, self.seq_len, self.width)
-        rest = [f for f in rows.schema.fields if f.name not in ("idx", "val", name)]
+        seq_len, width = self.seq_len, self.width
+        rest = [f for f in h.schema.fields if f.name not in (*_INPUT, name)]
         w = np.ascontiguousarray(self.coefficients.T)
         b = self.intercepts - self.coefficients[:, n_attrs:].sum(1)  # the rows are shifted
         n_inputs = len(w)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                (idx, size), (val, _) = (_lists(batch.column(i)) for i in range(2))
+                idx, val, size = _cells(batch.column(0), batch.column(1), seq_len, width)
                 if len(idx) and idx.max() >= n_inputs:
                     raise ValueError(f"the model has {n_inputs} inputs; a row has input {idx.max()}")
                 z = _Block(idx, val, size).margins(w, b)
@@ -267,7 +335,7 @@ class JointScorer:
                 yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.ListArray.from_arrays(ends, pa.array(z.ravel()))], [*(f.name for f in rest), name])
 
         schema = T.StructType([*rest, T.StructField(name, T.ArrayType(T.DoubleType()))])
-        return rows.select("idx", "val", *(f.name for f in rest)).mapInArrow(run, schema)
+        return h.select(*_INPUT, *(f.name for f in rest)).mapInArrow(run, schema)
 
     def margins(self, h: DataFrame, vec_col: str = "vec") -> DataFrame:
         """Replaces ``attrs`` and ``x`` by ``vec``: the 24 raw margins (the model's last-layer activations)."""

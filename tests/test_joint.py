@@ -174,3 +174,26 @@ def test_validation_options(histories, spark, tmp_path):
 
 def test_flow_has_all_products():
     assert len(Y_COLS) == JointScorer().n_products
+
+
+def test_blocks_hold_only_the_inputs_they_use(histories, monkeypatch):
+    """Blocks are the rows of the padded vectors, rows of one length together, without the inputs that none of them uses."""
+    monkeypatch.setattr(joint, "GROUP_ROWS", 8)
+    want = sorted((tuple(np.round(r.features.toArray() + np.repeat([0.0, 1.0], [ATTRS, SEQ * WIDTH]), 12)), tuple(r.y))
+                  for r in score.feature_vectors(sequence.pad_histories(histories, SEQ, WIDTH)).select("features", "y").collect())
+    got, narrow = [], 0
+    for r in joint.pack_blocks(histories, SEQ, WIDTH).toArrow().to_batches():
+        for block, y in joint._blocks(r, 24):
+            assert len(y) <= 8
+            narrow += len(block.cols) <= ATTRS + WIDTH
+            x = np.zeros((len(y), ATTRS + SEQ * WIDTH))
+            x[block.row, block.inputs] = block.val
+            got += [(tuple(np.round(a, 12)), tuple(int(v) for v in b)) for a, b in zip(x, y, strict=True)]
+    assert sorted(got) == want and narrow > 0
+
+
+def test_rows_without_arrays_or_steps(spark):
+    rows = [(1, None, [[0.5, 1.0]]), (2, [1.0, 0.0], None), (3, [1.0], [[0.5, None], None]), (4, [0.0, None, 2.0], [[None, -1.0]]), (5, [], [])]
+    h = spark.createDataFrame(rows, "id int, attrs array<double>, x array<array<double>>").coalesce(1)
+    got = {r.id: (r.idx, r.val) for r in sparse_rows(h, 2, 2).collect()}
+    assert got == {1: ([], []), 2: ([], []), 3: ([], []), 4: ([2, 5], [2.0, 1.0]), 5: ([], [])}
