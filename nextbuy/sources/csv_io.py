@@ -66,7 +66,7 @@ def read_raw(spark: SparkSession, path: str, with_products: bool = True) -> Data
 
 _NUMBERS = (IntegerType, LongType, DoubleType)
 #: Extra columns of checked reading.
-RESCUED, _FILE, _LINE = "_rescued", "_file", "_line"
+RESCUED, _FILE, _LINE, _WHY = "_rescued", "_file", "_line", "_why"
 
 
 @dataclass
@@ -108,14 +108,19 @@ def read_checked(spark: SparkSession, path: str, schema: StructType, header: boo
     text = StructType([*[StructField(n, StringType(), True) for n in names], StructField(_LINE, StringType(), True)])
     lines = (spark.read.schema(text).option("header", header).option("enforceSchema", False).option("nullValue", null_value)
              .option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", _LINE).csv(path).withColumn(_FILE, F.col("_metadata.file_path")))
-    reject = lambda field, value, why: F.struct(F.lit(field).cast("string").alias("field"), value.alias("value"), why.alias("reason"))
-    found = [reject(f.name, F.col(f.name), _why(f)) for f in schema.fields if not isinstance(f.dataType, StringType)]
-    found.append(reject(None, F.col(_LINE), F.when(F.col(_LINE).isNotNull(), F.lit("wrong number of fields"))))
+    # reasons are columns of their own: arguments of array functions are not compiled
+    checked = [f for f in schema.fields if not isinstance(f.dataType, StringType)]
+    reasons = [_why(f).alias(f"r{i}") for i, f in enumerate(checked)]
+    lines = lines.withColumn(_WHY, F.struct(*reasons, F.when(F.col(_LINE).isNotNull(), F.lit("wrong number of fields")).alias("line")))
+    reject = lambda field, value, why: F.struct(F.lit(field).cast("string").alias("field"), value.alias("value"), F.col(f"{_WHY}.{why}").alias("reason"))
+    found = [reject(f.name, F.col(f.name), f"r{i}") for i, f in enumerate(checked)]
+    found.append(reject(None, F.col(_LINE), "line"))
     bad = F.filter(F.array(*found), lambda r: r.reason.isNotNull())
     fields = F.filter(bad, lambda r: r.field.isNotNull())
-    rescued = F.when(F.size(fields) > 0, F.map_from_entries(F.transform(fields, lambda r: F.struct(r.field, r.value))))
+    any_field = F.coalesce(F.lit(None).cast("string"), *[F.col(f"{_WHY}.r{i}") for i in range(len(checked))]).isNotNull()
+    rescued = F.when(any_field, F.map_from_entries(F.transform(fields, lambda r: F.struct(r.field, r.value))))
     typed = _typed(lines.withColumn(RESCUED, rescued), StructType([*schema.fields]), keep=(RESCUED,))
-    return CheckedTable(typed, lines.select(F.col(_FILE).alias("file"), F.explode(bad).alias("r")).select("file", "r.field", "r.value", "r.reason"))
+    return CheckedTable(typed, lines.filter(any_field | F.col(f"{_WHY}.line").isNotNull()).select(F.col(_FILE).alias("file"), F.explode(bad).alias("r")).select("file", "r.field", "r.value", "r.reason"))
 
 
 def read_raw_checked(spark: SparkSession, path: str, with_products: bool = True) -> CheckedTable:

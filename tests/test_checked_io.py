@@ -59,3 +59,16 @@ def test_an_empty_file(spark, tmp_path):
     (tmp_path / "e.csv").write_text("id,x,name,day\n")
     t = csv_io.read_checked(spark, str(tmp_path), SCHEMA)
     assert t.rows.count() == t.rejects.count() == t.rows.filter(F.col("_rescued").isNotNull()).count() == 0
+
+
+def test_reasons_are_compiled(spark, tmp_path):
+    """Why a field is rejected is computed beside the array functions, whose arguments are not compiled."""
+    from pyspark.sql.types import StructType
+
+    path = str(tmp_path / "f")
+    spark.createDataFrame([("1", "x"), ("2.5", "7")], "a string, b string").coalesce(1).write.option("header", True).csv(path)
+    t = csv_io.read_checked(spark, path, StructType.fromDDL("a int, b int"))
+    assert {(r.a, r.b): r["_rescued"] for r in t.rows.collect()} == {(1, None): {"b": "x"}, (None, 7): {"a": "2.5"}}
+    plan = t.rows._jdf.queryExecution().optimizedPlan().toString()
+    line = next(line for line in plan.splitlines() if "map_from_entries" in line)
+    assert "RLIKE" not in line[line.index("map_from_entries"):line.index("AS _rescued")].upper()
