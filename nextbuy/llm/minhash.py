@@ -18,9 +18,17 @@ star rounds each node is tested against the most similar centre of its bands tha
 label (one centre a band and round); of the nodes of one label only the most similar one is tested
 against a centre's label, and labels that turn out to be linked become one.
 Then, in each band that still holds several labels, the nodes outside the
-largest one are compared with all nodes of the band, in blocks of bounded
-size, so no link is lost: what passes the estimate in a block is verified there, and only
-links that join two labels leave it.
+largest one are compared with all nodes of the band, so no link is lost: what passes
+the estimate is verified there, and only links that join two labels leave the band.
+
+Bands of more than ``BLOCK_NODES`` nodes are not compared pair by pair, which would
+grow with their square. The bands with one largest label form a *family* around one of
+its nodes, the centre, and a node is held as its difference to the centre: with B missing
+and Q added shingles, 100 |B| + t |Q| <= (100 - t) |centre| says that it is linked with the centre.
+Of two linked nodes, x not linked with the centre, both differences hold more than
+(100 |B| + t |Q|) / (100 + t) common shingles, B and Q being the other node's. So one of them is among the other's
+|B| + |Q| - floor((100 |B| + t |Q|) / (100 + t)) rarest ones (about those it adds), and only nodes that meet in
+such a shingle are verified. This is exact for every choice of centres.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, apply_decisions, fits_broadcast, keyed, stored, with_row_key
@@ -45,7 +53,10 @@ _MANTISSA = 10
 #: For an empty register: the order in which the others are asked.
 _ASK = np.stack([np.random.default_rng(i).permutation(N_REGISTERS) for i in range(N_REGISTERS)])
 BROADCAST_ROWS = 500_000
-BLOCK_NODES = 1024
+#: Bands of at most so many nodes are compared pair by pair, larger ones by the differences to a centre.
+BLOCK_NODES = 256
+#: So many of a family's nodes are looked at to choose its centre.
+LIKELY = 32
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,26 +247,21 @@ def _star_round(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
     return stored(members, "members"), links.select("a", "b")
 
 
-def _in_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """What passes the estimate across labels: (block, node, label, near), ``near`` listing nodes of the same block.
+def _unsettled(members: DataFrame) -> DataFrame:
+    """(band, top, all) of the bands that hold several labels: the most frequent one and the number of nodes."""
+    counts = members.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band")
+    return counts.agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter("all > top.c").select("band", "top.label", "all").toDF("band", "top", "all")
+
+
+def _in_blocks(members: DataFrame, bands: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """What passes the estimate across labels in the small ones of ``bands``: (block, node, label, near), ``near`` listing nodes of the same block.
 
     Of a band's nodes those outside its most frequent label are compared with
-    all. Both sides are cut into parts of about ``BLOCK_NODES`` nodes; a block
-    is one part of each. A pair is listed in the first band it shares.
+    all. A block is a band. A pair is listed in the first band it shares.
     """
-    sizes = members.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(
-        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).filter("all > top.c")
-    parts = lambda c: F.ceil(c / BLOCK_NODES).cast("int")
-    sizes = sizes.select("band", F.col("top.label").alias("top"), parts(F.col("all")).alias("pa"), parts(F.col("all") - F.col("top.c")).alias("pm"))
-    rows = members.join(sizes, "band")
-    h = F.xxhash64("node")
-    whole = F.transform(F.sequence(F.lit(0), F.col("pm") - 1), lambda i: F.struct(
-        i.alias("i"), F.pmod(h, F.col("pa")).cast("int").alias("j"), F.lit(False).alias("minor")))
-    minor = F.transform(F.sequence(F.lit(0), F.col("pa") - 1), lambda j: F.struct(
-        F.pmod(h, F.col("pm")).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("minor")))
-    minor = F.when(F.col("label") != F.col("top"), minor).otherwise(F.slice(minor, 1, 0))
-    rows = rows.select("band", "node", "label", F.inline(F.concat(whole, minor))).withColumn("block", F.xxhash64("band", "i", "j"))
-    rows = rows.select("block", "band", "minor", "node", "label").join(nodes.select("node", "n", "regs"), "node")
+    rows = members.join(bands.filter(F.col("all") <= BLOCK_NODES), "band")
+    rows = rows.select(F.col("band").alias("block"), "band", (F.col("label") != F.col("top")).alias("minor"), "node", "label")
+    rows = rows.join(nodes.select("node", "n", "regs"), "node")
     dealt = rows.repartition("block").sortWithinPartitions("block", "node").select("block", "band", "minor", "node", "label", "n", "regs")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame | None:
@@ -277,13 +283,13 @@ def _in_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 near.append((x[ok], y[ok]))
 
         for d in range(1, 16):  # small blocks: all of them at once, by distance
-            x = np.flatnonzero((block[:-d] == block[d:]) & small[d:] & (minor[:-d] != minor[d:])) if d < len(block) else np.zeros(0, int)
+            x = np.flatnonzero((block[:-d] == block[d:]) & small[d:] & (minor[:-d] | minor[d:])) if d < len(block) else np.zeros(0, int)
             if len(x):
                 take(np.where(minor[x], x, x + d), np.where(minor[x], x + d, x))
         for s, c in zip(start[size > 16], size[size > 16], strict=True):
             own = np.arange(s, s + c)
-            others = own[~minor[own]]
             for x in own[minor[own]]:
+                others = own[~minor[own] | (own > x)]  # two minor nodes once
                 take(np.full(len(others), x), others)
         if not near:
             return None
@@ -347,6 +353,60 @@ def _links_across(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("block", "node", "label", "near", "shingles").mapInPandas(run, "a long, b long")
 
 
+def _centres(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, centre, core, middle): the node, with its label and set, that is most like what most of a family's likely centres hold.
+
+    Any node would do for the result; the fewer shingles a centre has of its own, the fewer nodes meet.
+    """
+    order = Window.partitionBy("family").orderBy(F.desc("met"), "node")  # those that meet the others in most bands
+    likely = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LIKELY).select("family", "node", "label")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        held, often = np.unique(np.concatenate(own), return_counts=True)
+        most = held[2 * often > len(own)]
+        differs = [len(x) + len(most) - 2 * len(np.intersect1d(x, most, assume_unique=True)) for x in own]
+        best = pdf.iloc[min(range(len(own)), key=lambda i: (differs[i], pdf["node"].iloc[i]))]
+        return pd.DataFrame({"family": [best["family"]], "centre": [best["node"]], "core": [best["label"]], "middle": [best["shingles"]]})
+
+    return likely.join(sets, "node").groupBy("family").applyInPandas(choose, "family long, centre long, core long, middle binary")
+
+
+def _in_families(members: DataFrame, bands: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The verified (a, b) across labels of the large ones of ``bands``: links with their families' centres, and pairs that meet in a rare difference."""
+    large = members.join(bands.filter(F.col("all") > BLOCK_NODES), "band")
+    rows = stored(large.groupBy(F.col("top").alias("family"), "node", "label", "n").agg(F.sum("all").alias("met")), "families")
+    sets = _sets_of(rows.select("node"), nodes, docs, words).dropDuplicates(["node"])
+    sets = stored(sets, "family-sets")
+    middle = _centres(rows, sets)
+    rows = rows.join(sets, "node").join(middle, "family").select("family", "centre", "core", "node", "label", "n", "shingles", "middle")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for mine, middle in zip(pdf["shingles"], pdf["middle"], strict=True):
+                x, c = np.frombuffer(mine, np.uint64), np.frombuffer(middle, np.uint64)
+                more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                weight = 100 * len(less) + percent * len(more)
+                differs = np.concatenate([more, less])
+                out.append((weight <= (100 - percent) * len(c), len(differs) - weight // (100 + percent), differs.view(np.int64)))
+            linked, first, differs = zip(*out, strict=True) if out else ((), (), ())
+            yield pdf[["family", "centre", "core", "node", "label", "n"]].assign(linked=np.array(linked, bool), first=np.array(first, np.int64), differs=list(differs))
+
+    schema = "family long, centre long, core long, node long, label long, n long, linked boolean, first long, differs array<long>"
+    held = stored(rows.mapInPandas(run, schema), "differences")
+    direct = held.filter("linked and label <> core").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    each = held.select("family", "node", "label", "n", (~F.col("linked")).alias("asks"), "first", F.explode("differs").alias("s"))
+    count = each.groupBy("family", "s").agg(F.count("*").alias("often"), F.max("asks").alias("asked"), (F.min("label") != F.max("label")).alias("across"))
+    rank = F.row_number().over(Window.partitionBy("family", "node").orderBy("often", "s"))
+    ranked = each.join(count, ["family", "s"]).withColumn("rank", rank).filter("asked and across and (asks or rank <= first)")
+    ranked = stored(ranked.select("family", "s", "node", "label", "n", "asks", (F.col("rank") <= F.col("first")).alias("rare")), "meetings")
+    asks = ranked.filter("asks").select("family", "s", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    pairs = asks.join(ranked.filter("rare").select("family", "s", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb")), ["family", "s"])
+    pairs = pairs.filter("la <> lb").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "la", "b", "lb").distinct()
+    return direct.unionByName(_verified(pairs, sets, percent).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rounds: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
@@ -384,9 +444,12 @@ def _decided(docs: DataFrame, words: int, percent: int, star_rounds: int) -> Dat
         for r in range(star_rounds):
             members, new = _star_round(members, nodes, docs, words, percent, r)
             links = links.unionByName(new)
-        found = stored(_in_blocks(members, nodes, percent), "near")
+        bands = stored(_unsettled(members), "bands")
+        found = stored(_in_blocks(members, bands, nodes, percent), "near")
         sets = _sets_of(found.select("node"), nodes, docs, words)
         links = links.unionByName(_links_across(found, sets, percent))
+        if not bands.filter(F.col("all") > BLOCK_NODES).isEmpty():
+            links = links.unionByName(_in_families(members, bands, nodes, docs, words, percent))
     comps = stored(components(links), "components")
     comps = F.broadcast(comps) if fits_broadcast(comps, BROADCAST_ROWS) else comps
     # per set, then per component: the row that stays

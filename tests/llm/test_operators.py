@@ -1,5 +1,6 @@
 """Each operator against plain Python on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import random
 import re
 import struct
 import unicodedata
@@ -194,6 +195,41 @@ def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch):
     assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == bag((i, *x) for (i, _), x in zip(rows, want, strict=True))
 
 
+def test_near_duplicates_of_a_growing_group(spark, monkeypatch):
+    """Near copies of one text, a third of them linked with none: twice as many make about twice as many rows and pairs, not four times."""
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 16)
+    made, real, verified = {}, minhash.stored, minhash._verified
+
+    def stored(df, label, *more):
+        out = real(df, label, *more)
+        made[label] = made.get(label, 0) + (out.select(F.sum(F.size("near"))).first()[0] or 0 if label == "near" else out.count())
+        return out
+
+    def counted(pairs, sets, percent):
+        made["verified"] = made.get("verified", 0) + pairs.count()
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    monkeypatch.setattr(minhash, "_verified", counted)
+    seen = []
+    for n in (150, 300):
+        rnd = random.Random(11)
+        base, texts = [f"w{i}" for i in range(140)], []
+        for i in range(n):
+            own = list(base)
+            for k in rnd.sample(range(140), 11 if i % 3 == 0 else rnd.randint(0, 4)):
+                own[k] = f"x{rnd.randrange(10 ** 6)}"
+            texts.append((i, " ".join(own)))
+        made.clear()
+        got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), star_rounds=1).collect()
+        want = plain.near_components(texts, 2, 80)
+        assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == bag((i, *x) for (i, _), x in zip(texts, want, strict=True))
+        assert len({x[1] for x in want}) > n // 5
+        seen.append(dict(made))
+    assert seen[1]["near"] + seen[1]["verified"] < 4 * 300, seen
+    assert seen[0]["meetings"] > 0 and sum(seen[1].values()) < 3 * sum(seen[0].values()), seen
+
+
 def test_near_duplicates_stage(docs, no_docs):
     one = keep_one_of_near(docs, words=2)
     decided = near_duplicates(docs, words=2).filter("kept")
