@@ -97,13 +97,17 @@ class HistoryStore:
     root: str
 
     @classmethod
-    def build(cls, rows: DataFrame, name: str, attr_cols=ATTR_COLS, ys=Y_COLS, buckets: int | None = None, root: str | None = None) -> HistoryStore:
-        """Collect all rows (id, t, t_month, attributes, products; (id, t) unique) into a new store."""
+    def build(cls, rows: DataFrame, name: str, attr_cols=ATTR_COLS, ys=Y_COLS, buckets: int | None = None, root: str | None = None,
+              dealt: bool = False) -> HistoryStore:
+        """Collect all rows (id, t, t_month, attributes, products; (id, t) unique) into a new store.
+
+        ``dealt``: the rows come from a table bucketed by id into as many buckets, so they are not exchanged.
+        """
         spark = rows.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         root = root or shared_output_dir(spark, f"histories/{name}-{uuid.uuid4().hex[:12]}")
         store = cls("", buckets, tuple(attr_cols), tuple(ys), tuple(_moments(rows)), name, root)
-        g = rows.repartition(buckets, "id").groupBy("id").agg(
+        g = (rows if dealt else rows.repartition(buckets, "id")).groupBy("id").agg(
             F.array_sort(F.collect_list(_step(ys))).alias("steps"), F.max_by(_attrs(attr_cols, rows.columns), F.col("t")).alias("last"))
         return store._written(g)
 

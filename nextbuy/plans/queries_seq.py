@@ -217,7 +217,7 @@ def seq_drop_long(spark, sf_dir):
 
 def _grown_store(spark, sf_dir, first: int, last: int):
     feats = S.features_once(spark, sf_dir)
-    store = HistoryStore.build(feats.filter(F.col("t") <= first), "histories", ATTR_COLS)
+    store = HistoryStore.build(feats.filter(F.col("t") <= first), "histories", ATTR_COLS, dealt=True)
     for month in range(first + 1, last + 1):
         store = store.append(feats.filter(F.col("t") == month))
     return store

@@ -84,6 +84,18 @@ def test_stored_rows_are_not_exchanged(spark, months):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_rows_of_a_bucketed_table_are_not_exchanged(spark, months, monkeypatch):
+    from nextbuy.sources.storage import store_by_customer
+
+    plans, real = [], HistoryStore._written
+    monkeypatch.setattr(HistoryStore, "_written", lambda self, g, *more: plans.append(g._jdf.queryExecution().executedPlan().toString()) or real(self, g, *more))
+    store = HistoryStore.build(store_by_customer(months, "months").filter("t <= 8"), "dealt", dealt=True)
+    assert "Exchange" not in plans[0]
+    same(store.training(spark), sequence.build_train(months, 8, ATTR_COLS, scale_time_dim=True))
+    files = [f.rsplit("/", 1)[1] for f in store.rows(spark).inputFiles()]
+    assert len(files) <= store.buckets
+
+
 def test_merged_statistics(months):
     from nextbuy.operators.history_store import _moments
 
