@@ -79,7 +79,7 @@ def shaped(rows: DataFrame, month: int, stats: dict, attr_cols, scale_time: bool
 
     n = F.size("steps")
     channels = lambda s: F.concat(F.array(t_of(s.t), month_of(s.t_month)) if include_time else F.array().cast("array<double>"),
-                                  F.transform(s.y, lambda v: v.cast("double")))
+                                  s.y.cast("array<double>"))
     x = F.transform(F.slice("steps", 1, F.greatest(n - 1, F.lit(0))), channels)
     return rows.select(*keep, "id", n.cast("long").alias("n_obs"), F.element_at("steps", -1)["t"].alias("t_max"),
                        (F.array(*[attr(i, c) for i, c in enumerate(attr_cols)]) if attr_cols else F.array().cast("array<double>")).alias("attrs"),
@@ -197,16 +197,21 @@ class HistoryStore:
 
 # --- several months at once ----------------------------------------------------------------------
 
-def timelines(rows: DataFrame, attr_cols=ATTR_COLS, ys=Y_COLS) -> DataFrame:
-    """(id, line) with every observed month and its raw attributes in order: one exchange, then histories of any month are cut from the array."""
-    step = F.struct(F.col("t").cast("int").alias("t"), _step(ys).alias("step"), _attrs(attr_cols, rows.columns).alias("last"))
-    return rows.groupBy("id").agg(F.array_sort(F.collect_list(step)).alias("line"))
+def timelines(rows: DataFrame, pairs, attr_cols=ATTR_COLS, ys=Y_COLS) -> DataFrame:
+    """(id, steps, train_<month>.., test_<month>..): every observed month in order, and for each (train month, test month) the raw attributes of the last
+    row up to the train month and of the test month's row, null without one: one exchange, then the histories of each pair are cut from the array.
+    """
+    at = F.struct(F.col("t").cast("int").alias("t"), _step(ys).alias("step"), _attrs(attr_cols, rows.columns).alias("last"))
+    trains, tests = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
+    own = {**{f"train_{m}": F.col("t") <= m for m in trains}, **{f"test_{m}": F.col("t") == m for m in tests}}
+    g = rows.groupBy("id").agg(F.array_sort(F.collect_list(_step(ys))).alias("steps"), *[F.max(F.when(c, at)).alias(k) for k, c in own.items()])
+    return g.select("id", "steps", *[F.col(f"{k}.last").alias(k) for k in own])
 
 
-def _cut(lines: DataFrame, upto: int) -> DataFrame:
-    own = F.filter("line", lambda s: s.t <= upto)
-    return lines.select("id", own.alias("own")).filter(F.size("own") > 0).select(
-        "id", F.transform("own", lambda s: s.step).alias("steps"), F.element_at("own", -1)["last"].alias("last"))
+def _cut(lines: DataFrame, attrs: str, upto: int) -> DataFrame:
+    """(id, steps up to a month, last) of the customers that have the attributes named ``attrs``."""
+    own = F.filter("steps", lambda s: s.t <= upto)
+    return lines.filter(F.col(attrs).isNotNull()).select("id", own.alias("steps"), F.col(attrs).alias("last"))
 
 
 def rolling_sets(rows: DataFrame, pairs: list[tuple[int, int]], attr_cols=ATTR_COLS, ys=Y_COLS, scale_time: bool = True,
@@ -215,14 +220,14 @@ def rolling_sets(rows: DataFrame, pairs: list[tuple[int, int]], attr_cols=ATTR_C
 
     Each equals what ``build_train`` up to the train month and ``build_test`` give on their own.
     """
-    lines = store_rows(timelines(rows, attr_cols, ys), "timelines")
+    lines = store_rows(timelines(rows, pairs, attr_cols, ys), "timelines")
     moments = _moments(rows)
     out = {}
     for train_month, test_month in pairs:
         if test_month < 2:
             raise ValueError("test_month must be at least 2")
-        train = shaped(_cut(lines, train_month), train_month, merged_stats(moments, train_month, clamped=True), attr_cols, scale_time, include_time)
-        own = _cut(lines, test_month).filter(F.element_at("steps", -1)["t"] == test_month)
+        train = shaped(_cut(lines, f"train_{train_month}", train_month), train_month, merged_stats(moments, train_month, clamped=True), attr_cols, scale_time, include_time)
+        own = _cut(lines, f"test_{test_month}", test_month)
         stats = merged_stats(moments, min(train_month, test_month - 1), clamped=False)
         test = shaped(own, test_month - 1, stats, attr_cols, scale_time, include_time)
         out[train_month, test_month] = (length_filter(train), length_filter(test))

@@ -116,3 +116,20 @@ def test_rolling_pairs_equal_single_runs(months):
         same(got[m, t][1], sequence.build_test(months, None, m, t, ATTR_COLS, scale_time_dim=True))
         plan = got[m, t][0]._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan  # cut from the stored lines
+
+
+def test_timelines_hold_attributes_of_the_cut_months_only(months):
+    from nextbuy.operators.history_store import timelines
+
+    lines = timelines(months, [(6, 7), (6, 9)])
+    assert lines.columns == ["id", "steps", "train_6", "test_7", "test_9"]
+    assert lines.schema["steps"].dataType.elementType.names == ["t", "t_month", "y"]  # no attributes in the months' array
+    rows = {(r.id, r.t): r for r in months.collect()}
+    for r in lines.collect():
+        own = sorted(t for i, t in rows if i == r.id)
+        assert [s.t for s in r.steps] == own
+        last = max((t for t in own if t <= 6), default=None)
+        for got, t in ((r.train_6, last), (r.test_7, 7 if 7 in own else None), (r.test_9, 9 if 9 in own else None)):
+            assert (got is None) == (t is None)
+            if t is not None:
+                assert got[0] == t and got[ATTR_COLS.index("seniority")] == rows[r.id, t].seniority
