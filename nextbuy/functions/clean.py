@@ -79,8 +79,8 @@ def try_number(c, to: str = "double") -> Column:
     if to in ("tinyint", "smallint", "int", "bigint"):
         return try_integer(c, to)
     text = F.trim(_c(c).cast("string"))
-    d = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    d = F.when(F.abs(d) < float("inf"), d)
+    value = text.try_cast("double")
+    d = F.when(text.rlike(NUMBER) & (F.abs(value) < float("inf")), value)  # the text is matched once
     return d if to == "double" else d.try_cast(to)
 
 
@@ -152,7 +152,7 @@ def channel_subcode(c) -> Column:
 
 def income(c) -> Column:
     """Text income: drop ``NA``, then parse; blank or bad -> null."""
-    return try_number(F.regexp_replace(_c(c).cast("string"), "NA", ""))
+    return try_number(F.replace(_c(c).cast("string"), F.lit("NA"), F.lit("")))
 
 
 def segment_digit(c, pos: int = 1) -> Column:

@@ -56,11 +56,13 @@ def target_rows(s: DataFrame) -> DataFrame:
 
 
 def features_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table (cleaned, imputed, featurised), stored bucketed by customer."""
+    """The feature table (cleaned, imputed, featurised), stored bucketed by customer; the rows are dealt before the features widen them."""
     from ..operators import features, impute
     from ..sources.storage import store_by_customer
 
-    return store_by_customer(features.featurize(impute.impute(snapshots_clean_once(spark, sf_dir))), "feat")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = impute.impute(snapshots_clean_once(spark, sf_dir)).repartition(buckets, "id")
+    return store_by_customer(features.featurize(rows), "feat", buckets, dealt=True)
 
 
 def full_trainset(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None, **options) -> DataFrame:

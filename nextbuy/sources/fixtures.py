@@ -76,15 +76,17 @@ def snapshots(spark: SparkSession, sf_dir: str, base_year: int = STANDIN_BASE_YE
                          *flags_from_mask(F.col("mask")))
 
 
-def _orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders")
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     # nation and region have a fixed size (25 and 5 rows) at every scale.
     geo = (read_table(spark, sf_dir, "nation")
            .join(F.broadcast(read_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "n_name", "r_name"))
-    return (orders.join(customer, orders.o_custkey == customer.c_custkey)
-                  .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")))
+    return customer.join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+def _orders_with_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,21 +122,26 @@ def raw_snapshots(spark: SparkSession, sf_dir: str, base_year: int = STANDIN_BAS
     Attributes come from the month's first order (smallest order key);
     the 24 flags are the month's products and are left empty in every
     tenth month so that the zero fill has work to do. The first order is
-    chosen over the few source fields; the attribute texts are derived
-    afterwards, for the chosen rows only.
+    chosen over the few source fields; the customer's fields are joined and the
+    attribute texts derived afterwards, for the chosen rows only. Orders are dealt by
+    customer once, which serves the grouping and the join.
     """
-    o = _orders_with_customer(spark, sf_dir)
+    o = read_table(spark, sf_dir, "orders").filter(F.col("o_custkey").isNotNull())
     if with_products:
         o = o.join(order_product_masks(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     else:
         o = o.withColumn("mask", F.lit(0))
-    src = F.struct("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority",
-                   "c_acctbal", "c_nationkey", "n_name")
-    g = (o.select(F.col("o_custkey").alias("ncodpers"), month_index(F.col("o_orderdate"), base_year).alias("t"),
-                  src.alias("a"), F.col("mask"))
-          .groupBy("ncodpers", "t")
-          .agg(F.min("a").alias("a"), F.bit_or("mask").alias("mask"))
-          .select("ncodpers", "t", "mask", "a.*"))
+    src = F.struct("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority")
+    months = (o.select(F.col("o_custkey").alias("ncodpers"), month_index(F.col("o_orderdate"), base_year).alias("t"),
+                       src.alias("a"), F.col("mask"))
+               .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ncodpers")
+               .groupBy("ncodpers", "t")
+               .agg(F.min("a").alias("a"), F.bit_or("mask").alias("mask")))
+    # of customer rows with the same key, the least one
+    customer = (_customers(spark, sf_dir).groupBy("c_custkey")
+                .agg(F.min(F.struct("c_acctbal", "c_nationkey", "n_name")).alias("c")))
+    g = (months.join(customer, F.col("ncodpers") == F.col("c_custkey"))
+               .select("ncodpers", "t", "mask", "a.*", "c.*"))
     k = F.col("o_orderkey")
     fecha = F.date_format("o_orderdate", "yyyy-MM-dd")
     cols = [

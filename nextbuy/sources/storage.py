@@ -16,10 +16,13 @@ from ..session import shared_output_dir
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "id",
-                   sort_cols=("id", "t"), partition_by=None, mode: str = "overwrite") -> DataFrame:
-    """Write an external Parquet table bucketed by ``key`` at ``path``; return it as a table."""
+                   sort_cols=("id", "t"), partition_by=None, mode: str = "overwrite", dealt: bool = False) -> DataFrame:
+    """Write an external Parquet table bucketed by ``key`` at ``path``; return it as a table.
+
+    ``dealt``: the rows already lie together by bucket and are written where they are (rows that do not only make more files).
+    """
     # one task per bucket: each bucket (of a month) is one sorted file
-    w = df.repartition(buckets, key).write.mode(mode).format("parquet").option("path", path)
+    w = (df if dealt else df.repartition(buckets, key)).write.mode(mode).format("parquet").option("path", path)
     if partition_by:
         w = w.partitionBy(partition_by)
     w = w.bucketBy(buckets, key)
@@ -31,15 +34,15 @@ def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str =
     return df.sparkSession.table(name)
 
 
-def store_by_customer(df: DataFrame, label: str, buckets: int | None = None) -> DataFrame:
-    """Bucket ``df`` by ``id`` into a fresh table under the shared checkpoint folder.
+def store_by_customer(df: DataFrame, label: str, buckets: int | None = None, dealt: bool = False) -> DataFrame:
+    """Bucket ``df`` by ``id`` into a fresh table under the shared checkpoint folder (``dealt``: see ``write_bucketed``).
 
     Serves as a lineage cut as well: later reads start from the stored files.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"nextbuy_{label}_{uuid.uuid4().hex[:12]}"
-    return write_bucketed(df, name, shared_output_dir(spark, f"tables/{name}"), buckets)
+    return write_bucketed(df, name, shared_output_dir(spark, f"tables/{name}"), buckets, dealt=dealt)
 
 
 def store_rows(df: DataFrame, label: str) -> DataFrame:
