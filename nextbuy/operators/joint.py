@@ -10,7 +10,8 @@ The inputs are those of 24 separate regularised logistic regressions over
   products x inputs only;
 * the passes share one copy of the data, blocks of 128 customers with histories of about one
   length in Parquet below the shared folder, so nothing is cached and a lost executor re-reads its
-  files; a block names the inputs it uses, and is multiplied by those only.
+  files; a block names the inputs it uses, and is multiplied by those only. Blocks are stored packed, in small
+  row groups, and unpacked one at a time: a task's memory does not depend on the rows it reads.
 
 The objective is that of Spark ML's ``LogisticRegression`` (mean log loss, L2 penalty on
 standardised coefficients, free intercept). Inputs are standardised and centred inside
@@ -40,6 +41,9 @@ MEMORY = 10
 DENSE_CELLS = 1 << 22
 #: Rows of a stored block.
 GROUP_ROWS = 128
+#: Blocks of a Parquet row group: the reader holds a row group at a time, unpacked up to 2.6 MB a block of long histories.
+GROUP_BLOCKS = 64
+CODEC = "zstd"
 _INPUT = ("attrs", "x")
 
 
@@ -161,7 +165,7 @@ def _narrow(n: int) -> str:
 
 
 def pack_blocks(h: DataFrame, seq_len: int, width: int) -> DataFrame:
-    """(size, cols, idx, val, y) with a group of sparse history rows in each row, stored once."""
+    """(size, cols, idx, val, y) with a group of sparse history rows in each row, stored once; ``idx`` and ``val`` are compressed."""
     rows_a_group = GROUP_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +173,29 @@ def pack_blocks(h: DataFrame, seq_len: int, width: int) -> DataFrame:
             if batch.num_rows:
                 y, _ = _lists(batch.column(2))
                 groups = _groups(*_cells(batch.column(0), batch.column(1), seq_len, width), y.reshape(batch.num_rows, -1), rows_a_group)
-                parts = zip(*([p.tobytes() for p in g] for g in groups), strict=True)
+                parts = zip(*(map(_packed, "size cols idx val y".split(), g) for g in groups), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in parts], ["size", "cols", "idx", "val", "y"])
 
     rows = require_labels(h.filter(F.col("y").isNotNull()))
-    return store_rows(rows.select(*_INPUT, "y").mapInArrow(run, "size binary, cols binary, idx binary, val binary, y binary"), "blocks")
+    return store_rows(rows.select(*_INPUT, "y").mapInArrow(run, "size binary, cols binary, idx binary, val binary, y binary"), "blocks",
+                      **{"parquet.block.row.count.limit": GROUP_BLOCKS})
+
+
+def _packed(name: str, part: np.ndarray) -> bytes:
+    return pa.compress(part.tobytes(), codec=CODEC, asbytes=True) if name in ("idx", "val") else part.tobytes()
+
+
+def _unpacked(part: pa.Buffer, dtype: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(part, decompressed_size=n * np.dtype(dtype).itemsize, codec=CODEC), dtype)
 
 
 def _blocks(batch: pa.RecordBatch, n_products: int) -> Iterator[tuple[_Block, np.ndarray]]:
-    for size, cols, idx, val, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        cols = np.frombuffer(cols, "<i4")
-        yield (_Block(np.frombuffer(idx, _narrow(len(cols))), np.frombuffer(val, "<f8"), np.frombuffer(size, "<i4"), cols),
+    """The blocks of a batch and their labels; only the one at hand is unpacked."""
+    for i in range(batch.num_rows):
+        size, cols, idx, val, y = (c[i].as_buffer() for c in batch.columns)
+        size, cols = np.frombuffer(size, "<i4"), np.frombuffer(cols, "<i4")
+        n = int(size.sum())
+        yield (_Block(_unpacked(idx, _narrow(len(cols)), n), _unpacked(val, "<f8", n), size, cols),
                np.frombuffer(y, np.uint8).reshape(-1, n_products).astype(np.float64))
 
 

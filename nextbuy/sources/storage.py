@@ -45,13 +45,13 @@ def store_by_customer(df: DataFrame, label: str, buckets: int | None = None, dea
     return write_bucketed(df, name, shared_output_dir(spark, f"tables/{name}"), buckets, dealt=dealt)
 
 
-def store_rows(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+def store_rows(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back (``options``: of the writer).
 
     Cuts the lineage like a checkpoint, but later reads take only the columns they need.
     """
     path = shared_output_dir(df.sparkSession, f"rows/{label}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -197,3 +199,22 @@ def test_rows_without_arrays_or_steps(spark):
     h = spark.createDataFrame(rows, "id int, attrs array<double>, x array<array<double>>").coalesce(1)
     got = {r.id: (r.idx, r.val) for r in sparse_rows(h, 2, 2).collect()}
     assert got == {1: ([], []), 2: ([], []), 3: ([], []), 4: ([2, 5], [2.0, 1.0]), 5: ([], [])}
+
+
+def test_a_task_holds_a_part_of_its_blocks(spark, monkeypatch):
+    """Many blocks in one file come in small row groups, packed, and are unpacked one at a time."""
+    monkeypatch.setattr(joint, "GROUP_ROWS", 20)
+    monkeypatch.setattr(joint, "GROUP_BLOCKS", 16, raising=False)
+    bit = lambda k: (F.xxhash64("id", F.lit(k)) % 2).cast("double")
+    h = spark.range(4000).select(F.array(*[F.lit(1.0)] * ATTRS).alias("attrs"), F.array(*[F.array(*[F.abs(bit(k))] * WIDTH) for k in range(SEQ)]).alias("x"),
+                                 F.array_repeat(F.lit(1), 24).alias("y")).coalesce(1)
+    blocks = joint.pack_blocks(h, SEQ, WIDTH)
+    (file,) = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert file.num_rows == 200 and max(file.row_group(i).num_rows for i in range(file.num_row_groups)) <= 16
+    n, held, whole = 0, 0, 0
+    for batch in blocks.select("size", "cols", "idx", "val", "y").toArrow().to_batches():
+        assert sum(batch.column(c).nbytes for c in ("idx", "val")) < 4000 * SEQ * WIDTH * 10 / 4
+        before = pa.total_allocated_bytes()
+        for block, y in joint._blocks(batch, 24):
+            n, whole, held = n + len(y), whole + block.val.nbytes, max(held, pa.total_allocated_bytes() - before)
+    assert n == 4000 and held < whole / 20
